@@ -30,3 +30,17 @@ def sized_join(
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fanout)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def missing_from(
+    new: DataFrame, log: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows of ``new`` whose key is not in the ever-growing ``log``.
+
+    ``new`` must be cheap to count and hold each key once. While it is small the log is
+    first cut down to matching keys by a broadcast, so the log is never shuffled.
+    """
+    known = log.select(*keys)
+    if new.count() <= broadcast_rows:
+        known = known.join(F.broadcast(new.select(*keys)), keys, "left_semi")
+    return new.join(known, keys, "left_anti")

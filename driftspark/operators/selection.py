@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from driftspark.functions.names import FILE_TYPES, REFERENCE
-from driftspark.operators.joins import sized_join
+from driftspark.operators.joins import missing_from, sized_join
 from driftspark.session import cut
 
 BUNDLE_KEYS = ["sensor_id", "timestamp", "file_type"]
@@ -29,14 +29,12 @@ def _top_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def register_bundles(new: DataFrame, catalog: DataFrame) -> DataFrame:
     """Bundles to append to the catalog: one per key, the earliest, if not yet listed."""
     first = _top_row(new, BUNDLE_KEYS, [F.col("modificationTime"), F.col("path")])
-    return first.join(catalog.select(*BUNDLE_KEYS), BUNDLE_KEYS, "left_anti")
+    return missing_from(cut(first), catalog, BUNDLE_KEYS)
 
 
 def pending_bundles(catalog: DataFrame, extracted: DataFrame) -> DataFrame:
     """Listed stats bundles that were not unpacked yet."""
-    return catalog.filter(F.col("file_type") == "stats").join(
-        extracted.select(*SNAPSHOT_KEYS), SNAPSHOT_KEYS, "left_anti"
-    )
+    return missing_from(catalog.filter(F.col("file_type") == "stats"), extracted, SNAPSHOT_KEYS)
 
 
 def current_status(log: DataFrame) -> DataFrame:

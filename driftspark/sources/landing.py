@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftspark.functions import names
 from driftspark.functions.sketches import is_sketch
@@ -19,8 +19,10 @@ MEMBERS = (
     "sensor_id string, timestamp string, file_type string, path string, "
     "member string, payload binary, error string"
 )
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_TRIGGER = 10_000
 CHUNK_BYTES = 32 << 20
+CHUNK_ROWS = 5_000
 
 
 def with_bundle_keys(files: DataFrame) -> DataFrame:
@@ -53,6 +55,7 @@ def stream_landing(
     """The same as a stream; a micro-batch never holds more than ``max_files`` bundles."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILES)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.tar.gz")
         .option("maxFilesPerTrigger", str(max_files))
@@ -71,26 +74,26 @@ def _archive_members(content: bytes) -> dict[str, bytes]:
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
+    size = 0
     for batch in batches:
         for row in batch.to_pylist():
             content = row.pop("content")
             try:
                 members = _archive_members(content)
             except (tarfile.TarError, OSError, EOFError, zlib.error) as broken:
-                failed = {**row, "error": f"{type(broken).__name__}: {broken}"}
-                yield pa.RecordBatch.from_pylist([failed], schema)
+                rows.append({**row, "error": f"{type(broken).__name__}: {broken}"})
                 continue
-            rows, size = [], 0
             for member, payload in members.items():
                 # Sample images are listed, not stored.
                 keep = payload if row["file_type"] == "stats" else None
                 rows.append({**row, "member": member, "payload": keep})
                 size += len(keep or b"")
-                if size > CHUNK_BYTES:
+                if size > CHUNK_BYTES or len(rows) >= CHUNK_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def expand_bundles(bundles: DataFrame) -> DataFrame:
@@ -114,27 +117,41 @@ def broken_bundles(members: DataFrame) -> DataFrame:
     return members.filter(F.col("error").isNotNull())
 
 
-def inventory(members: DataFrame) -> DataFrame:
-    """Sketch members of the four metric families, with metric and submetric."""
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"/[^/]+$", "")
+
+
+def _is_listed(member: Column) -> Column:
+    return names.member_metrictype(member).isin(*names.METRIC_TYPES) & names.is_sketch_file(
+        names.member_file(member)
+    )
+
+
+def _is_sample(member: Column) -> Column:
+    file_name = names.member_file(member)
+    return file_name.rlike(names.SAMPLE_TIME + "$") & ~file_name.startswith("._")
+
+
+def _described(members: DataFrame) -> DataFrame:
+    """Metric family, metric and submetric from the member name; path of the member."""
     member = F.col("member")
-    listed = members.withColumns(
+    stem = F.regexp_replace(names.member_file(member), names.SAMPLE_TIME + "$", "")
+    metric, submetric = names.split_name(stem)
+    return members.withColumns(
         {
             "metrictype": names.member_metrictype(member),
-            "file_name": names.member_file(member),
-        }
-    ).filter(
-        F.col("metrictype").isin(*names.METRIC_TYPES)
-        & names.is_sketch_file(F.col("file_name"))
-    )
-    metric, submetric = names.split_name(F.col("file_name"))
-    folder = F.regexp_replace("path", r"/[^/]+$", "")
-    return listed.withColumns(
-        {
             "metric": metric,
             "submetric": submetric,
-            "path": F.concat_ws("/", folder, "metrictype", "file_name"),
+            "path": F.concat_ws(
+                "/", _folder(F.col("path")), names.member_metrictype(member), names.member_file(member)
+            ),
         }
-    ).drop("member", "file_name")
+    )
+
+
+def inventory(members: DataFrame) -> DataFrame:
+    """Sketch members of the four metric families, with metric and submetric."""
+    return _described(members.filter(_is_listed(F.col("member")))).drop("member")
 
 
 def load_sketches(listed: DataFrame) -> DataFrame:
@@ -143,22 +160,30 @@ def load_sketches(listed: DataFrame) -> DataFrame:
 
 
 def sample_listing(members: DataFrame) -> DataFrame:
-    """Sample files of data bundles: ``family/metric[_submetric]_micros.png``."""
+    """Sample files of data bundles, named ``family/metric[_submetric]_micros.png``."""
+    wanted = (F.col("file_type") == "data") & _is_sample(F.col("member"))
+    return _described(members.filter(wanted)).drop("member").withColumnRenamed("path", "url")
+
+
+def classify_members(members: DataFrame) -> DataFrame:
+    """Everything a bundle may hold in one pass, told apart by ``kind``: ``sketch``,
+    ``sample``, ``bad_sketch`` or ``bad_bundle``. Other members are left out.
+    """
     member = F.col("member")
-    stem = F.regexp_replace(names.member_file(member), names.SAMPLE_TIME + "$", "")
-    metric, submetric = names.split_name(stem)
-    listed = members.filter(
-        (F.col("file_type") == "data")
-        & names.member_file(member).rlike(names.SAMPLE_TIME + "$")
-        & ~names.member_file(member).startswith("._")
+    kind = (
+        F.when(F.col("error").isNotNull(), "bad_bundle")
+        .when((F.col("file_type") == "data") & _is_sample(member), "sample")
+        .when(
+            (F.col("file_type") == "stats") & _is_listed(member),
+            F.when(is_sketch(F.col("payload")), "sketch").otherwise("bad_sketch"),
+        )
     )
-    return listed.withColumns(
-        {
-            "metrictype": names.member_metrictype(member),
-            "metric": metric,
-            "submetric": submetric,
-            "url": F.concat_ws("/", F.regexp_replace("path", r"/[^/]+$", ""), member),
-        }
+    broken_path = F.when(F.col("error").isNotNull(), F.col("path"))
+    kept = members.withColumns({"kind": kind, "_broken": broken_path}).filter("kind is not null")
+    return (
+        _described(kept)
+        .withColumn("path", F.coalesce("_broken", "path"))
+        .drop("member", "_broken")
     )
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import tarfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftspark.functions.names import REFERENCE
@@ -184,24 +185,22 @@ def sample_documents(flat: DataFrame) -> DataFrame:
     )
 
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    """One sensor's sketches as the tar.gz bundle it would upload."""
-    buffer = io.BytesIO()
-    with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
-        for row in group.itertuples():
-            info = tarfile.TarInfo(f"customstats/{row.metric}_{row.submetric}.bin")
-            info.size = len(row.sketch)
-            tar.addfile(info, io.BytesIO(row.sketch))
-    sensor, stamp = group["sensor_id"].iloc[0], group["timestamp"].iloc[0]
-    return pd.DataFrame(
-        {
-            "sensor_id": [sensor],
-            "timestamp": [stamp],
-            "file_type": ["stats"],
-            "path": [f"/landing/bundles/stats/{sensor}/{stamp}/stats.tar.gz"],
-            "content": [buffer.getvalue()],
-        }
-    )
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sensor snapshot's sketches as the tar.gz bundle it would upload."""
+    for batch in batches:
+        contents = []
+        for members in batch.column("members").to_pylist():
+            buffer = io.BytesIO()
+            with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
+                for m in members:
+                    info = tarfile.TarInfo(f"customstats/{m['metric']}_{m['submetric']}.bin")
+                    info.size = len(m["sketch"])
+                    tar.addfile(info, io.BytesIO(m["sketch"]))
+            contents.append(buffer.getvalue())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(contents, pa.binary())],
+            ["sensor_id", "timestamp", "file_type", "path", "content"],
+        )
 
 
 def packed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +210,14 @@ def packed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches = build_sketches(monthly(observations(spark, sf_dir)), [*keys, "metric", "submetric"])
     # Packing costs far more than its few bytes suggest, so partitions are not coalesced.
     spread = sketches.repartition(spark.sparkContext.defaultParallelism, *keys)
-    return spread.groupBy(*keys).applyInPandas(
+    bundles = spread.groupBy(*keys).agg(
+        F.collect_list(F.struct("metric", "submetric", "sketch")).alias("members")
+    )
+    return bundles.select(
+        *keys,
+        F.lit("stats").alias("file_type"),
+        F.concat_ws("/", F.lit("/landing/bundles/stats"), *keys, F.lit("stats.tar.gz")).alias("path"),
+        "members",
+    ).mapInArrow(
         _pack, "sensor_id string, timestamp string, file_type string, path string, content binary"
     )
