@@ -1,41 +1,36 @@
-"""Small array helpers, all of them plain column expressions."""
+"""Array helpers as SQL fragments.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+A fragment is the text of an expression. Composing text and parsing it once keeps the
+nested lambdas readable and costs the driver one call instead of thousands.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once and call it ``name`` inside ``body``.
 
     The optimizer merges neighbouring projections, which would copy an expensive
     expression into every iteration of a lambda; a lambda argument is not copied.
     """
-    return F.transform(F.array(value), body)[0]
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def let_pair(p: Column, q: Column, body: Callable[[Column, Column], Column]) -> Column:
-    return let(F.struct(p.alias("p"), q.alias("q")), lambda s: body(s["p"], s["q"]))
+def let_pair(p: str, q: str, name: str, body: str) -> str:
+    """Like ``let`` for two values, called ``name.p`` and ``name.q``."""
+    return let(f"named_struct('p', {p}, 'q', {q})", name, body)
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
+def total(a: str) -> str:
+    return f"aggregate({a}, 0D, (acc, v) -> acc + v)"
 
 
-def total_of(p: Column, q: Column, term: Callable[[Column, Column], Column]) -> Column:
-    """Sum of ``term(p[i], q[i])``."""
-    return total(F.zip_with(p, q, term))
+def total_of(p: str, q: str, term: str) -> str:
+    """Sum of a term over a in ``p`` and b in ``q``, taken in step."""
+    return total(f"zip_with({p}, {q}, (a, b) -> {term})")
 
 
-def average_ranks(a: Column) -> Column:
+def average_ranks(a: str) -> str:
     """1-based ranks, ties sharing their average rank."""
-    return let(
-        a,
-        lambda v: F.transform(
-            v,
-            lambda e: F.size(F.filter(v, lambda o: o < e))
-            + (F.size(F.filter(v, lambda o: o == e)) + 1) / F.lit(2.0),
-        ),
-    )
+    rank = "size(filter(r, o -> o < e)) + (size(filter(r, o -> o = e)) + 1) / 2D"
+    return let(a, "r", f"transform(r, e -> {rank})")

@@ -1,230 +1,190 @@
-"""Rebinning and the ten histogram distances, as column expressions.
+"""Rebinning and the ten histogram distances, as SQL fragments over array columns.
 
-Every function takes array columns of one row, so comparing a million keys needs no
-shuffle beyond the one that built the histograms. ``p`` is the current side and ``q``
-the reference side, both already on common bins. NULL stands for "undefined".
+Every fragment works within one row, so comparing a million keys needs no shuffle beyond
+the one that built the histograms. ``p`` is the current side and ``q`` the reference side,
+both already on common bins. NULL stands for "undefined".
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
-
 from driftspark.functions.arrays import average_ranks, let, let_pair, total, total_of
 
 EDGE_DIGITS = 12
 PSI_FLOOR = 1e-4
+INFINITY = "double('Infinity')"
 
 
 # --- bins ---------------------------------------------------------------------------
 
 
-def normalize_bins(x: Column) -> Column:
+def normalize_bins(x: str) -> str:
     """Arbitrary edges scaled to [0, 1]; rounded so equal edges stay equal."""
     return let(
-        F.struct(x.alias("x"), F.array_min(x).alias("lo"), F.array_max(x).alias("hi")),
-        lambda s: F.transform(
-            s["x"],
-            lambda e: F.round(F.try_divide(e - s["lo"], s["hi"] - s["lo"]), EDGE_DIGITS),
-        ),
+        f"named_struct('x', {x}, 'lo', array_min({x}), 'hi', array_max({x}))",
+        "s",
+        f"transform(s.x, e -> round(try_divide(e - s.lo, s.hi - s.lo), {EDGE_DIGITS}))",
     )
 
 
-def unit_edges(x: Column) -> Column:
+def unit_edges(x: str) -> str:
     """Edges of an equal-step histogram scaled to [0, 1], free of rounding noise.
 
     A constant feature has edges c, c+step, ..., c+(n-1)*step, c: the last one wraps
     back to 0 after scaling, which later leaves its interval empty.
     """
+    constant = "concat(transform(sequence(0, s.n - 1), i -> i / (s.n - 1)), array(0D))"
     return let(
-        x,
-        lambda e: let(
-            F.size(e) - 1,
-            lambda n: F.when(
-                F.get(e, F.lit(0)) == F.get(e, n),
-                F.concat(
-                    F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / (n - 1)),
-                    F.array(F.lit(0.0)),
-                ),
-            ).otherwise(F.transform(F.sequence(F.lit(0), n), lambda i: i / n)),
-        ),
+        f"named_struct('x', {x}, 'n', size({x}) - 1)",
+        "s",
+        f"CASE WHEN s.x[0] = s.x[s.n] THEN {constant} "
+        "ELSE transform(sequence(0, s.n), i -> i / s.n) END",
     )
 
 
-def is_degenerate(edges: Column) -> Column:
-    return F.element_at(edges, -1) != 1.0
+def is_degenerate(edges: str) -> str:
+    return f"(element_at({edges}, -1) <> 1D)"
 
 
-def common_bins(edges_p: Column, edges_q: Column) -> Column:
-    return F.array_sort(F.array_union(edges_p, edges_q))
+def common_bins(edges_p: str, edges_q: str) -> str:
+    return f"array_sort(array_union({edges_p}, {edges_q}))"
 
 
-def rebin(hist: Column, edges: Column, common: Column) -> Column:
+def rebin(hist: str, edges: str, common: str) -> str:
     """Copy each source bin's mass, undivided, to every common bin inside it."""
+    mass = "CASE WHEN s.e[i] <= start AND start < s.e[i + 1] THEN s.h[i] ELSE 0D END"
     return let(
-        F.struct(
-            F.arrays_zip(
-                F.slice(edges, F.lit(1), F.size(edges) - 1).alias("lo"),
-                F.slice(edges, F.lit(2), F.size(edges) - 1).alias("hi"),
-                F.slice(hist, F.lit(1), F.size(edges) - 1).alias("mass"),
-            ).alias("bins"),
-            F.slice(common, F.lit(1), F.size(common) - 1).alias("starts"),
-        ),
-        lambda s: F.transform(
-            s["starts"],
-            lambda start: F.aggregate(
-                s["bins"],
-                F.lit(0.0),
-                lambda acc, b: acc
-                + F.when((b["lo"] <= start) & (start < b["hi"]), b["mass"]).otherwise(0.0),
-            ),
-        ),
+        f"named_struct('e', {edges}, 'h', {hist})",
+        "s",
+        f"transform(slice({common}, 1, size({common}) - 1), start -> "
+        f"aggregate(sequence(0, size(s.e) - 2), 0D, (acc, i) -> acc + {mass}))",
     )
 
 
-def rebin_pair(pmf_p: Column, edges_p: Column, pmf_q: Column, edges_q: Column) -> Column:
+def rebin_pair(pmf_p: str, edges_p: str, pmf_q: str, edges_q: str) -> str:
     """Struct ``(p, q)`` on common bins. Sides with the same grid need no rebinning."""
-    same = (edges_p == edges_q) & ~is_degenerate(edges_p)
-    head = lambda pmf: F.slice(pmf, F.lit(1), F.size(pmf) - 1)
-    return F.when(same, F.struct(head(pmf_p).alias("p"), head(pmf_q).alias("q"))).otherwise(
-        let(
-            common_bins(edges_p, edges_q),
-            lambda c: F.struct(
-                rebin(pmf_p, edges_p, c).alias("p"), rebin(pmf_q, edges_q, c).alias("q")
-            ),
-        )
+    head = lambda pmf: f"slice({pmf}, 1, size({pmf}) - 1)"
+    rebinned = let(
+        common_bins(edges_p, edges_q),
+        "grid",
+        f"named_struct('p', {rebin(pmf_p, edges_p, 'grid')}, 'q', {rebin(pmf_q, edges_q, 'grid')})",
+    )
+    return (
+        f"CASE WHEN {edges_p} = {edges_q} AND NOT {is_degenerate(edges_p)} "
+        f"THEN named_struct('p', {head(pmf_p)}, 'q', {head(pmf_q)}) ELSE {rebinned} END"
     )
 
 
 # --- distances on common bins ---------------------------------------------------------
 
 
-def euclidean_distance(p: Column, q: Column) -> Column:
-    return F.sqrt(total_of(p, q, lambda a, b: (a - b) * (a - b)))
+def euclidean_distance(p: str, q: str) -> str:
+    return f"sqrt({total_of(p, q, '(a - b) * (a - b)')})"
 
 
-def manhattan_distance(p: Column, q: Column) -> Column:
-    return total_of(p, q, lambda a, b: F.abs(a - b))
+def manhattan_distance(p: str, q: str) -> str:
+    return total_of(p, q, "abs(a - b)")
 
 
-def cosine_similarity(p: Column, q: Column) -> Column:
-    def body(p: Column, q: Column) -> Column:
-        dot = lambda a, b: total_of(a, b, lambda u, v: u * v)
-        return F.try_divide(dot(p, q), F.sqrt(dot(p, p) * dot(q, q)))
+def _dot(a: str, b: str) -> str:
+    return total_of(a, b, "a * b")
 
-    return let_pair(p, q, body)
 
+def cosine_similarity(p: str, q: str) -> str:
+    norms = f"sqrt({_dot('s.p', 's.p')} * {_dot('s.q', 's.q')})"
+    return let_pair(p, q, "s", f"try_divide({_dot('s.p', 's.q')}, {norms})")
 
-def pearson_correlation(p: Column, q: Column) -> Column:
-    def centred(a: Column) -> Column:
-        return let(a, lambda v: let(total(v) / F.size(v), lambda m: F.transform(v, lambda e: e - m)))
 
-    def body(p: Column, q: Column) -> Column:
-        varies = (F.array_min(p) < F.array_max(p)) & (F.array_min(q) < F.array_max(q))
-        dot = lambda a, b: total_of(a, b, lambda u, v: u * v)
-        r = let_pair(
-            centred(p),
-            centred(q),
-            lambda a, b: F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))),
-        )
-        return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+def pearson_correlation(p: str, q: str) -> str:
+    def centred(a: str) -> str:
+        return let(a, "w", let(f"{total('w')} / size(w)", "m", "transform(w, e -> e - m)"))
 
-    return let_pair(p, q, body)
+    norms = f"sqrt({_dot('c.p', 'c.p')}) * sqrt({_dot('c.q', 'c.q')})"
+    r = let_pair(centred("s.p"), centred("s.q"), "c", f"try_divide({_dot('c.p', 'c.q')}, {norms})")
+    varies = "array_min(s.p) < array_max(s.p) AND array_min(s.q) < array_max(s.q)"
+    return let_pair(p, q, "s", f"CASE WHEN {varies} THEN greatest(-1D, least(1D, {r})) END")
 
 
-def spearman_rank_correlation(p: Column, q: Column) -> Column:
+def spearman_rank_correlation(p: str, q: str) -> str:
     return pearson_correlation(average_ranks(p), average_ranks(q))
 
 
-def _as_distribution(a: Column) -> Column:
-    return let(a, lambda v: let(total(v), lambda t: F.transform(v, lambda e: F.try_divide(e, t))))
+def _as_distribution(a: str) -> str:
+    return let(a, "w", let(total("w"), "t", "transform(w, e -> try_divide(e, t))"))
 
 
-def _relative_entropy(p: Column, q: Column) -> Column:
+def _relative_entropy(p: str, q: str) -> str:
     """Sum of p*ln(p/q), with 0*ln(0) = 0 and infinity where q = 0 < p."""
-    return total_of(
-        p,
-        q,
-        lambda a, b: F.when(a == 0.0, F.lit(0.0))
-        .when(b == 0.0, F.lit(math.inf))
-        .otherwise(a * F.ln(a / b)),
-    )
+    term = f"CASE WHEN a = 0D THEN 0D WHEN b = 0D THEN {INFINITY} ELSE a * ln(a / b) END"
+    return total_of(p, q, term)
 
 
-def jensen_shannon_divergence(p: Column, q: Column) -> Column:
+def jensen_shannon_divergence(p: str, q: str) -> str:
     """The distance, i.e. the square root of the divergence (natural logarithm)."""
-
-    def body(p: Column, q: Column) -> Column:
-        mean = F.zip_with(p, q, lambda a, b: (a + b) / 2)
-        both = let(mean, lambda m: _relative_entropy(p, m) + _relative_entropy(q, m))
-        return F.sqrt(F.when(both < 0.0, F.lit(0.0)).otherwise(both) / 2)
-
-    return let_pair(_as_distribution(p), _as_distribution(q), body)
+    both = let(
+        "zip_with(s.p, s.q, (a, b) -> (a + b) / 2)",
+        "m",
+        f"{_relative_entropy('s.p', 'm')} + {_relative_entropy('s.q', 'm')}",
+    )
+    root = let(both, "d", "sqrt(CASE WHEN d < 0D THEN 0D ELSE d END / 2)")
+    return let_pair(_as_distribution(p), _as_distribution(q), "s", root)
 
 
-def kullback_leibler_divergence(p: Column, q: Column) -> Column:
-    return let_pair(_as_distribution(p), _as_distribution(q), _relative_entropy)
+def kullback_leibler_divergence(p: str, q: str) -> str:
+    return let_pair(
+        _as_distribution(p), _as_distribution(q), "s", _relative_entropy("s.p", "s.q")
+    )
 
 
-def hellinger_distance(p: Column, q: Column) -> Column:
+def hellinger_distance(p: str, q: str) -> str:
     """Bin masses are taken as they are, not normalized first."""
-    gap = lambda a, b: (F.sqrt(a) - F.sqrt(b)) * (F.sqrt(a) - F.sqrt(b))
-    return F.sqrt(total_of(p, q, gap)) / math.sqrt(2.0)
+    gap = "(sqrt(a) - sqrt(b)) * (sqrt(a) - sqrt(b))"
+    return f"sqrt({total_of(p, q, gap)}) / sqrt(2D)"
 
 
-def wasserstein_distance(p: Column, q: Column) -> Column:
+def wasserstein_distance(p: str, q: str) -> str:
     """Earth mover's distance between the two sets of bin heights."""
-    return let_pair(
-        p,
-        q,
-        lambda p, q: total_of(F.array_sort(p), F.array_sort(q), lambda a, b: F.abs(a - b))
-        / F.size(p),
-    )
+    moved = total_of("array_sort(s.p)", "array_sort(s.q)", "abs(a - b)")
+    return let_pair(p, q, "s", f"{moved} / size(s.p)")
 
 
 # --- PSI works on the histograms as they come --------------------------------------------
 
 
-def _sampled(edges: Column, pmf: Column, num_buckets: int) -> Column:
-    """Histogram read at k/num_buckets by linear interpolation, exact at the edges."""
-
-    def read(s: Column, k: Column) -> Column:
-        t = k / F.lit(float(num_buckets))
-
-        def between(hi: Column) -> Column:
-            x0, x1 = F.get(s["e"], hi - 1), F.get(s["e"], hi)
-            y0, y1 = F.get(s["h"], hi - 1), F.get(s["h"], hi)
-            return F.when(x1 == t, y1).otherwise(y0 + F.try_divide(y1 - y0, x1 - x0) * (t - x0))
-
-        below = F.size(F.filter(s["e"], lambda e: e < t))
-        return let(F.greatest(F.lit(1), F.least(F.size(s["e"]) - 1, below)), between)
-
-    return let(
-        F.struct(edges.alias("e"), pmf.alias("h")),
-        lambda s: F.transform(F.sequence(F.lit(0), F.lit(num_buckets)), lambda k: read(s, k)),
+def _sampled(edges: str, pmf: str, num_buckets: int) -> str:
+    """Histogram read at k/num_buckets by linear interpolation, exact at the edges;
+    zeros become 1e-4."""
+    at = f"k / {num_buckets}D"
+    upper = f"greatest(1, least(size(g.e) - 1, size(filter(g.e, e -> e < {at}))))"
+    slope = "try_divide(g.h[hi] - g.h[hi - 1], g.e[hi] - g.e[hi - 1])"
+    height = let(
+        upper,
+        "hi",
+        f"CASE WHEN g.e[hi] = {at} THEN g.h[hi] "
+        f"ELSE g.h[hi - 1] + {slope} * ({at} - g.e[hi - 1]) END",
     )
+    heights = let(
+        f"named_struct('e', {edges}, 'h', {pmf})",
+        "g",
+        f"transform(sequence(0, {num_buckets}), k -> {height})",
+    )
+    return f"transform({heights}, y -> CASE WHEN y = 0D THEN {PSI_FLOOR}D ELSE y END)"
 
 
-def psi(
-    pmf_p: Column, edges_p: Column, pmf_q: Column, edges_q: Column, num_buckets: int = 10
-) -> Column:
-    """Population stability index over samples of both histograms; zeros become 1e-4.
-
-    Undefined (NULL) when a side is a constant feature.
+def psi(pmf_p: str, edges_p: str, pmf_q: str, edges_q: str, num_buckets: int = 10) -> str:
+    """Population stability index over samples of both histograms. Undefined (NULL) when
+    a side is a constant feature.
     """
-    filled = lambda v: F.when(v == 0.0, F.lit(PSI_FLOOR)).otherwise(v)
-    term = lambda a, b: (filled(a) - filled(b)) * F.ln(filled(a) / filled(b))
-    return F.when(
-        ~(is_degenerate(edges_p) | is_degenerate(edges_q)),
-        total_of(
-            _sampled(edges_p, pmf_p, num_buckets), _sampled(edges_q, pmf_q, num_buckets), term
-        ),
+    index = total_of(
+        _sampled(edges_p, pmf_p, num_buckets),
+        _sampled(edges_q, pmf_q, num_buckets),
+        "(a - b) * ln(a / b)",
     )
+    return f"CASE WHEN NOT ({is_degenerate(edges_p)} OR {is_degenerate(edges_q)}) THEN {index} END"
 
 
-BINNED: dict[str, Callable[[Column, Column], Column]] = {
+BINNED: dict[str, Callable[[str, str], str]] = {
     f.__name__: f
     for f in (
         euclidean_distance,

@@ -1,9 +1,7 @@
-"""KLL float sketch expressions on top of Spark's ``kll_*`` functions."""
+"""Histogram grids and KLL float sketches, as SQL fragments over Spark's ``kll_*``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from driftspark.functions.arrays import let
 
 # Fixed values of the public KLL float sketch layout.
@@ -15,116 +13,120 @@ VERSION_FULL = 1
 VERSION_SINGLE_ITEM = 2
 
 
-def _byte(buffer: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(buffer, at + 1, 1)), 16, 10).cast("int")
-
+# --- equal-step grid ----------------------------------------------------------------------
 
-def _uint(buffer: Column, at: int, width: int) -> Column:
-    """Little-endian unsigned integer of ``width`` bytes."""
-    value = _byte(buffer, at).cast("long")
-    for i in range(1, width):
-        value = value + _byte(buffer, at + i) * F.lit(256**i)
-    return value
 
+def grid_step(low: str, high: str, num_splits: int) -> str:
+    """Histogram step; a constant feature gets 0.01."""
+    return f"(CASE WHEN {high} > {low} THEN ({high} - {low}) / {num_splits}D ELSE 0.01D END)"
 
-def _full_length(buffer: Column) -> Column:
-    """Length a multi-item sketch must have, from its header.
 
-    Levels shrink by 2/3 from k, but never below m; the first level offset says how
-    many of the slots are unused.
-    """
-    k, m = _uint(buffer, 4, 2), _byte(buffer, 6).cast("long")
-    levels = _byte(buffer, 18)
+def grid_bin(value: str, low: str, high: str, num_splits: int) -> str:
+    """Bin number 1..num_splits; the top bin is closed on the right."""
+    step = grid_step(low, high, num_splits)
+    return f"cast(least({num_splits}, floor(({value} - {low}) / {step}) + 1) as int)"
 
-    def capacity(depth: Column) -> Column:
-        twice = F.floor(2 * k * F.pow(F.lit(2.0), depth) / F.pow(F.lit(3.0), depth))
-        return F.greatest(m, F.floor((twice + 1) / 2))
 
-    slots = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(levels, F.lit(1)) - 1),
-        F.lit(0).cast("long"),
-        lambda acc, depth: acc + capacity(depth),
+def grid_bin_single(value: str, low: str, high: str, num_splits: int) -> str:
+    """``grid_bin`` for values of a float sketch, which compares single-precision values
+    with single-precision split points: a value on a split belongs to the bin above it.
+    """
+    step = grid_step(low, high, num_splits)
+    split = lambda i: f"double(float({low} + ({i}) * {step}))"
+    settled = (
+        f"CASE WHEN i < {num_splits} AND {value} >= {split('i')} THEN i + 1 "
+        f"WHEN i > 1 AND {value} < {split('i - 1')} THEN i - 1 ELSE i END"
     )
-    return 20 + 4 * levels + 8 + 4 * (slots - _uint(buffer, 20, 4))
+    return let(grid_bin(value, low, high, num_splits), "i", settled)
 
 
-def is_sketch(buffer: Column) -> Column:
-    """True when the bytes are a complete compact KLL float sketch.
+def grid_edges(low: str, high: str, num_splits: int) -> str:
+    """num_splits split points followed by the maximum."""
+    step = grid_step(low, high, num_splits)
+    return f"concat(transform(sequence(0, {num_splits - 1}), i -> {low} + i * {step}), array({high}))"
 
-    Merging a broken buffer fails the whole query, so buffers are checked first: family
-    and version by header, truncation by comparing the length with what it implies.
-    """
-    length = F.length(buffer)
-    family = _byte(buffer, 2) == KLL_FAMILY
-    preamble, version = _byte(buffer, 0), _byte(buffer, 1)
-    empty = _byte(buffer, 3).bitwiseAND(F.lit(FLAG_EMPTY)) == 1
-    return F.coalesce(
-        F.when(length < 8, False)
-        .when(~family, False)
-        .when(empty, (preamble == PREAMBLE_INTS_SHORT) & (length == 8))
-        .when(version == VERSION_SINGLE_ITEM, (preamble == PREAMBLE_INTS_SHORT) & (length == 12))
-        .when((version != VERSION_FULL) | (preamble != PREAMBLE_INTS_FULL) | (length < 32), False)
-        .otherwise(length == _full_length(buffer)),
-        F.lit(False),
-    )
 
+# --- sketches -------------------------------------------------------------------------------
 
-def sketch_count(sketch: Column) -> Column:
-    return F.kll_sketch_get_n_float(sketch)
 
+def _byte(buffer: str, at: int) -> str:
+    return f"bigint(conv(hex(substring({buffer}, {at + 1}, 1)), 16, 10))"
 
-def sketch_quantiles(sketch: Column, ranks: list[float]) -> Column:
-    """Quantiles at fixed ranks, NULL for an empty sketch."""
-    literal = F.array(*[F.lit(r) for r in ranks])
-    return F.when(sketch_count(sketch) > 0, F.kll_sketch_get_quantile_float(sketch, literal))
 
+def _uint(buffer: str, at: int, width: int) -> str:
+    """Little-endian unsigned integer of ``width`` bytes."""
+    return "(" + " + ".join(f"{_byte(buffer, at + i)} * {256**i}" for i in range(width)) + ")"
 
-def grid_step(low: Column, high: Column, num_splits: int) -> Column:
-    """Histogram step; a constant feature gets 0.01."""
-    return F.when(high > low, (high - low) / F.lit(float(num_splits))).otherwise(F.lit(0.01))
 
+def _full_length(buffer: str) -> str:
+    """Length a multi-item sketch must have, from its header.
 
-def grid_bin(value: Column, low: Column, high: Column, num_splits: int) -> Column:
-    """Bin number 1..num_splits; the top bin is closed on the right."""
-    place = F.floor((value - low) / grid_step(low, high, num_splits)) + 1
-    return F.least(F.lit(num_splits).cast("long"), place).cast("int")
+    Levels shrink by 2/3 from k, but never below m; the first level offset says how
+    many of the slots are unused.
+    """
+    k, m, levels = _uint(buffer, 4, 2), _byte(buffer, 6), _byte(buffer, 18)
+    twice = "floor(2 * h.k * power(2D, depth) / power(3D, depth))"
+    slots = (
+        "aggregate(sequence(0, int(greatest(h.levels, 1)) - 1), 0L, "
+        f"(acc, depth) -> acc + greatest(h.m, floor(({twice} + 1) / 2)))"
+    )
+    return let(
+        f"named_struct('k', {k}, 'm', {m}, 'levels', {levels}, 'unused', {_uint(buffer, 20, 4)})",
+        "h",
+        f"20 + 4 * h.levels + 8 + 4 * ({slots} - h.unused)",
+    )
 
 
-def grid_bin_single(value: Column, low: Column, high: Column, num_splits: int) -> Column:
-    """``grid_bin`` for values of a float sketch, which compares single-precision values
-    with single-precision split points: a value on a split belongs to the bin above it.
+def is_sketch(buffer: str) -> str:
+    """True when the bytes are a complete compact KLL float sketch.
+
+    Merging a broken buffer fails the whole query, so buffers are checked first: family
+    and version by header, truncation by comparing the length with what it implies.
     """
-    step = grid_step(low, high, num_splits)
-    split = lambda i: (low + i * step).cast("float").cast("double")
+    length, preamble, version = f"length({buffer})", _byte(buffer, 0), _byte(buffer, 1)
+    short = f"{preamble} = {PREAMBLE_INTS_SHORT}"
+    return f"""coalesce(CASE
+      WHEN {length} < 8 OR {_byte(buffer, 2)} <> {KLL_FAMILY} THEN false
+      WHEN {_byte(buffer, 3)} & {FLAG_EMPTY} = 1 THEN {short} AND {length} = 8
+      WHEN {version} = {VERSION_SINGLE_ITEM} THEN {short} AND {length} = 12
+      WHEN {version} <> {VERSION_FULL} OR {preamble} <> {PREAMBLE_INTS_FULL} OR {length} < 32
+        THEN false
+      ELSE {length} = {_full_length(buffer)} END, false)"""
 
-    def settle(i: Column) -> Column:
-        return (
-            F.when((i < num_splits) & (value >= split(i)), i + 1)
-            .when((i > 1) & (value < split(i - 1)), i - 1)
-            .otherwise(i)
-        )
 
-    return let(grid_bin(value, low, high, num_splits), settle)
+def sketch_count(sketch: str) -> str:
+    return f"kll_sketch_get_n_float({sketch})"
 
 
-def grid_edges(low: Column, high: Column, num_splits: int) -> Column:
-    """num_splits split points followed by the maximum."""
-    step = grid_step(low, high, num_splits)
-    return F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(num_splits - 1)), lambda i: low + i * step),
-        F.array(high),
+def sketch_quantiles(sketch: str, ranks: list[float]) -> str:
+    """Quantiles at fixed ranks, NULL for an empty sketch."""
+    literal = ", ".join(f"{r!r}D" for r in ranks)
+    return (
+        f"CASE WHEN {sketch_count(sketch)} > 0 "
+        f"THEN kll_sketch_get_quantile_float({sketch}, array({literal})) END"
     )
 
 
-def sketch_pmf(quantiles: Column, low: Column, high: Column, num_splits: int, probes: int) -> Column:
+def sketch_pmf(quantiles: str, low: str, high: str, num_splits: int, probes: int) -> str:
     """Share of evenly spaced quantiles in each bin; slot 0 (below the minimum) is 0."""
-    bins = F.transform(
-        quantiles, lambda v: grid_bin_single(v.cast("double"), low, high, num_splits)
-    )
+    bins = f"transform({quantiles}, v -> {grid_bin_single('double(v)', low, high, num_splits)})"
+    share = f"({probes} - size(array_remove(bins, slot))) / {probes}D"
+    return let(bins, "bins", f"transform(sequence(0, {num_splits}), slot -> {share})")
+
+
+def sketch_shape(quantiles: str, num_splits: int, probes: int) -> str:
+    """Struct ``(x, pmf)`` from the minimum, the maximum and evenly spaced quantiles.
+    NULL for an infinite range."""
+    edges = grid_edges("s.low", "s.high", num_splits)
+    pmf = sketch_pmf("s.probes", "s.low", "s.high", num_splits, probes)
     return let(
-        bins,
-        lambda b: F.transform(
-            F.sequence(F.lit(0), F.lit(num_splits)),
-            lambda i: (probes - F.size(F.array_remove(b, i))) / F.lit(float(probes)),
+        let(
+            quantiles,
+            "z",
+            "named_struct('low', double(z[0]), 'high', double(z[1]), "
+            f"'probes', slice(z, 3, {probes}))",
         ),
+        "s",
+        f"CASE WHEN s.high - s.low < double('Infinity') "
+        f"THEN named_struct('x', {edges}, 'pmf', {pmf}) END",
     )

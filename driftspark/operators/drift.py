@@ -69,24 +69,18 @@ def with_common_bins(aligned: DataFrame, grid: bool = True) -> DataFrame:
     it arbitrary edges are scaled by their own range.
     """
     scale = d.unit_edges if grid else d.normalize_bins
-    return (
-        aligned.withColumns({"e_cur": scale(F.col("x_cur")), "e_ref": scale(F.col("x_ref"))})
-        .withColumn(
-            "_pq",
-            d.rebin_pair(F.col("pmf_cur"), F.col("e_cur"), F.col("pmf_ref"), F.col("e_ref")),
-        )
-        .withColumns({"p": F.col("_pq.p"), "q": F.col("_pq.q")})
-        .drop("_pq")
+    edges = aligned.withColumns(
+        {"e_cur": F.expr(scale("x_cur")), "e_ref": F.expr(scale("x_ref"))}
     )
+    pair = F.expr(d.rebin_pair("pmf_cur", "e_cur", "pmf_ref", "e_ref"))
+    return edges.withColumn("_pq", pair).select("*", "_pq.p", "_pq.q").drop("_pq")
 
 
 def metric_column(name: str, num_buckets: int = 10) -> Column:
     """A registered distance over the columns ``with_common_bins`` adds."""
     if name == "psi":
-        return d.psi(
-            F.col("pmf_cur"), F.col("e_cur"), F.col("pmf_ref"), F.col("e_ref"), num_buckets
-        )
-    return d.BINNED[name](F.col("p"), F.col("q"))
+        return F.expr(d.psi("pmf_cur", "e_cur", "pmf_ref", "e_ref", num_buckets))
+    return F.expr(d.BINNED[name]("p", "q"))
 
 
 def distances(
@@ -114,14 +108,14 @@ def distance_report(
         metric_column("psi").alias("psi"),
         metric_column("pearson_correlation").alias("pearson"),
         metric_column("euclidean_distance").alias("euclidean"),
-        (d.is_degenerate(F.col("e_cur")) | d.is_degenerate(F.col("e_ref"))).alias("degenerate"),
+        F.expr(f"{d.is_degenerate('e_cur')} or {d.is_degenerate('e_ref')}").alias("degenerate"),
     )
 
 
 def rebin_rows(aligned: DataFrame, keys: list[str] = KEYS, grid: bool = True) -> DataFrame:
     """Long form of the common bins: (keys, bin, edge, p, q)."""
     binned = with_common_bins(aligned, grid)
-    common = d.common_bins(F.col("e_cur"), F.col("e_ref"))
+    common = F.expr(d.common_bins("e_cur", "e_ref"))
     zipped = F.arrays_zip(
         F.slice(common, F.lit(1), F.size("p")).alias("edge"), F.col("p"), F.col("q")
     )

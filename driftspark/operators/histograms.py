@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from driftspark.functions import sketches as sk
-from driftspark.functions.arrays import let
+from driftspark.functions.names import is_sketch_file, split_name
 from driftspark.operators.joins import BROADCAST_ROWS, sized_join
 from driftspark.session import cut
 
@@ -63,14 +63,13 @@ def exact_histograms(
     """Histograms counted from the values. ``single_precision`` bins them the way a float
     sketch of them would be binned.
     """
-    low, high = F.col("low"), F.col("high")
     binned = sk.grid_bin
     if single_precision:
         observations = observations.withColumn("value", F.col("value").cast("float").cast("double"))
         binned = sk.grid_bin_single
     ranged = with_ranges(observations, keys, broadcast_rows)
     counts = (
-        ranged.withColumn("bin", binned(F.col("value"), low, high, num_splits))
+        ranged.withColumn("bin", F.expr(binned("value", "low", "high", num_splits)))
         .groupBy(*keys, "bin")
         .agg(
             F.count("value").alias("hits"),
@@ -86,12 +85,12 @@ def exact_histograms(
         F.first("n_obs").alias("n_obs"),
         F.map_from_entries(F.collect_list(F.struct("bin", "hits"))).alias("hits"),
     )
-    pmf = F.transform(
-        F.sequence(F.lit(0), F.lit(num_splits)),
-        lambda i: F.coalesce(F.try_element_at("hits", i), F.lit(0)) / F.col("n_obs"),
-    )
+    pmf = f"transform(sequence(0, {num_splits}), i -> coalesce(try_element_at(hits, i), 0) / n_obs)"
     return per_key.select(
-        *keys, "n_obs", sk.grid_edges(low, high, num_splits).alias("x"), pmf.alias("pmf")
+        *keys,
+        "n_obs",
+        F.expr(sk.grid_edges("low", "high", num_splits)).alias("x"),
+        F.expr(pmf).alias("pmf"),
     )
 
 
@@ -114,8 +113,6 @@ def gather_sketches(snapshots: DataFrame) -> DataFrame:
     The metric names come from the file name again; the metric family is dropped, so
     equal names of different families merge.
     """
-    from driftspark.functions.names import is_sketch_file, split_name
-
     listed = (
         snapshots.select("sensor_id", "timestamp", F.inline("type"))
         .select("sensor_id", "timestamp", F.inline("stats"))
@@ -163,28 +160,11 @@ def sketch_histograms(
     ranks = [0.0, 1.0] + [(i + 0.5) / probes for i in range(probes)]
     read = merged.select(
         *keys,
-        sk.sketch_count(F.col("sketch")).alias("n_obs"),
-        sk.sketch_quantiles(F.col("sketch"), ranks).alias("quantiles"),
+        F.expr(sk.sketch_count("sketch")).alias("n_obs"),
+        F.expr(sk.sketch_quantiles("sketch", ranks)).alias("quantiles"),
     ).filter("n_obs > 0")
-    histogram = let(
-        F.col("quantiles"),
-        lambda v: let(
-            F.struct(
-                F.get(v, F.lit(0)).cast("double").alias("low"),
-                F.get(v, F.lit(1)).cast("double").alias("high"),
-                F.slice(v, 3, probes).alias("probes"),
-            ),
-            lambda s: F.when(
-                s["high"] - s["low"] < float("inf"),
-                F.struct(
-                    sk.grid_edges(s["low"], s["high"], num_splits).alias("x"),
-                    sk.sketch_pmf(s["probes"], s["low"], s["high"], num_splits, probes).alias("pmf"),
-                ),
-            ),
-        ),
-    )
     return (
-        read.select(*keys, "n_obs", histogram.alias("h"))
+        read.select(*keys, "n_obs", F.expr(sk.sketch_shape("quantiles", num_splits, probes)).alias("h"))
         .filter("h is not null")
         .select(*keys, "n_obs", "h.x", "h.pmf")
     )

@@ -174,13 +174,13 @@ def rebinned_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _sides(spark, sf_dir)
-        .select(*SIDE_KEYS, F.posexplode(d.normalize_bins(F.col("x"))).alias("bin", "edge"))
+        .select(*SIDE_KEYS, F.posexplode(F.expr(d.normalize_bins("x"))).alias("bin", "edge"))
         .select(*SIDE_KEYS, "bin", *_round("edge"))
     )
 
 
 def common_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = d.common_bins(d.unit_edges(F.col("x_cur")), d.unit_edges(F.col("x_ref")))
+    edges = F.expr(d.common_bins(d.unit_edges("x_cur"), d.unit_edges("x_ref")))
     return (
         _mixed_grids(spark, sf_dir)
         .select(*KEYS, F.posexplode(edges).alias("bin", "edge"))

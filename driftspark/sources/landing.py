@@ -156,7 +156,7 @@ def inventory(members: DataFrame) -> DataFrame:
 
 def load_sketches(listed: DataFrame) -> DataFrame:
     """Inventory rows with ``readable``: whether the bytes are a whole KLL sketch."""
-    return listed.withColumn("readable", is_sketch(F.col("payload")))
+    return listed.withColumn("readable", F.expr(is_sketch("payload")))
 
 
 def sample_listing(members: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def classify_members(members: DataFrame) -> DataFrame:
         .when((F.col("file_type") == "data") & _is_sample(member), "sample")
         .when(
             (F.col("file_type") == "stats") & _is_listed(member),
-            F.when(is_sketch(F.col("payload")), "sketch").otherwise("bad_sketch"),
+            F.when(F.expr(is_sketch("payload")), "sketch").otherwise("bad_sketch"),
         )
     )
     broken_path = F.when(F.col("error").isNotNull(), F.col("path"))
