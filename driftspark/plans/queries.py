@@ -45,9 +45,8 @@ def exact_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.build_sketches(
-        tables.observations(spark, sf_dir), ["sensor_id", "is_reference", *KEYS]
-    )
+    observed = tables.observations(spark, sf_dir, spread_out=True)
+    return histograms.build_sketches(observed, ["sensor_id", "is_reference", *KEYS])
 
 
 def build_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +337,7 @@ def load_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cycle(spark: SparkSession, sf_dir: str, payload: DataFrame, histogram) -> DataFrame:
-    snaps = tables.monthly(tables.shipments(spark, sf_dir)).select(
-        "sensor_id", "timestamp"
-    ).distinct()
+    snaps = tables.shipments(spark, sf_dir).select("sensor_id", "timestamp").distinct()
     log = snaps.select(
         "*", F.lit("completed").alias("status"), F.concat_ws("/", "sensor_id", "timestamp").alias("path")
     )
@@ -352,7 +349,7 @@ def _cycle(spark: SparkSession, sf_dir: str, payload: DataFrame, histogram) -> D
 
 def run_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cycle in exact mode: suppliers' newest month against the newest baseline month."""
-    payload = tables.monthly(tables.observations(spark, sf_dir)).select(
+    payload = tables.observations(spark, sf_dir).select(
         "sensor_id", "timestamp", "metric", "submetric", "value"
     )
     results = _cycle(spark, sf_dir, payload, cy.from_values)
@@ -368,7 +365,7 @@ def run_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_sketch_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = histograms.build_sketches(
-        tables.monthly(tables.observations(spark, sf_dir)),
+        tables.observations(spark, sf_dir, spread_out=True),
         ["sensor_id", "timestamp", "metric", "submetric"],
     )
     results = _cycle(spark, sf_dir, payload, cy.from_sketches)

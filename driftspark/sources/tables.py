@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out to all cores when the files cannot be split that far, as with one
+    file of one row group. Inputs with enough splits are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def micros(ts: Column) -> Column:
     """Epoch microseconds of a zone-less timestamp, whatever the session time zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -29,9 +37,13 @@ def micros(ts: Column) -> Column:
     return (since * 1_000_000).cast("bigint")
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem rows with the sensor they come from; early ones are the reference."""
+def shipments(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """lineitem rows with the sensor they come from; early ones are the reference.
+    ``timestamp`` is the ship month as text.
+    """
     li = table(spark, sf_dir, "lineitem")
+    if spread_out:
+        li = spread(li, "l_orderkey")
     is_reference = F.col("l_shipdate") < F.lit(REFERENCE_UNTIL).cast("timestamp_ntz")
     return li.select(
         F.lit(PROJECT).alias("project_id"),
@@ -40,31 +52,30 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("sensor_id"),
         F.col("l_returnflag").alias("submetric"),
         F.col("l_shipdate").alias("ts"),
+        F.concat_ws(
+            "-",
+            F.year("l_shipdate").cast("string"),
+            F.lpad(F.month("l_shipdate").cast("string"), 2, "0"),
+        ).alias("timestamp"),
         is_reference.alias("is_reference"),
         *[F.col(f"l_{m}").alias(m) for m in MEASURES],
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem measures as (sensor_id, metric, submetric, value) with reference flag."""
-    return shipments(spark, sf_dir).unpivot(
-        ["project_id", "sensor_id", "submetric", "ts", "is_reference"],
+def observations(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """lineitem measures as (sensor_id, metric, submetric, value) with reference flag.
+
+    ``spread_out`` suits work that costs much more per row than the scan, as building
+    sketches does.
+    """
+    return shipments(spark, sf_dir, spread_out).unpivot(
+        ["project_id", "sensor_id", "submetric", "ts", "timestamp", "is_reference"],
         list(MEASURES),
         "metric",
         "value",
     )
 
 
-def monthly(observed: DataFrame) -> DataFrame:
-    """Observations with a snapshot ``timestamp``: the ship month as text."""
-    month = F.concat_ws(
-        "-",
-        F.year("ts").cast("string"),
-        F.lpad(F.month("ts").cast("string"), 2, "0"),
-    )
-    return observed.withColumn("timestamp", month)
-
-
 def channel_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding positions as channels; label 0 is the reference."""
     emb = table(spark, sf_dir, "embeddings")
@@ -207,7 +218,9 @@ def packed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem sketches per supplier and month, packed as uploads. A bundle holds one
     sketch per measure and return flag, however many rows went into it."""
     keys = ["sensor_id", "timestamp"]
-    sketches = build_sketches(monthly(observations(spark, sf_dir)), [*keys, "metric", "submetric"])
+    sketches = build_sketches(
+        observations(spark, sf_dir, spread_out=True), [*keys, "metric", "submetric"]
+    )
     # Packing costs far more than its few bytes suggest, so partitions are not coalesced.
     spread = sketches.repartition(spark.sparkContext.defaultParallelism, *keys)
     bundles = spread.groupBy(*keys).agg(
