@@ -27,17 +27,17 @@ def grid_bin(value: str, low: str, high: str, num_splits: int) -> str:
     return f"cast(least({num_splits}, floor(({value} - {low}) / {step}) + 1) as int)"
 
 
-def grid_bin_single(value: str, low: str, high: str, num_splits: int) -> str:
-    """``grid_bin`` for values of a float sketch, which compares single-precision values
-    with single-precision split points: a value on a split belongs to the bin above it.
+def settle_single(bin_number: str, value: str, low: str, high: str, num_splits: int) -> str:
+    """Corrects a bin number to what a float sketch counts: it compares single-precision
+    values with single-precision split points, a value on a split going up.
     """
     step = grid_step(low, high, num_splits)
     split = lambda i: f"double(float({low} + ({i}) * {step}))"
-    settled = (
-        f"CASE WHEN i < {num_splits} AND {value} >= {split('i')} THEN i + 1 "
-        f"WHEN i > 1 AND {value} < {split('i - 1')} THEN i - 1 ELSE i END"
+    b = bin_number
+    return (
+        f"CASE WHEN {b} < {num_splits} AND {value} >= {split(b)} THEN {b} + 1 "
+        f"WHEN {b} > 1 AND {value} < {split(f'{b} - 1')} THEN {b} - 1 ELSE {b} END"
     )
-    return let(grid_bin(value, low, high, num_splits), "i", settled)
 
 
 def grid_edges(low: str, high: str, num_splits: int) -> str:
@@ -109,7 +109,9 @@ def sketch_quantiles(sketch: str, ranks: list[float]) -> str:
 
 def sketch_pmf(quantiles: str, low: str, high: str, num_splits: int, probes: int) -> str:
     """Share of evenly spaced quantiles in each bin; slot 0 (below the minimum) is 0."""
-    bins = f"transform({quantiles}, v -> {grid_bin_single('double(v)', low, high, num_splits)})"
+    place = grid_bin("double(v)", low, high, num_splits)
+    settled = let(place, "i", settle_single("i", "double(v)", low, high, num_splits))
+    bins = f"transform({quantiles}, v -> {settled})"
     share = f"({probes} - size(array_remove(bins, slot))) / {probes}D"
     return let(bins, "bins", f"transform(sequence(0, {num_splits}), slot -> {share})")
 

@@ -63,14 +63,16 @@ def exact_histograms(
     """Histograms counted from the values. ``single_precision`` bins them the way a float
     sketch of them would be binned.
     """
-    binned = sk.grid_bin
     if single_precision:
         observations = observations.withColumn("value", F.col("value").cast("float").cast("double"))
-        binned = sk.grid_bin_single
-    ranged = with_ranges(observations, keys, broadcast_rows)
+    binned = with_ranges(observations, keys, broadcast_rows).withColumn(
+        "bin", F.expr(sk.grid_bin("value", "low", "high", num_splits))
+    )
+    if single_precision:
+        settled = sk.settle_single("bin", "value", "low", "high", num_splits)
+        binned = binned.withColumn("bin", F.expr(settled))
     counts = (
-        ranged.withColumn("bin", F.expr(binned("value", "low", "high", num_splits)))
-        .groupBy(*keys, "bin")
+        binned.groupBy(*keys, "bin")
         .agg(
             F.count("value").alias("hits"),
             F.first("low").alias("low"),
@@ -127,19 +129,17 @@ def gather_sketches(snapshots: DataFrame) -> DataFrame:
 
 
 def merge_sketches(
-    sketches: DataFrame,
-    keys: list[str] = KEYS,
-    spread_by: tuple[str, ...] = ("sensor_id",),
-    spread: int = SPREAD,
+    sketches: DataFrame, keys: list[str] = KEYS, spread: int = SPREAD
 ) -> DataFrame:
     """Merge all sketches of a key.
 
-    Merging happens map-side, then per (key, salt), then per key: a key reported by
-    every sensor in every task still ends in one task with at most ``spread`` sketches.
+    Merging happens within each scan task, then per (key, salt), then per key: a key
+    every sensor reports still ends in one task with at most ``spread`` sketches. The
+    salt is the task's own number, so it adds no groups to the first step.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(spread))
     return (
-        sketches.groupBy(*keys, salt.alias("_salt"))
+        sketches.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
+        .groupBy(*keys, "_salt")
         .agg(F.kll_merge_agg_float("sketch").alias("sketch"))
         .groupBy(*keys)
         .agg(F.kll_merge_agg_float("sketch").alias("sketch"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftspark.session import cut
+
 # A row of the small side is a few keys plus a few numbers, so this stays well under
 # the memory of one executor.
 BROADCAST_ROWS = 100_000
@@ -18,7 +20,7 @@ def sized_join(
     broadcast_rows: int = BROADCAST_ROWS,
     fanout: int = FANOUT,
 ) -> DataFrame:
-    """Join (``inner`` or ``left_semi``) without ever gathering a hot key in one task.
+    """Join (``inner``, ``left`` or ``left_semi``) without ever gathering a hot key in one task.
 
     ``small`` must be cheap to count: checkpointed, or read from a written table. Up to
     ``broadcast_rows`` rows it is broadcast and ``big`` is not shuffled at all. Beyond
@@ -44,3 +46,17 @@ def missing_from(
     if new.count() <= broadcast_rows:
         known = known.join(F.broadcast(new.select(*keys)), keys, "left_semi")
     return new.join(known, keys, "left_anti")
+
+
+def with_parts(
+    rows: DataFrame, keys: list[str], spread_by: list[str], limit: int
+) -> DataFrame:
+    """Adds ``part``: 0, or for a key with more than ``limit`` rows a number that splits
+    it into pieces of about that size, so that nesting never gathers an unbounded group.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    long = cut(
+        counts.filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).alias("_parts"))
+    )
+    part = F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
+    return sized_join(rows, long, keys, "left").withColumn("part", part).drop("_parts")

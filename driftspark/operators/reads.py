@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from driftspark.functions.names import url_timestamp
+from driftspark.operators.joins import with_parts
 
 VERSION = ["last_updated", "cycle"]
+DOCUMENT_URLS = 100_000
 
 
 def flatten_overall(documents: DataFrame) -> DataFrame:
@@ -112,16 +114,20 @@ def project_data(
     )
 
 
-def nest_project_data(rows: DataFrame) -> DataFrame:
-    """``project_data`` rows nested again, one document per sensor snapshot."""
-    snapshot = ["projectName", "status", "sensorId", "timestamp"]
+def nest_project_data(rows: DataFrame, max_urls: int = DOCUMENT_URLS) -> DataFrame:
+    """``project_data`` rows nested again, one document per sensor snapshot. A snapshot
+    with more than about ``max_urls`` urls continues in further documents (``part``).
+    """
+    keys = ["projectName", "status", "sensorId", "timestamp"]
+    document = [*keys, "part"]
     entry = F.struct(F.col("url_timestamp").alias("timestamp"), "url")
     return (
-        rows.groupBy(*snapshot, "metrictype", "metric", "submetric")
+        with_parts(rows, keys, ["metrictype", "metric", "submetric", "url"], max_urls)
+        .groupBy(*document, "metrictype", "metric", "submetric")
         .agg(F.array_sort(F.collect_list(entry)).alias("data"))
-        .groupBy(*snapshot, "metrictype")
+        .groupBy(*document, "metrictype")
         .agg(F.array_sort(F.collect_list(F.struct("metric", "submetric", "data"))).alias("data"))
-        .groupBy(*snapshot)
+        .groupBy(*document)
         .agg(F.array_sort(F.collect_list(F.struct("metrictype", "data"))).alias("data"))
     )
 

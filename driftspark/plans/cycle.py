@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from driftspark.operators import drift, histograms, selection
-from driftspark.operators.joins import sized_join
-from driftspark.session import cut
+from driftspark.operators.joins import sized_join, with_parts
 
 SIDE_KEYS = ["is_reference", *histograms.KEYS]
 VERSION = ["project_id", "last_updated", "cycle"]
@@ -86,11 +85,7 @@ def assemble_overall(results: DataFrame, max_histograms: int = DOCUMENT_HISTOGRA
     A cycle with more than about ``max_histograms`` histograms continues in further
     documents (``part`` 1, 2, ...), so no row grows without bound.
     """
-    counts = results.groupBy(*VERSION).agg(F.count("*").alias("n"))
-    parts = cut(counts.select(*VERSION, F.ceil(F.col("n") / max_histograms).alias("parts")))
-    rows = sized_join(results, parts, VERSION).withColumn(
-        "part", F.pmod(F.xxhash64("metric", "submetric"), F.col("parts")).cast("int")
-    )
+    rows = with_parts(results, VERSION, ["metric", "submetric"], max_histograms)
     nested = [
         F.array_sort(F.collect_list(F.struct("metric", "submetric", "pmf", "x"))).alias(
             "histograms"

@@ -414,6 +414,14 @@ SELECT 'demo' AS project_id, 1700000000::BIGINT AS last_updated, metric, submetr
        round({PSI}, 8) AS psi, round(corr(p, q) FILTER (bin < {SPLITS}), 8) AS pearson,
        round(sqrt(sum((p - q) * (p - q)) FILTER (bin < {SPLITS})), 8) AS euclidean
 FROM pq GROUP BY metric, submetric""",
+        "stored_cycle": f"""WITH {MONTHS}, chosen AS (
+  SELECT sensor_id, max(month) AS month FROM months GROUP BY sensor_id
+), picked AS (SELECT months.* FROM months JOIN chosen USING (sensor_id, month))
+SELECT 'demo' AS project_id, 1700000000::BIGINT AS last_updated, metric, submetric,
+       round(min(v::FLOAT::DOUBLE) FILTER (NOT is_reference), 4) AS low,
+       round(max(v::FLOAT::DOUBLE) FILTER (NOT is_reference), 4) AS high,
+       count(*) FILTER (is_reference) > 0 AS compared
+FROM picked GROUP BY metric, submetric HAVING count(*) FILTER (NOT is_reference) > 0""",
         "assemble_overall": f"""WITH {HISTORY}, t AS (
   SELECT cycle, metric, submetric, sum(p) AS mass FROM hist WHERE cycle <> 0 GROUP BY ALL
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import zlib
 from collections.abc import Iterator
@@ -50,26 +51,45 @@ def scan_landing(spark: SparkSession, base: str, file_type: str | None = None) -
 
 
 def stream_landing(
-    spark: SparkSession, base: str, max_files: int = FILES_PER_TRIGGER
+    spark: SparkSession,
+    base: str,
+    max_files: int = FILES_PER_TRIGGER,
+    archive_dir: str | None = None,
 ) -> DataFrame:
-    """The same as a stream; a micro-batch never holds more than ``max_files`` bundles."""
-    files = (
+    """New bundles as a stream of names; a micro-batch never holds more than
+    ``max_files``. With ``archive_dir`` finished bundles are moved there, which keeps the
+    landing folder, and so the cost of listing it, small.
+
+    Contents are left out: a micro-batch handed to a function would read them anew for
+    every action. ``read_bundles`` fetches them once.
+    """
+    reader = (
         spark.readStream.format("binaryFile")
         .schema(FILES)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.tar.gz")
         .option("maxFilesPerTrigger", str(max_files))
-        .load(base)
     )
-    return with_bundle_keys(files)
+    if archive_dir is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+    return with_bundle_keys(reader.load(base).drop("content"))
 
 
-def _archive_members(content: bytes) -> dict[str, bytes]:
-    """Regular files of a tar.gz, by name without a leading './'."""
+def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Contents of the named bundles; the list is that of one micro-batch at most."""
+    plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    return with_bundle_keys(spark.read.format("binaryFile").load(plain))
+
+
+def _archive_members(content: bytes, keep: bool) -> dict[str, bytes | None]:
+    """Regular files of a tar.gz by name without a leading './', with their bytes if
+    they are to be kept."""
     plain = io.BytesIO(gzip.decompress(content))
     with tarfile.open(fileobj=plain, mode="r:") as tar:
         return {
-            m.name.removeprefix("./"): tar.extractfile(m).read() for m in tar if m.isfile()
+            m.name.removeprefix("./"): tar.extractfile(m).read() if keep else None
+            for m in tar
+            if m.isfile()
         }
 
 
@@ -80,15 +100,14 @@ def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
         for row in batch.to_pylist():
             content = row.pop("content")
             try:
-                members = _archive_members(content)
+                # Sample images are listed, not stored.
+                members = _archive_members(content, keep=row["file_type"] == "stats")
             except (tarfile.TarError, OSError, EOFError, zlib.error) as broken:
                 rows.append({**row, "error": f"{type(broken).__name__}: {broken}"})
                 continue
             for member, payload in members.items():
-                # Sample images are listed, not stored.
-                keep = payload if row["file_type"] == "stats" else None
-                rows.append({**row, "member": member, "payload": keep})
-                size += len(keep or b"")
+                rows.append({**row, "member": member, "payload": payload})
+                size += len(payload or b"")
                 if size > CHUNK_BYTES or len(rows) >= CHUNK_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, size = [], 0
@@ -190,7 +209,8 @@ def classify_members(members: DataFrame) -> DataFrame:
 def snapshot_docs(listed: DataFrame) -> DataFrame:
     """Inventory nested per snapshot: type[metrictype, stats[metric, submetric, path]].
 
-    A snapshot is one bundle, so the lists are as long as one archive.
+    A snapshot is one bundle, and an archive has at most 2 GB (the limit of Spark's file
+    source), so the lists are as long as one archive's index.
     """
     stat = F.struct("metric", "submetric", "path")
     return (

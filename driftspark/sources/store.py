@@ -78,6 +78,12 @@ class DriftStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
 
+    def read_part(self, name: str, number: int) -> DataFrame:
+        """One batch's rows, without listing the rest of the table."""
+        first = TABLES[name][1][0]
+        reader = self.spark.read.schema(self.schema(name)).option("basePath", self.path(name))
+        return reader.parquet(f"{self.path(name)}/{first}={number}")
+
     def write(self, df: DataFrame, name: str, number: int, **fixed: str) -> None:
         """Replace one batch's partition; a column left to partition by stays in ``df``."""
         columns, partitions = TABLES[name]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from typing import NamedTuple
 
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,64 +16,86 @@ from driftspark.session import cut
 from driftspark.sources.store import DriftStore
 
 POLL = "10 seconds"
+PAYLOAD_KEYS = ["batch_id", "sensor_id", "timestamp"]
 CHOSEN = ["sensor_id", "timestamp", "path", "batch_id", "is_reference"]
 
 
-def _last_seen(store: DriftStore, cycle: int) -> tuple[int, int]:
-    """Previous cycle and the ingest batch it had reached; two numbers for the driver."""
+class Progress(NamedTuple):
+    """Where the previous cycle stood; a few numbers for the driver."""
+
+    cycle: int = -1  # the previous cycle
+    batch: int = -1  # newest ingest batch it saw
+    since: int = -1  # first cycle that had seen that batch
+
+
+def progress(store: DriftStore, cycle: int) -> Progress:
+    by_batch = store.read("cycles").filter(F.col("cycle") < cycle).groupBy("seen_batch")
     last = (
-        store.read("cycles")
-        .filter(F.col("cycle") < cycle)
-        .agg(F.max(F.struct("cycle", "seen_batch")).alias("m"))
-        .first()["m"]
+        by_batch.agg(F.max("cycle").alias("cycle"), F.min("cycle").alias("since"))
+        .orderBy(F.desc("seen_batch"))
+        .first()
     )
-    return (last["cycle"], last["seen_batch"]) if last else (-1, -1)
+    return Progress(last["cycle"], last["seen_batch"], last["since"]) if last else Progress()
 
 
-def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
-    """Aggregate what arrived since the last cycle; False when no sensor sent anything.
+def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
+    """Writes the cycle's consumed and selected snapshots; returns the newest ingest batch
+    it saw, or None when no sensor sent anything.
 
     Ingest batches are written in order and a cycle uses up all it sees, so batches
-    before the last one seen are finished: each cycle reads new partitions only, however
-    long the history is. A late older snapshot loses against a newer one of the same
-    cycle, but counts in a later cycle if it is the newest one waiting there.
+    before the last one seen are finished: only newer partitions are looked at, however
+    long the history is.
     """
-    now = int(time.time()) if now is None else now
-    previous, seen = _last_seen(store, cycle)
     done = store.read("snapshots").filter(
-        (F.col("batch_id") >= seen) & (F.col("status") == "completed")
+        (F.col("batch_id") >= before.batch) & (F.col("status") == "completed")
+    )
+    used = store.read("consumed").filter(
+        (F.col("cycle") < cycle) & (F.col("cycle") >= before.since)
     )
-    used = store.read("consumed").filter((F.col("cycle") < cycle) & (F.col("batch_id") >= seen))
     store.write(selection.unconsumed(done, used), "consumed", cycle)
-    waiting = store.read("consumed").filter(F.col("cycle") == cycle)
+    waiting = store.read_part("consumed", cycle)
     reached = waiting.agg(F.max("batch_id").alias("b")).first()["b"]
     if reached is None:
-        return False
+        return None
 
     newest = selection.latest_per_sensor(waiting).withColumn("is_reference", F.lit(False))
-    kept = store.read("selected").filter((F.col("cycle") == previous) & F.col("is_reference"))
     arrived = done.filter(F.col("sensor_id") == REFERENCE).withColumn("is_reference", F.lit(True))
+    kept = store.read("selected").filter((F.col("cycle") == before.cycle) & F.col("is_reference"))
     baseline = selection.latest_reference(
-        kept.select(*CHOSEN, F.lit("completed").alias("status")).unionByName(
-            arrived.select(*CHOSEN, "status")
+        arrived.select(*CHOSEN, "status").unionByName(
+            kept.select(*CHOSEN, F.lit("completed").alias("status"))
         )
     )
     store.write(newest.select(*CHOSEN).unionByName(baseline.select(*CHOSEN)), "selected", cycle)
+    return reached
+
 
-    chosen = store.read("selected").filter(F.col("cycle") == cycle)
+def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
+    """Aggregate what arrived since the last cycle; False when nothing did.
+
+    A late older snapshot loses against a newer one of the same cycle, but counts in a
+    later cycle if it is the newest one waiting there.
+    """
+    now = int(time.time()) if now is None else now
+    before = progress(store, cycle)
+    reached = choose(store, cycle, before)
+    if reached is None:
+        return False
+
+    chosen = store.read_part("selected", cycle).select(*PAYLOAD_KEYS, "is_reference")
+    baseline_batch = chosen.filter("is_reference").agg(F.max("batch_id").alias("b")).first()["b"]
+    fresh = F.col("batch_id") >= before.batch
+    if baseline_batch is not None:
+        fresh = fresh | (F.col("batch_id") == baseline_batch)
     sketches = (
         store.read("members")
-        .filter("kind = 'sketch'")
-        .select("batch_id", "sensor_id", "timestamp", "metric", "submetric", F.col("payload").alias("sketch"))
-    )
-    picked = sized_join(
-        sketches,
-        chosen.select("batch_id", "sensor_id", "timestamp", "is_reference"),
-        ["batch_id", "sensor_id", "timestamp"],
+        .filter(fresh & (F.col("kind") == "sketch"))
+        .select(*PAYLOAD_KEYS, "metric", "submetric", F.col("payload").alias("sketch"))
     )
-    both = cut(cy.from_sketches(picked))
+    both = cut(cy.from_sketches(sized_join(sketches, chosen, PAYLOAD_KEYS)))
     store.write(cy.reference_results(both, store.project, now, cycle), "reference_overall", cycle)
     store.write(cy.cycle_results(both, store.project, now, cycle), "overall", cycle)
+    # The header comes last: it makes the cycle visible to readers and to the next cycle.
     header = store.spark.range(1).select(
         F.lit(store.project).alias("project_id"),
         F.lit(now).cast("long").alias("last_updated"),

@@ -6,32 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.operators import selection
-from driftspark.operators.joins import sized_join
 from driftspark.sources import landing
 from driftspark.sources.store import DriftStore
 
 POLL = "10 seconds"
+NAMES = ["sensor_id", "timestamp", "file_type", "path", "modificationTime"]
 
 
-def ingest_batch(store: DriftStore, files: DataFrame, batch_id: int) -> None:
-    """Catalog a micro-batch of bundles, unpack the new ones, and publish snapshots.
+def ingest_batch(store: DriftStore, listed: DataFrame, batch_id: int) -> None:
+    """Catalog a micro-batch of bundle names, unpack the new ones, and publish snapshots.
 
-    Bundle contents are read once, by the write of ``members``; every other step sees
-    names only. Snapshots turn 'completed' last, when their sketches are in place.
+    ``listed`` holds one micro-batch, so its accepted paths fit the driver. Contents are
+    read once, by the write of ``members``. Snapshots turn 'completed' last, when their
+    sketches are in place.
     """
+    listed = listed.select(*NAMES)
     earlier = lambda name: store.read(name).filter(F.col("batch_id") != batch_id)
-    listed = files.drop("content")
     store.write(selection.rejected_uploads(listed), "rejected", batch_id)
     fresh = selection.register_bundles(selection.valid_uploads(listed), earlier("bundles"))
     store.write(fresh, "bundles", batch_id)
 
-    added = store.read("bundles").filter(F.col("batch_id") == batch_id).drop("batch_id")
+    added = store.read_part("bundles", batch_id).drop("batch_id")
     stats = selection.pending_bundles(added, earlier("extracted"))
     store.write(stats, "snapshots", batch_id, status="processing")
 
     accepted = stats.select("path").unionByName(added.filter("file_type = 'data'").select("path"))
-    members = landing.expand_bundles(sized_join(files, accepted, ["path"], "left_semi"))
-    store.write(landing.classify_members(members), "members", batch_id)
+    paths = [r["path"] for r in accepted.collect()]
+    if paths:
+        members = landing.expand_bundles(landing.read_bundles(store.spark, paths))
+        store.write(landing.classify_members(members), "members", batch_id)
 
     store.write(stats, "extracted", batch_id)
     broken = store.read("members").filter(
@@ -45,10 +48,11 @@ def start_ingest(
     store: DriftStore,
     landing_dir: str,
     max_files: int = landing.FILES_PER_TRIGGER,
+    archive_dir: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Poll the landing folder, or work off what is there and stop."""
-    files = landing.stream_landing(store.spark, landing_dir, max_files)
+    files = landing.stream_landing(store.spark, landing_dir, max_files, archive_dir)
     trigger = {"availableNow": True} if available_now else {"processingTime": POLL}
     return (
         files.writeStream.queryName("ingest")

@@ -99,6 +99,17 @@ def test_same_key_is_listed_once_and_kinds_do_not_clash(store, land, sketch):
     assert n.first()["n"] == 10
 
 
+def test_odd_names_and_archiving(store, land, sketch, tmp_path):
+    land.put("s[1] {a}*", "10 0", {MEMBER: sketch(range(10))})
+    archive = tmp_path / "archive"
+    query = start_ingest(store, str(land.base), archive_dir=str(archive), available_now=True)
+    drain(query)
+    assert keys(store.snapshot_status(), "sensor_id", "timestamp", "status") == [
+        ("s[1] {a}*", "10 0", "completed")
+    ]
+    assert store.read("members").filter("kind = 'sketch'").count() == 1
+
+
 def test_replayed_batch_adds_nothing(spark, store, land, sketch):
     land.put("s1", "100", {MEMBER: sketch(range(10))})
     files = landing.scan_landing(spark, str(land.base))
