@@ -5,11 +5,13 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import sys
 import tarfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftspark.functions import names
@@ -25,6 +27,9 @@ FILES_PER_TRIGGER = 10_000
 CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 5_000
 
+# Worker functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_bundle_keys(files: DataFrame) -> DataFrame:
     """Sensor, timestamp and file type, as the landing path spells them."""

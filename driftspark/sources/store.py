@@ -72,7 +72,7 @@ class DriftStore:
     def _create(self, name: str) -> None:
         columns, partitions = TABLES[name]
         folder = "/".join(f"{p}={'none' if p in TEXT_PARTITIONS else -1}" for p in partitions)
-        empty = self.spark.createDataFrame([], columns)
+        empty = self.spark.createDataFrame([], columns).coalesce(1)
         empty.write.mode("overwrite").parquet(f"{self.path(name)}/{folder}")
 
     def read(self, name: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftspark.functions.names import REFERENCE
@@ -17,6 +19,9 @@ REFERENCE_UNTIL = "1998-01-01"
 MEASURES = ("quantity", "extendedprice", "discount", "tax")
 FAMILY = {"view": "imgstats", "click": "modelstats", "purchase": "samples", "signup": "customstats"}
 
+# Worker functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

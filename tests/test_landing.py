@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from driftspark.functions import names
 from driftspark.operators import selection
-from driftspark.sources import landing
+from driftspark.sources import landing, tables
 
 
 @pytest.mark.parametrize(
@@ -121,3 +125,16 @@ def test_first_upload_wins(spark):
     catalog = spark.createDataFrame([("t", "1", "stats", "x", 0)], schema)
     added = selection.register_bundles(new, catalog).collect()
     assert sorted(r["path"] for r in added) == ["early", "other"]
+
+
+@pytest.mark.parametrize("work", [landing._unpack, tables._pack])
+def test_worker_code_needs_no_installed_package(work, tmp_path):
+    load = "import pickle, sys; f = pickle.loads(sys.stdin.buffer.read()); print(list(f([])) if f.__code__.co_argcount == 1 else 'ok')"
+    done = subprocess.run(
+        [sys.executable, "-I", "-c", load],
+        input=cloudpickle.dumps(work),
+        cwd=tmp_path,
+        capture_output=True,
+        check=False,
+    )
+    assert done.returncode == 0, done.stderr.decode()
