@@ -51,14 +51,10 @@ def micros_text(micros: Column) -> Column:
     rest = F.pmod(micros, F.lit(DAY_MICROS))
     day = F.date_from_unix_date(((micros - rest) / F.lit(DAY_MICROS)).cast("int"))
     second = F.floor(rest / F.lit(1_000_000))
-    return F.format_string(
-        "%s %02d:%02d:%02d.%06d UTC",
-        day.cast("string"),
-        F.floor(second / 3600),
-        F.floor(second / 60) % 60,
-        second % 60,
-        rest % 1_000_000,
-    )
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(second / 3600), two((second / 60).cast("int") % 60), two(second % 60))
+    fraction = F.lpad((rest % 1_000_000).cast("string"), 6, "0")
+    return F.concat(day.cast("string"), F.lit(" "), clock, F.lit("."), fraction, F.lit(" UTC"))
 
 
 def url_timestamp(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftspark.functions import distances as d
-from driftspark.operators.histograms import KEYS, with_ranges
+from driftspark.operators.histograms import KEYS, usable, value_ranges
 from driftspark.operators.joins import sized_join
 from driftspark.session import cut
 
@@ -141,20 +141,29 @@ def psi_of_values(
     bin position. Bins empty on both sides contribute nothing, so only the filled ones
     are ever materialized.
     """
-    ranged = with_ranges(observations, [*keys, is_reference])
+    sides = [*keys, is_reference]
     flat = F.col("low") == F.col("high")
     low = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low"))
     high = F.when(flat, F.col("high") + 0.5).otherwise(F.col("high"))
-    width = (high - low) / F.lit(float(num_bins))
-    place = F.least(F.lit(num_bins - 1).cast("long"), F.floor((F.col("value") - low) / width))
-    density = F.count("value") / F.first(F.col("n_obs") * width)
-    sides = (
-        ranged.withColumn("bin", place)
-        .groupBy(*keys, "bin", is_reference)
-        .agg(density.alias("density"))
+    ranges = cut(
+        value_ranges(observations, sides).select(
+            *sides, "n_obs", low.alias("low"), ((high - low) / num_bins).alias("width")
+        )
+    )
+    rows = ranges.count()
+    place = F.least(
+        F.lit(num_bins - 1).cast("long"), F.floor((F.col("value") - F.col("low")) / F.col("width"))
+    )
+    counts = (
+        sized_join(usable(observations), ranges.drop("n_obs"), sides, rows=rows)
+        .withColumn("bin", place)
+        .groupBy(*sides, "bin")
+        .agg(F.count("value").alias("hits"))
     )
+    density = F.col("hits") / (F.col("n_obs") * F.col("width"))
+    filled = sized_join(counts, ranges, sides, rows=rows).withColumn("density", density)
     clip = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(DENSITY_FLOOR))
-    paired = sides.groupBy(*keys, "bin").agg(
+    paired = filled.groupBy(*keys, "bin").agg(
         clip(F.max(F.when(~F.col(is_reference), F.col("density")))).alias("p"),
         clip(F.max(F.when(F.col(is_reference), F.col("density")))).alias("q"),
         F.max(~F.col(is_reference)).alias("has_cur"),

@@ -41,18 +41,6 @@ def value_ranges(observations: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def with_ranges(
-    observations: DataFrame, keys: list[str], broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Each usable observation with its key's ``low``, ``high`` and ``n_obs``.
-
-    Two scans of the input in all: one aggregated map-side into the small range table,
-    one joined with it.
-    """
-    ranges = cut(value_ranges(observations, keys))
-    return sized_join(usable(observations), ranges, keys, broadcast_rows=broadcast_rows)
-
-
 def exact_histograms(
     observations: DataFrame,
     keys: list[str] = KEYS,
@@ -62,33 +50,28 @@ def exact_histograms(
 ) -> DataFrame:
     """Histograms counted from the values. ``single_precision`` bins them the way a float
     sketch of them would be binned.
+
+    Two scans of the input in all: one aggregated map-side into the small range table,
+    one joined with it and counted map-side.
     """
     if single_precision:
         observations = observations.withColumn("value", F.col("value").cast("float").cast("double"))
-    binned = with_ranges(observations, keys, broadcast_rows).withColumn(
+    ranges = cut(value_ranges(observations, keys))
+    known = {"broadcast_rows": broadcast_rows, "rows": ranges.count()}
+    limits = ranges.select(*keys, "low", "high")
+    binned = sized_join(usable(observations), limits, keys, **known).withColumn(
         "bin", F.expr(sk.grid_bin("value", "low", "high", num_splits))
     )
     if single_precision:
         settled = sk.settle_single("bin", "value", "low", "high", num_splits)
         binned = binned.withColumn("bin", F.expr(settled))
-    counts = (
-        binned.groupBy(*keys, "bin")
-        .agg(
-            F.count("value").alias("hits"),
-            F.first("low").alias("low"),
-            F.first("high").alias("high"),
-            F.first("n_obs").alias("n_obs"),
-        )
-    )
+    counts = binned.groupBy(*keys, "bin").agg(F.count("value").alias("hits"))
     # At most num_splits entries per key reach this second aggregation.
     per_key = counts.groupBy(*keys).agg(
-        F.first("low").alias("low"),
-        F.first("high").alias("high"),
-        F.first("n_obs").alias("n_obs"),
-        F.map_from_entries(F.collect_list(F.struct("bin", "hits"))).alias("hits"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "hits"))).alias("hits")
     )
     pmf = f"transform(sequence(0, {num_splits}), i -> coalesce(try_element_at(hits, i), 0) / n_obs)"
-    return per_key.select(
+    return sized_join(per_key, ranges, keys, **known).select(
         *keys,
         "n_obs",
         F.expr(sk.grid_edges("low", "high", num_splits)).alias("x"),
@@ -109,6 +92,18 @@ def build_sketches(observations: DataFrame, keys: list[str], k: int = 200) -> Da
     )
 
 
+def pooled_sketches(
+    observations: DataFrame, keys: list[str] = KEYS, k: int = 200, spread: int = SPREAD
+) -> DataFrame:
+    """One sketch per key over all sensors, straight from values in a single scan.
+
+    Tasks sketch what they scan; the salt bounds how many sketches of a hot key meet.
+    """
+    salt = F.pmod(F.spark_partition_id(), F.lit(spread))
+    parts = build_sketches(observations.withColumn("_salt", salt), [*keys, "_salt"], k)
+    return parts.groupBy(*keys).agg(F.kll_merge_agg_float("sketch").alias("sketch"))
+
+
 def gather_sketches(snapshots: DataFrame) -> DataFrame:
     """Sketch references of nested snapshot documents, one row each.
 

@@ -19,15 +19,17 @@ def sized_join(
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
     fanout: int = FANOUT,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join (``inner``, ``left`` or ``left_semi``) without ever gathering a hot key in one task.
 
-    ``small`` must be cheap to count: checkpointed, or read from a written table. Up to
+    ``small`` must be cheap to count: checkpointed, or read from a written table; a caller
+    that joins it twice passes the count as ``rows``. Up to
     ``broadcast_rows`` rows it is broadcast and ``big`` is not shuffled at all. Beyond
     that both sides are shuffled, each key spread over ``fanout`` salts; the salt is the
     scan partition, so equal rows spread too.
     """
-    if small.count() <= broadcast_rows:
+    if (small.count() if rows is None else rows) <= broadcast_rows:
         return big.join(F.broadcast(small), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fanout)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))

@@ -97,10 +97,12 @@ def project_data(
     for name, value in {"metrictype": metrictype, "metric": metric, "submetric": submetric}.items():
         if value is not None:
             rows = rows.filter(F.col(name) == value)
-    first = docs.groupBy("project_name").agg(
-        F.min(F.struct("timestamp", "sensor_id", "status")).alias("first")
-    ).select("project_name", F.col("first.status").alias("project_status"))
-    # ``first`` is a single row: one project was selected.
+    # A single row, found without sorting the project.
+    first = (
+        docs.orderBy("timestamp", "sensor_id", "status")
+        .limit(1)
+        .select("project_name", F.col("status").alias("project_status"))
+    )
     return rows.join(F.broadcast(first), "project_name").select(
         F.col("project_name").alias("projectName"),
         F.col("project_status").alias("status"),

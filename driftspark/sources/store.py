@@ -126,7 +126,9 @@ class DriftStore:
     def snapshot_status(self) -> DataFrame:
         """Latest state per snapshot: 'completed' once it was unpacked."""
         states = self.read("snapshots").groupBy("sensor_id", "timestamp")
-        return states.agg(F.min("status").alias("status"))
+        done = states.agg(F.max(F.col("status") == "completed").alias("done"))
+        status = F.when(F.col("done"), "completed").otherwise("processing")
+        return done.select("sensor_id", "timestamp", status.alias("status"))
 
     def snapshot_documents(self) -> DataFrame:
         """Completed snapshots as nested documents."""

@@ -101,6 +101,16 @@ def test_merged_sketches_stay_within_the_bound(spark, sf_dir):
     assert worst.first()[0] < 0.02
 
 
+def test_pooled_sketches_match_merged_ones(spark, sf_dir):
+    df = tables.observations(spark, sf_dir).filter("metric = 'quantity'")
+    pooled = {r["submetric"]: r for r in h.sketch_histograms(h.pooled_sketches(df)).collect()}
+    merged = h.merge_sketches(h.build_sketches(df, ["sensor_id", *h.KEYS]))
+    for row in h.sketch_histograms(merged).collect():
+        other = pooled[row["submetric"]]
+        assert (row["x"], row["n_obs"]) == (other["x"], other["n_obs"])
+        assert np.abs(np.array(row["pmf"]) - np.array(other["pmf"])).max() < 0.03
+
+
 def test_merge_order_does_not_matter_within_bounds(spark):
     values = np.random.default_rng(3).gamma(2.0, size=20_000).tolist()
     df = observed(spark, values, sensors=50)
