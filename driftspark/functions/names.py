@@ -43,20 +43,34 @@ def is_sketch_file(file_name: Column) -> Column:
 
 def url_micros(url: Column) -> Column:
     """Epoch microseconds named in a sample url, NULL when there are none."""
-    return F.nullif(F.regexp_extract(url, SAMPLE_TIME, 1), F.lit("")).try_cast("bigint")
+    return F.regexp_extract(url, SAMPLE_TIME, 1).try_cast("bigint")
 
 
 def micros_text(micros: Column) -> Column:
-    """'YYYY-MM-DD HH:MM:SS.ffffff UTC', whatever the session time zone is."""
+    """'YYYY-MM-DD HH:MM:SS.ffffff UTC', whatever the session time zone is.
+
+    NULL passes through every part, so no branch hides the shared subexpressions from
+    code generation.
+    """
     rest = F.pmod(micros, F.lit(DAY_MICROS))
-    day = F.date_from_unix_date(((micros - rest) / F.lit(DAY_MICROS)).cast("int"))
-    second = F.floor(rest / F.lit(1_000_000))
+    day = F.date_from_unix_date(((micros - rest) / F.lit(DAY_MICROS)).try_cast("int"))
+    second = (rest / F.lit(1_000_000)).cast("int")
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(second / 3600), two((second / 60).cast("int") % 60), two(second % 60))
+    colon = F.lit(":")
     fraction = F.lpad((rest % 1_000_000).cast("string"), 6, "0")
-    return F.concat(day.cast("string"), F.lit(" "), clock, F.lit("."), fraction, F.lit(" UTC"))
+    return F.concat(
+        day.cast("string"),
+        F.lit(" "),
+        two(second / 3600),
+        colon,
+        two((second / 60).cast("int") % 60),
+        colon,
+        two(second % 60),
+        F.lit("."),
+        fraction,
+        F.lit(" UTC"),
+    )
 
 
 def url_timestamp(url: Column) -> Column:
-    micros = url_micros(url)
-    return F.when(micros.isNotNull(), micros_text(micros))
+    return micros_text(url_micros(url))

@@ -123,8 +123,10 @@ def nest_project_data(rows: DataFrame, max_urls: int = DOCUMENT_URLS) -> DataFra
     keys = ["projectName", "status", "sensorId", "timestamp"]
     document = [*keys, "part"]
     entry = F.struct(F.col("url_timestamp").alias("timestamp"), "url")
+    # One shuffle serves all three steps.
     return (
         with_parts(rows, keys, ["metrictype", "metric", "submetric", "url"], max_urls)
+        .repartition(*document)
         .groupBy(*document, "metrictype", "metric", "submetric")
         .agg(F.array_sort(F.collect_list(entry)).alias("data"))
         .groupBy(*document, "metrictype")

@@ -218,8 +218,10 @@ def snapshot_docs(listed: DataFrame) -> DataFrame:
     source), so the lists are as long as one archive's index.
     """
     stat = F.struct("metric", "submetric", "path")
+    # Nesting does not shrink the data, so one shuffle serves both steps.
     return (
-        listed.groupBy("sensor_id", "timestamp", "metrictype")
+        listed.repartition("sensor_id", "timestamp")
+        .groupBy("sensor_id", "timestamp", "metrictype")
         .agg(F.array_sort(F.collect_list(stat)).alias("stats"))
         .groupBy("sensor_id", "timestamp")
         .agg(F.array_sort(F.collect_list(F.struct("metrictype", "stats"))).alias("type"))
