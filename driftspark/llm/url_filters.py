@@ -69,7 +69,7 @@ def filter_captures(captures: DataFrame, log: DataFrame) -> DataFrame:
     pages = captures.select("page_id", url_host(F.col("url")).alias("host"), "fetched")
     visits = pages.filter("host <> '' and fetched is not null").select("host", "fetched").distinct()
     # What still holds, holds until the day after the last fetch.
-    last = captures.agg(F.max("fetched")).first()[0] or date.min
+    last = captures.agg(F.max("fetched")).first()[0] or date(1970, 1, 1)
     to = F.coalesce("valid_to", F.date_add(F.lit(last), 1))
     # The filter on the interval may be moved behind this, so the end never precedes the start.
     months = F.sequence(_month(F.col("valid_from")), F.greatest(_month(F.col("valid_from")), _month(to)))

@@ -1,0 +1,31 @@
+"""Corpus queries against their SQL twins on the same tables."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+from driftspark.llm import queries, sql
+
+ORACLES = sql.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck(docs_dir):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for file in os.listdir(docs_dir):
+        con.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{docs_dir}/{file}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_matches_sql(spark, duck, docs_dir, name):
+    df = queries.queries()[name](spark, docs_dir)
+    cursor = duck.execute(ORACLES[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(df.columns) == sorted(columns)
+    want = sorted((tuple(r[columns.index(c)] for c in df.columns) for r in cursor.fetchall()), key=repr)
+    assert sorted(map(tuple, df.collect()), key=repr) == want
