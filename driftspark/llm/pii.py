@@ -31,6 +31,9 @@ CONTEXT = 60
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 LEAST_DOCUMENTS = 2
+# A term in a broadcast hash relation takes its bytes and about so many more.
+ROW_BYTES = 64
+BROADCAST_BYTES = 64 << 20
 
 
 def _digits(s: Column) -> Column:
@@ -128,10 +131,18 @@ def _context_terms(mentions: DataFrame) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many rows of ``docs`` each of ``terms`` occurs: every row, its whole text."""
+    """In how many rows of ``docs`` each of ``terms`` occurs: every row, its whole text.
+
+    ``terms`` is a stored table. While its bytes are counted few it is sent to the scan, so
+    that other words are not shuffled; beyond that all words are counted and joined.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(TERM), F.lit(0)))
-    seen = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return seen.join(terms, "term", "left_semi")
+    seen = docs.select(F.explode(words).alias("term"))
+    size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        seen, terms = seen.join(F.broadcast(terms), "term", "left_semi"), None
+    counted = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    return counted if terms is None else counted.join(terms, "term", "left_semi")
 
 
 def sanitise(
@@ -172,7 +183,7 @@ def sanitise(
     )
     pairs = weighed.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"))
     pairs = stored(pairs.filter(F.col("n_et") >= least_documents).join(n_e, "entity"), "pairs")
-    n_t = document_frequency(texts, pairs.select("term").distinct())
+    n_t = document_frequency(texts, stored(pairs.select("term").distinct(), "asked-terms"))
     pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
     share = F.when(own > 0, pmi / own).otherwise(0.0)
