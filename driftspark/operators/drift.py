@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftspark.functions import distances as d
 from driftspark.operators.histograms import KEYS, usable, value_ranges
@@ -186,18 +186,20 @@ def euclidean_of_values(
     """Distance of two vectors given as (keys, position, value) rows.
 
     Keys absent from ``reference`` columns are shared: one reference vector then serves
-    every key.
+    every key. NULL where the vectors have different positions.
     """
     full = [*keys, position]
     shared = [k for k in full if k in reference.columns]
-    renamed = reference.select(*shared, F.col("value").alias("_ref"))
+    size = F.count("*").over(Window.partitionBy(*[k for k in shared if k != position]))
+    renamed = reference.select(*shared, F.col("value").alias("_ref"), size.alias("_size"))
     joined = (
-        current.join(renamed, full)
+        current.join(renamed, full, "left")
         if shared == full
-        else sized_join(current, cut(renamed), shared)
+        else sized_join(current, cut(renamed), shared, "left")
     )
     gap = F.col("value") - F.col("_ref")
+    same_size = (F.count("*") == F.count("_size")) & (F.count("*") == F.max("_size"))
     return (
         joined.groupBy(*keys)
-        .agg(F.sqrt(F.sum(gap * gap)).alias("value"))
+        .agg(F.when(same_size, F.sqrt(F.sum(gap * gap))).alias("value"))
     )

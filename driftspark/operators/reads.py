@@ -1,4 +1,5 @@
-"""Read queries over result tables and sample listings. Everything stays lazy."""
+"""Read queries over result tables and sample listings. Nesting counts its groups at once;
+everything else stays lazy."""
 
 from __future__ import annotations
 
@@ -12,10 +13,19 @@ DOCUMENT_URLS = 100_000
 
 
 def flatten_overall(documents: DataFrame) -> DataFrame:
-    """Nested result documents as one row per histogram, ``pos`` keeping their order."""
-    keyed = documents.withColumn("cycle", F.col("last_updated"))
-    rows = keyed.select("project_id", *VERSION, F.posexplode("histograms").alias("pos", "h"))
-    flat = rows.select("project_id", *VERSION, "pos", "h.metric", "h.submetric", "h.x", "h.pmf")
+    """Nested result documents as one row per histogram, ``pos`` keeping their order.
+
+    A document that goes on in several parts has no order across them: ``part`` is kept, and
+    tells readers that ``pos`` counts within it.
+    """
+    keyed = documents
+    if "cycle" not in documents.columns:
+        keyed = documents.withColumn("cycle", F.col("last_updated"))
+    part = [c for c in ("part",) if c in documents.columns]
+    rows = keyed.select("project_id", *VERSION, *part, F.posexplode("histograms").alias("pos", "h"))
+    flat = rows.select(
+        "project_id", *VERSION, *part, "pos", "h.metric", "h.submetric", "h.x", "h.pmf"
+    )
     if "distance" not in documents.columns:
         return flat
     dist = keyed.select("project_id", *VERSION, F.inline("distance"))
@@ -42,7 +52,7 @@ def metric_stats(
         wanted = wanted & (F.col("submetric") == submetric)
     # ``newest`` is a single row.
     hits = results.filter(wanted).join(F.broadcast(newest), VERSION, "left_semi")
-    order = ["pos"] if "pos" in results.columns else []
+    order = ["pos"] if "pos" in results.columns and "part" not in results.columns else []
     return hits.orderBy(*order, "submetric").limit(1).select("metric", "submetric", "pmf", "x")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftspark.functions.names import FILE_TYPES, REFERENCE
+from driftspark.functions.names import FILE_TYPES, REFERENCE, landing_part
 from driftspark.operators.joins import missing_from, sized_join
 from driftspark.session import cut
 
@@ -12,12 +12,20 @@ BUNDLE_KEYS = ["sensor_id", "timestamp", "file_type"]
 SNAPSHOT_KEYS = ["sensor_id", "timestamp"]
 
 
+def _accepted(uploads: DataFrame) -> Column:
+    """A known kind, in an archive that is named after it."""
+    known = F.col("file_type").isin(*FILE_TYPES)
+    if "path" in uploads.columns:
+        known = known & (landing_part(F.col("path"), "stem") == F.col("file_type"))
+    return F.coalesce(known, F.lit(False))
+
+
 def valid_uploads(uploads: DataFrame) -> DataFrame:
-    return uploads.filter(F.col("file_type").isin(*FILE_TYPES))
+    return uploads.filter(_accepted(uploads))
 
 
 def rejected_uploads(uploads: DataFrame) -> DataFrame:
-    return uploads.filter(~F.coalesce(F.col("file_type").isin(*FILE_TYPES), F.lit(False)))
+    return uploads.filter(~_accepted(uploads))
 
 
 def _top_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -63,8 +71,10 @@ def latest_reference(snapshots: DataFrame) -> DataFrame:
 
 def latest_reference_stats(results: DataFrame) -> DataFrame:
     """All histograms of each project's newest stored reference result."""
-    newest = results.groupBy("project_id").agg(F.max("last_updated").alias("last_updated"))
-    return sized_join(results, cut(newest), ["project_id", "last_updated"], "left_semi")
+    version = [c for c in ("last_updated", "cycle") if c in results.columns]
+    newest = results.groupBy("project_id").agg(F.max(F.struct(*version)).alias("v"))
+    newest = newest.select("project_id", "v.*")
+    return sized_join(results, cut(newest), ["project_id", *version], "left_semi")
 
 
 def mark_consumed(candidates: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import sys
 import tarfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +24,9 @@ FILES = "path string, modificationTime timestamp, length bigint, content binary"
 FILES_PER_TRIGGER = 10_000
 CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 5_000
+MEMBER_BYTES = 1 << 30
+# Spark would skip files a week older than the newest one; an upload of any age counts.
+ANY_AGE = "36500d"
 
 # Worker functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,6 +75,7 @@ def stream_landing(
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.tar.gz")
         .option("maxFilesPerTrigger", str(max_files))
+        .option("maxFileAge", ANY_AGE)
     )
     if archive_dir is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
@@ -86,16 +88,27 @@ def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
     return with_bundle_keys(spark.read.format("binaryFile").load(plain))
 
 
-def _archive_members(content: bytes, keep: bool) -> dict[str, bytes | None]:
-    """Regular files of a tar.gz by name without a leading './', with their bytes if
-    they are to be kept."""
-    plain = io.BytesIO(gzip.decompress(content))
-    with tarfile.open(fileobj=plain, mode="r:") as tar:
-        return {
-            m.name.removeprefix("./"): tar.extractfile(m).read() if keep else None
-            for m in tar
-            if m.isfile()
-        }
+def _archive_members(content: bytes, keep: bool) -> Iterator[tuple[str, bytes | None]]:
+    """Regular files of a tar.gz by name without a leading './', with their bytes if they are
+    to be kept; of equal names the last one, as unpacking would leave it.
+
+    The archive is read as a stream, one member at a time. A first pass over the headers
+    finds whatever is wrong with it before anything is given out.
+    """
+    last: dict[str, int] = {}
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+        for n, m in enumerate(tar):
+            if m.isfile():
+                name = m.name.removeprefix("./")
+                name.encode()
+                if keep and m.size > MEMBER_BYTES:
+                    raise ValueError(f"member {name} has {m.size} bytes")
+                last[name] = n
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+        for n, m in enumerate(tar):
+            name = m.name.removeprefix("./")
+            if m.isfile() and last[name] == n:
+                yield name, tar.extractfile(m).read() if keep else None
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -104,13 +117,17 @@ def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
     for batch in batches:
         for row in batch.to_pylist():
             content = row.pop("content")
-            try:
-                # Sample images are listed, not stored.
-                members = _archive_members(content, keep=row["file_type"] == "stats")
-            except (tarfile.TarError, OSError, EOFError, zlib.error) as broken:
-                rows.append({**row, "error": f"{type(broken).__name__}: {broken}"})
-                continue
-            for member, payload in members.items():
+            # Sample images are listed, not stored.
+            members = _archive_members(content, keep=row["file_type"] == "stats")
+            while True:
+                try:
+                    member, payload = next(members)
+                except StopIteration:
+                    break
+                except Exception as broken:  # whatever is wrong with a bundle harms only itself
+                    reason = f"{type(broken).__name__}: {broken}"
+                    rows.append({**row, "error": reason.encode(errors="replace").decode()})
+                    break
                 rows.append({**row, "member": member, "payload": payload})
                 size += len(payload or b"")
                 if size > CHUNK_BYTES or len(rows) >= CHUNK_ROWS:

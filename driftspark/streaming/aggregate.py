@@ -49,9 +49,10 @@ def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
     done = store.read("snapshots").filter(
         (F.col("batch_id") >= before.batch) & (F.col("status") == "completed")
     )
-    used = store.read("consumed").filter(
-        (F.col("cycle") < cycle) & (F.col("cycle") >= before.since)
-    )
+    # What a cycle consumed counts once it has its header; a failed one gives it back.
+    past = (F.col("cycle") < cycle) & (F.col("cycle") >= before.since)
+    finished = store.read("cycles").filter(past).select("cycle").distinct()
+    used = store.read("consumed").filter(past).join(finished, "cycle", "left_semi")
     store.write(selection.unconsumed(done, used), "consumed", cycle)
     waiting = store.read_part("consumed", cycle)
     reached = waiting.agg(F.max("batch_id").alias("b")).first()["b"]
