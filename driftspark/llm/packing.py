@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         for batch in batches:
             row, piece, length, crc = [], [], [], []
             n = 0
-            for run in in_slices(batch.column("text").to_pylist()):
+            for run in in_slices(t.as_py() for t in batch.column("text")):
                 for ids in encoder.encode(run):
                     ids += closing
                     for k, at in enumerate(range(0, len(ids), step)):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_CACHED = 300_000
-SLICE_CHARS = 2_000_000
+MOST_CACHED = 120_000
+SLICE_CHARS = 500_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,8 +47,7 @@ class TextEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        model = json.loads(self.full.to_str())["model"]
-        self.suffix = model.get("end_of_word_suffix")
+        self.suffix = getattr(self.full.model, "end_of_word_suffix", None)
         self.whole: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.latin = re.compile("[!-~¡-¬®-ÿ]+").fullmatch
@@ -68,12 +67,16 @@ class TextEncoder:
         if not self.suffix:
             return [self._pack(self.full.encode(t, add_special_tokens=False).ids) for t in texts]
         pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.whole) > MOST_CACHED:
-            self.whole.clear()
+        self.whole = self._trimmed(self.whole)
         known = self.whole
         self._learn({p for ps in pieces for p in ps if p not in known})
         return [b"".join([known[p] for p in ps]) for ps in pieces]
 
+    @staticmethod
+    def _trimmed(cache: dict) -> dict:
+        """Without the later half once it is full: frequent words are met early."""
+        return dict(islice(cache.items(), MOST_CACHED // 2)) if len(cache) > MOST_CACHED else cache
+
     @staticmethod
     def _pack(ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
@@ -86,9 +89,7 @@ class TextEncoder:
                 split[p] = self.split(s.lower())
             else:
                 odd.append(p)
-        if len(self.words) > MOST_CACHED:
-            self.words.clear()
-        words = self.words
+        words = self.words = self._trimmed(self.words)
         new = list({w for ws in split.values() for w in ws if w not in words})
         if new:
             line = " ".join([w.encode().decode("latin-1").translate(self.alphabet) for w in new])
@@ -127,7 +128,7 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = (t.as_py() for t in batch.column("text"))
             sizes = [len(b) // 4 for run in in_slices(texts) for b in encoder.encode(run)]
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens"])
