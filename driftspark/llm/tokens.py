@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_CACHED = 120_000
+MOST_CACHED = 250_000
 SLICE_CHARS = 500_000
 
 
