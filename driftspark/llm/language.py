@@ -18,6 +18,8 @@ import regex
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftspark.llm.workers import tidy
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = 1 << 14  # hashed byte trigrams
@@ -171,7 +173,7 @@ def train(docs: DataFrame) -> Model:
     """
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     known = known.select(F.col("lang").cast("string").alias("lang"), "text")
-    counted = known.mapInArrow(_count_trigrams, "lang string, trigram int, n long")
+    counted = known.mapInArrow(tidy(_count_trigrams), "lang string, trigram int, n long")
     rows = counted.groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     if not len(rows):
         return Model()
@@ -187,7 +189,7 @@ def train(docs: DataFrame) -> Model:
     )
     model = Model(languages, codes, odds.astype(np.float32), np.ones(codes.shape))
     if codes.size:
-        proved = known.mapInArrow(_count_right(model), "i long, b long, n long, docs long")
+        proved = known.mapInArrow(tidy(_count_right(model)), "i long, b long, n long, docs long")
         for r in proved.groupBy("i", "b").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect():
             model.weights[r.i, r.b] = (r.n + 1) / (r.docs + 2)
     # Each language's weights add up to the number of bits.
@@ -215,7 +217,7 @@ def predict_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean"
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(tidy(run), schema)
 
 
 def identified_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -228,4 +230,4 @@ def identified_documents(docs: DataFrame, model: Model | None = None) -> DataFra
             keep = [n != UNKNOWN and not c for n, c in zip(names, close)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftspark.llm.common import CELL_ROWS, running_total, stored
 from driftspark.llm.tokens import TextEncoder, in_slices, tokenizer_path
+from driftspark.llm.workers import tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -82,7 +83,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
 # --- the configuration program --------------------------------------------------------------------

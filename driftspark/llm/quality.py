@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from driftspark.llm.workers import tidy
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values of the base rules.
@@ -145,4 +147,4 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", *[f"{n} {k}" for n, k in fields.items()]])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftspark.llm.common import small_side, stored
+from driftspark.llm.workers import tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -91,7 +92,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_hash(F.col("text")).alias("h"), "text")
-    return keyed.mapInArrow(compute, f"doc_id {kind}, h long, fp long")
+    return keyed.mapInArrow(tidy(compute), f"doc_id {kind}, h long, fp long")
 
 
 # --- bit-sliced comparison --------------------------------------------------------------------

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from driftspark.llm.workers import tidy
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MOST_CACHED = 250_000
@@ -134,4 +136,4 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(count), f"doc_id {kind}, n_tokens long")
