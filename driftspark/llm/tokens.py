@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections.abc import Iterable, Iterator
@@ -46,15 +47,17 @@ class TextEncoder:
     LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 
     def __init__(self, path: str):
+        # Cores are Spark's to give out.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
         self.suffix = getattr(self.full.model, "end_of_word_suffix", None)
         self.whole: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.latin = re.compile("[!-~¡-¬®-ÿ]+").fullmatch
+        # Runs of words by the rule; a space, which ends a piece, is a run of its own.
         self.split = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.NUMBER}]|[^{self.LETTER}{self.NUMBER}]+"
+            f" |'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.NUMBER}]|[^ {self.LETTER}{self.NUMBER}]+"
         ).findall
         if self.suffix:
             self.merger = Tokenizer(self.full.model)
@@ -63,7 +66,8 @@ class TextEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             for token, i in vocabulary.items():
                 self.ends[i] = token.endswith(self.suffix)
-            self.alphabet = str.maketrans(_byte_alphabet())
+            self.alphabet = np.array([ord(_byte_alphabet()[b]) for b in range(256)], "<u2")
+            self.alphabet[0x20] = 0x20  # between words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.suffix:
@@ -71,8 +75,8 @@ class TextEncoder:
         pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         self.whole = self._trimmed(self.whole)
         known = self.whole
-        self._learn({p for ps in pieces for p in ps if p not in known})
-        return [b"".join([known[p] for p in ps]) for ps in pieces]
+        self._learn(list(set().union(*pieces).difference(known)))
+        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
     @staticmethod
     def _trimmed(cache: dict) -> dict:
@@ -83,32 +87,52 @@ class TextEncoder:
     def _pack(ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        split, odd = {}, []
-        for p in pieces:
-            s = p.decode("utf-8", "surrogatepass")
-            if self.latin(s) and "<|" not in s:
-                split[p] = self.split(s.lower())
-            else:
-                odd.append(p)
+    @staticmethod
+    def _plain(pieces: list[bytes]) -> np.ndarray:
+        """Which pieces are printable Latin-1 without a soft hyphen or a special token."""
+        line = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+        after = np.append(line[1:], np.uint8(0x20))
+        odd = (line < 0x20) | (line == 0x7F) | (line >= 0xC4)
+        odd |= (line == 0xC2) & ((after <= 0xA0) | (after == 0xAD))
+        odd |= (line == ord("<")) & (after == ord("|"))
+        ends = np.flatnonzero(line == 0x20)
+        return np.bincount(np.searchsorted(ends, np.flatnonzero(odd)), minlength=len(pieces)) == 0
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        if not pieces:
+            return
+        plain = self._plain(pieces).tolist()
+        split = [p for p, ok in zip(pieces, plain) if ok]
+        if split:
+            self._learn_plain(split)
+        for p, ok in zip(pieces, plain):
+            if not ok:
+                text = p.decode("utf-8", "surrogatepass")
+                self.whole[p] = self._pack(self.full.encode(text, add_special_tokens=False).ids)
+
+    def _learn_plain(self, pieces: list[bytes]) -> None:
+        """All pieces as one line: its words' ids, cut where the pieces end."""
+        runs = self.split(b" ".join(pieces).decode().lower() + " ")
         words = self.words = self._trimmed(self.words)
-        new = list({w for ws in split.values() for w in ws if w not in words})
+        words[" "] = b""
+        new = list(set(runs).difference(words))
         if new:
-            line = " ".join([w.encode().decode("latin-1").translate(self.alphabet) for w in new])
-            ids = np.asarray(self.merger.encode(line, add_special_tokens=False).ids, "<u4")
+            line = self.alphabet[np.frombuffer(" ".join(new).encode(), np.uint8)]
+            line = line.tobytes().decode("utf-16-le")
+            merged = self.merger.encode_batch_fast([line], add_special_tokens=False)[0]
+            ids = np.asarray(merged.ids, "<u4")
             to = np.flatnonzero(self.ends[ids]) + 1
             if len(to) != len(new):
                 raise ValueError("the vocabulary does not end every word with its suffix")
             packed, at = ids.tobytes(), 0
             for w, end in zip(new, (to * 4).tolist()):
                 words[w], at = packed[at:end], end
-        for p, ws in split.items():
-            self.whole[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        if odd:
-            for p in odd:
-                text = p.decode("utf-8", "surrogatepass")
-                ids = self.full.encode(text, add_special_tokens=False).ids
-                self.whole[p] = self._pack(ids)
+        coded = list(map(words.__getitem__, runs))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        # The only runs without ids are the spaces.
+        ends = np.cumsum(sizes)[sizes == 0].tolist()
+        packed = b"".join(coded)
+        self.whole.update(zip(pieces, [packed[a:b] for a, b in zip([0, *ends], ends)]))
 
 
 def in_slices(texts: Iterable[str | None], most: int = SLICE_CHARS) -> Iterator[list[str]]:
