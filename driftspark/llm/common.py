@@ -49,7 +49,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
+def spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, end, value), counted in code points.
 
     What lies between the matches and the matches themselves add up to the positions.

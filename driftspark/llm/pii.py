@@ -3,8 +3,8 @@
 Spans of four kinds are found by expressions and checks. Every checked value is a protected
 entity. Over the whole corpus, the information that a term gives about an entity is
 PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))) with document counts; as a share of the
-entity's own information log2(N / n(e)) it is the term's disclosure. Terms beside a mention
-whose disclosure is too high are generalised, and removed if it is higher still.
+entity's own information log2(N / n(e)) it is the term's disclosure. Terms anywhere in a text with a
+mention whose disclosure is too high are generalised, and removed if it is higher still.
 """
 
 from __future__ import annotations
@@ -24,9 +24,15 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
-# A term is a word of at least three letters that starts within CONTEXT code points of a mention.
+# A term is a word of at least three letters, anywhere in a text with a mention: CONTEXT, its
+# reach in code points, has no end.
 TERM = r"\p{L}{3,}+"
-CONTEXT = 60
+CONTEXT = 2**31 - 1
+# Mentions are covered by code points that no word has, and a word that touches them is no term.
+# The letter outside the first plane makes the look behind step by code points.
+COVER = "\uffff"
+ALONE = (r"(?<![\p{L}" + "\U0001d49c" + COVER + "])", r"(?![\p{L}" + COVER + "])")
+FREE_TERM = ALONE[0] + TERM + ALONE[1]
 # Shares of an entity's information, and documents that must show the pair together.
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -83,51 +89,80 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), F.lower(s["value"])))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """One row per mention: the row's key, the entity, and the text around it with its place."""
-    def named(kind: str) -> Column:
-        return F.transform(
-            kind,
-            lambda s: F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
-            ),
-        )
+def _covered(text: Column, found: dict[str, Column]) -> Column:
+    """The text with its mentions covered, all places as they were."""
+    text = F.translate(text, COVER, " ")
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
-    marked = [named(k) for k in KINDS]
-    # What is near a mention is cut out of the text: its first code point is at ``from``.
-    return found.select("doc_id", "h", F.concat(*marked).alias("all"), "text").select(
-        "doc_id", "h", "all", F.explode("all").alias("m"), "text"
-    ).select(
-        "doc_id",
-        "h",
-        F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("taken"),
-        F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
-        F.greatest(F.col("m.start") - CONTEXT, F.lit(0)).alias("from"),
-        F.expr(
-            f"substring(text, greatest(m.start - {CONTEXT}, 0) + 1,"
-            f" m.end + {CONTEXT} - greatest(m.start - {CONTEXT}, 0))"
-        ).alias("near"),
-        (F.col("m.end") + CONTEXT < F.char_length("text")).alias("cut_right"),
-    )
+    def put(acc: Column, s: Column) -> Column:
+        at = F.greatest(acc["pos"], s["start"])  # spans of two kinds may overlap
+        to = F.greatest(acc["pos"], s["end"])
+        gap = F.substring(text, acc["pos"] + 1, at - acc["pos"])
+        out = F.concat(acc["out"], gap, F.repeat(F.lit(COVER), to - at))
+        return F.struct(to.alias("pos"), out.alias("out"))
+
+    done = F.aggregate(F.array_sort(F.concat(*found.values())), start, put)
+    return F.concat(done["out"], F.substring(text, done["pos"] + 1, F.char_length(text)))
 
 
-def _context_terms(mentions: DataFrame) -> DataFrame:
-    """(doc_id, h, entity, term, start, end) of whole words beside a mention."""
-    words = mentions.select(
-        "doc_id", "h", "entity", "from", "cut_right", "taken",
-        F.char_length("near").alias("size"),
-        F.explode(spans(F.col("near"), TERM)).alias("w"),
-    )
-    start, end = F.col("from") + F.col("w.start"), F.col("from") + F.col("w.end")
-    whole_word = ((F.col("w.start") > 0) | (F.col("from") == 0)) & (
-        (F.col("w.end") < F.col("size")) | ~F.col("cut_right")
+def _words(pattern: str = FREE_TERM) -> Column:
+    return F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+
+
+def _free_terms() -> Column:
+    return F.array_distinct(F.transform(_words(), F.lower))
+
+
+def _sent(table: DataFrame, *names: str) -> DataFrame:
+    """``table``, which is stored, with a broadcast hint while its bytes are counted few."""
+    size = table.agg(F.sum(sum((F.octet_length(c) for c in names), F.lit(ROW_BYTES)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _telling(
+    texts: DataFrame, rows: DataFrame, n: int, generalise_at: float, least_documents: int
+) -> DataFrame:
+    """Stored (entity, term, disclosure) of the pairs that are generalised or removed.
+
+    ``rows`` are the texts with a mention: text (covered) and the distinct entities. As
+    n(e,t) <= n(e), only a term with n(t) <= N^(1-g) n(e)^g can have a share of g, so that
+    common words are not paired; and no pair has more documents than its entity and its term.
+    """
+    # An entity counts where it is mentioned, also if no term stands beside it.
+    n_e = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    most = F.pow(F.lit(float(n)), 1 - generalise_at) * F.pow("n_e", F.lit(generalise_at)) * (1 + 1e-9)
+    n_e = n_e.filter(F.col("n_e") >= least_documents)
+    n_e = stored((n_e.filter(F.col("n_e") < n) if generalise_at > 0 else n_e).withColumn("most", most), "entities")
+    limit = n_e.agg(F.max("most")).first()[0] or 0.0
+    asked = rows.select(F.explode(_free_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    asked = asked.filter(F.col("seen").between(least_documents, limit)).select("term")
+    n_t = document_frequency(texts, stored(asked, "asked-terms")).filter(F.col("n_t") <= limit)
+    n_t = stored(n_t, "term-counts")
+    pairs = (
+        rows.select("entities", F.explode(_free_terms()).alias("term"))
+        .join(_sent(n_t, "term"), "term")
+        .select("term", "n_t", F.explode("entities").alias("entity"))
+        .join(_sent(n_e, "entity"), "entity")
+        .filter("n_t <= most")
+        .groupBy("entity", "term", "n_e", "n_t")
+        .agg(F.count(F.lit(1)).alias("n_et"))
+        .filter(F.col("n_et") >= least_documents)
     )
-    placed = words.filter(whole_word).select(
-        "doc_id", "h", "entity", F.lower("w.value").alias("term"),
-        start.alias("start"), end.alias("end"), "taken",
+    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    own = F.log2(F.lit(float(n)) / F.col("n_e"))
+    share = F.when(own > 0, pmi / own).otherwise(0.0)
+    told = pairs.select("entity", "term", share.alias("disclosure"))
+    return stored(told.filter(F.col("disclosure") >= generalise_at), "telling")
+
+
+def _places(words: str) -> Column:
+    """Spans of the given words where they stand alone in the covered text; the terms as values."""
+    pattern = F.concat(F.lit(ALONE[0] + "(?:"), F.array_join(words, "|"), F.lit(")" + ALONE[1]))
+    found = F.transform(
+        spans(F.col("text"), pattern),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")),
     )
-    free = ~F.exists("taken", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    return placed.filter(free).drop("taken")
+    return F.when(F.size(words) > 0, found).otherwise(no_spans())
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -166,48 +201,31 @@ def sanitise(
         text.alias("text"),
     )
     anything = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
-    near = F.when(anything, F.col("text"))
-    base = stored(found.select("doc_id", "h", *KINDS, near.alias("text")), "pii")
-    terms = stored(_context_terms(_mentions(base.filter("text is not null"))), "context-terms")
+    covered = F.when(anything, _covered(F.col("text"), {k: F.col(k) for k in KINDS}))
+    base = stored(found.select("doc_id", "h", *KINDS, covered.alias("text")), "pii")
+    entities = F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities")
+    rows = base.filter("text is not null").select("doc_id", "h", "text", entities)
+    telling = _telling(texts, rows, base.count(), generalise_at, least_documents)
 
-    n = base.count()
-    # An entity counts where it is mentioned, also if no term stands beside it.
-    entity = F.explode(F.array_distinct(F.concat(*map(_entities, KINDS)))).alias("entity")
-    n_e = base.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    # Repeated rows of one document count as rows here as they do in n(e) and n(t).
-    rows = base.filter("text is not null").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
-    once = terms.select("doc_id", "h", "entity", "term").distinct()
+    # Repeated rows of one document count as rows above; here they have the same spans.
     keys = ["doc_id", "h"]
-    weighed = once.alias("a").join(
-        rows.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h"))
-    )
-    pairs = weighed.groupBy("entity", "term").agg(F.sum("rows").alias("n_et"))
-    pairs = stored(pairs.filter(F.col("n_et") >= least_documents).join(n_e, "entity"), "pairs")
-    n_t = document_frequency(texts, stored(pairs.select("term").distinct(), "asked-terms"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    share = F.when(own > 0, pmi / own).otherwise(0.0)
-    telling = (
-        pairs.join(n_t, "term")
-        .withColumn("disclosure", share)
-        .filter(F.col("disclosure") >= generalise_at)
-        .select("entity", "term", "disclosure")
-    )
     marked = (
-        terms.join(telling, ["entity", "term"])
-        .groupBy(*keys, "start", "end", "term")
+        rows.select(*keys, "entities", F.explode(_words()).alias("word"))
+        .withColumn("term", F.lower("word"))
+        .join(_sent(stored(telling.select("term").distinct(), "telling-terms"), "term"), "term")
+        .select(*keys, "word", "term", F.explode("entities").alias("entity"))
+        .join(_sent(telling, "entity", "term"), ["entity", "term"])
+        .groupBy(*keys, "word")
         .agg(F.max("disclosure").alias("disclosure"))
     )
-    span = F.struct("start", "end", F.col("term").alias("value"))
     high = F.col("disclosure") >= remove_at
     per_row = marked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(~high, span))).alias("generalise"),
-        F.array_sort(F.collect_list(F.when(high, span))).alias("remove"),
+        F.collect_list(F.when(~high, F.col("word"))).alias("__generalise"),
+        F.collect_list(F.when(high, F.col("word"))).alias("__remove"),
     ).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    return base.drop("text").join(per_row, same, "left").select(
-        "doc_id", "h", *KINDS,
-        *[F.coalesce(c, no_spans()).alias(c) for c in ("generalise", "remove")],
+    return base.join(per_row, same, "left").select(
+        "doc_id", "h", *KINDS, *[_places(f"__{c}").alias(c) for c in ("generalise", "remove")]
     )
 
 

@@ -168,6 +168,19 @@ def test_disclosure(spark):
     assert not any(texts[i][a:b] == "common" for i, a, b, _ in got)
 
 
+def test_disclosure_far_from_the_mention(spark):
+    """A term 200 code points and more from the address counts, and is marked at each place."""
+    filler = "the rain and the wind of the day " * 8
+    texts = [f"Zebulon came. {filler}mail zeb@mail.example.com then zebulon left {filler}ZEBULON"] * 3
+    texts += ["\U0001d49cZebulon zeb@mail.example.com \uffffZebulon éééxzeb@mail.example.com"]
+    texts += [filler + "mail then left came"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.end, True) for r in pii.sanitise(docs).collect() for s in r.remove}
+    assert got == {t for t in telling_terms(texts) if t[3]}
+    assert {texts[0][a:b] for i, a, b, _ in got if i == 0} == {"Zebulon", "zebulon", "ZEBULON"}
+    assert [texts[i][a:b] for i, a, b, _ in got if i == 3] == ["Zebulon"]
+
+
 def test_sanitised_text(spark):
     texts = ["the Zebulon is a@b.example.com ok", "the Zebulon is a@b.example.com ok", *["the ok is"] * 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
