@@ -171,8 +171,9 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     ``terms`` is a stored table. While its bytes are counted few it is sent to the scan, so
     that other words are not shuffled; beyond that all words are counted and joined.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(TERM), F.lit(0)))
-    seen = docs.select(F.explode(words).alias("term"))
+    # Lower-casing may add marks that end a word: found first, lower-cased then, as free terms are.
+    words = F.array_distinct(F.regexp_extract_all(whole("text"), F.lit(TERM), F.lit(0)))
+    seen = docs.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
     size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         seen, terms = seen.join(F.broadcast(terms), "term", "left_semi"), None

@@ -181,6 +181,14 @@ def test_disclosure_far_from_the_mention(spark):
     assert [texts[i][a:b] for i, a, b, _ in got if i == 3] == ["Zebulon"]
 
 
+def test_terms_that_lower_casing_lengthens(spark):
+    """The capital I with a dot becomes two code points, of which the second is no letter."""
+    texts = ["in \u0130zmir mail zeb@mail.example.com"] * 3 + ["the mail goes in"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r.doc_id: [(s.start, s.end) for s in r.remove] for r in pii.sanitise(docs).collect()}
+    assert [removed[i] for i in (0, 1, 2, 3)] == [[(3, 8)]] * 3 + [[]]
+
+
 def test_sanitised_text(spark):
     texts = ["the Zebulon is a@b.example.com ok", "the Zebulon is a@b.example.com ok", *["the ok is"] * 9]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
