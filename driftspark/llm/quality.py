@@ -32,6 +32,8 @@ MOST_LOST = 0.5
 MOST_MARKS = 0.3
 FRAGMENT_WORDS = 3
 NAVIGATION_WORDS = 8
+# Each boilerplate phrase speaks for so many words of its line; a line with more stays.
+BOILERPLATE_WORDS = 30
 ENDINGS = tuple(".!?…:;\"'”»)")
 SEPARATORS = re.compile(r" [|>»•·/] ?")
 NAVIGATION = re.compile(
@@ -81,7 +83,8 @@ def line_fault(line: str) -> str | None:
     body = line.strip(SPACES)
     low = body.lower()
     n = len(body.split())
-    if BOILERPLATE.search(low):
+    phrases = sum(1 for _ in BOILERPLATE.finditer(low))
+    if phrases and n <= BOILERPLATE_WORDS * phrases:
         return "boilerplate"
     parts = SEPARATORS.split(body)
     if len(parts) > 3 and n <= 4 * len(parts):

@@ -76,6 +76,16 @@ def test_documents_that_lose_too_much(spark):
     assert rows[1].clean_text == prose and rows[2].clean_text == prose and rows[2].lines_removed == 1
 
 
+def test_long_line_with_a_boilerplate_phrase(spark):
+    """A phrase in passing does not take the whole document with it."""
+    text = " ".join(f"In y{i} the v{i} bought m{i} of b{i}." for i in range(400))
+    text += " Later it had a pump powered by steam."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = ql.quality(docs, with_text=True).first()
+    assert row.kept and row.lines_removed == 0 and row.clean_text == text
+    assert ql.line_fault("Click here. " + " ".join(["Powered by steam, all rights reserved."] * 20)) == "boilerplate"
+
+
 def test_most_documents_pass_the_line_rules(real_docs):
     rows = ql.quality(real_docs).collect()
     passed = [r.kept for r in rows if not r.base_failed]
