@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ FRAGMENT_WORDS = 3
 NAVIGATION_WORDS = 8
 # Each boilerplate phrase speaks for so many words of its line; a line with more stays.
 BOILERPLATE_WORDS = 30
-ENDINGS = tuple(".!?…:;\"'”»)")
+# Those of other scripts: Chinese and Japanese, Indic, Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan.
+ENDINGS = tuple(".!?…:;\"'”»)" + "。．｡！？：；」』）】》" + "।॥" + "؟۔؛" + "։՞" + "።፧" + "။" + "។៕" + "།")
 SEPARATORS = re.compile(r" [|>»•·/] ?")
 NAVIGATION = re.compile(
     r"\b(home|menu|login|log in|sign in|sign up|register|contact us|about us|site ?map|next|previous"
@@ -91,7 +93,8 @@ def line_fault(line: str) -> str | None:
         return "navigation"
     if n <= NAVIGATION_WORDS and not body.endswith(ENDINGS) and NAVIGATION.search(low):
         return "navigation"
-    marks = sum(not c.isalnum() and not c.isspace() for c in body)
+    # Vowel signs and other combining characters belong to words.
+    marks = sum(not c.isalnum() and unicodedata.category(c)[0] in "PS" for c in body)
     if marks > MOST_MARKS * len(body):
         return "punctuation"
     if n < FRAGMENT_WORDS and not body.endswith(ENDINGS):

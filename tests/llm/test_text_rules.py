@@ -86,6 +86,15 @@ def test_long_line_with_a_boilerplate_phrase(spark):
     assert ql.line_fault("Click here. " + " ".join(["Powered by steam, all rights reserved."] * 20)) == "boilerplate"
 
 
+def test_clean_text_in_other_scripts(spark):
+    hindi = "हिन्दी में लिखी हुई किताबें पढ़ना मुझे बचपन से ही बहुत पसंद है।"
+    tamil = "தமிழில் எழுதிய புத்தகங்களை படிக்க எனக்கு மிகவும் பிடிக்கும் என்று நேற்று அவள் சொன்னாள்."
+    chinese = "昨天我们在图书馆里读了一本很有意思的书。"
+    docs = spark.createDataFrame([(1, hindi), (2, tamil), (3, f"{hindi}\n{chinese}")], "doc_id long, text string")
+    assert [(r.kept, r.lines_removed) for r in ql.quality(docs).collect()] == [(True, 0)] * 3
+    assert ql.line_fault(chinese) is None and ql.line_fault("。。。！！！") == "punctuation"
+
+
 def test_most_documents_pass_the_line_rules(real_docs):
     rows = ql.quality(real_docs).collect()
     passed = [r.kept for r in rows if not r.base_failed]
