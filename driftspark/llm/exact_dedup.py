@@ -59,7 +59,9 @@ def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = [(s, b) for b, first, last in buckets for s in range(first, last + 1)]
     directory = spark.createDataFrame(slots, "__slot int, bucket int")
     placed = entries.withColumn("__slot", _slot(depth)).join(F.broadcast(directory), "__slot")
-    owned = placed.drop("__slot").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h")
+    # Equal hashes share every bit: the id lets a large group of copies span several ranges.
+    place = ["bucket", "h", "doc_id"]
+    owned = placed.drop("__slot").repartitionByRange(*place).sortWithinPartitions(*place)
     return stored(owned, "hash-index")
 
 

@@ -164,3 +164,17 @@ def test_long_texts_are_hashed_whole(monkeypatch):
     assert sh.fingerprint(text) == simple_fingerprint(text)
     for short in ("", "  ", "a", "a b", "a b c", "x" * 300, ("y" * 100 + " ") * 3):
         assert sh.fingerprint(short) == simple_fingerprint(short)
+
+
+def test_index_divides_a_large_group(spark):
+    """Copies of one text with different ids are dealt to several owner tasks."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'the same text', concat('text ', id)) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = ed.DedupIndex(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = index.groups.select("h", "group_size", "keep_id").collect()
+    assert [(r.group_size, r.keep_id) for r in hot] == [(2000, 3998)]
+    files = index.entries.filter(F.col("h") == hot[0].h).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 2000
