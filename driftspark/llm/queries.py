@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftspark.llm import (
+    cost_packing,
     exact_dedup,
     language,
     mixing,
@@ -97,6 +98,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(documents(spark, sf_dir))
 
 
+def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost_packing.pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -111,5 +116,6 @@ def queries() -> dict[str, Query]:
             op8_token_counts,
             op9_url_filters,
             op10_language,
+            op11_cost_packing,
         )
     }
