@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftspark.llm import (
+    conversation_repair,
     cost_packing,
     exact_dedup,
     language,
+    manifest,
     mixing,
     packing,
     pii,
@@ -102,6 +104,14 @@ def op11_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing.pack(documents(spark, sf_dir))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -117,5 +127,7 @@ def queries() -> dict[str, Query]:
             op9_url_filters,
             op10_language,
             op11_cost_packing,
+            op12_manifest,
+            op13_conversation_repair,
         )
     }

@@ -63,5 +63,144 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text: every byte and eight shifts, one after another."""
+    shifts = ", ".join(["-1"] * 8)
+    return (
+        f"xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({text}, ''),"
+        f" lambda ch: [ascii(ch)::BIGINT, {shifts}])), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e)"
+        " WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+    )
+
+
+def _leaf(text: str) -> str:
+    part = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _rising(name: str, base: str) -> str:
+    """All levels of the trees over (tree, pos, nodes, h) of ``base``: every three make one."""
+    return f"""{name} AS (
+  SELECT 0 AS lvl, tree, pos, nodes, h FROM {base}
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 3, (nodes + 2) // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM {name} WHERE nodes > 1 GROUP BY lvl, tree, pos // 3, nodes
+)"""
+
+
+def _folding(name: str, levels: str, base: str) -> str:
+    """(id, tree, pos, lvl, node, siblings) of ``base``, folded along ``levels`` to the top."""
+    run = f"FROM {levels} r WHERE r.lvl = f.lvl AND r.tree = f.tree AND r.pos // 3 = f.pos // 3 AND r.pos"
+    before = f"coalesce((SELECT string_agg(h, '' ORDER BY pos) {run} < f.pos), '')"
+    after = f"coalesce((SELECT string_agg(h, '' ORDER BY pos) {run} > f.pos), '')"
+    return f"""{name} AS (
+  SELECT id, tree, pos, 0 AS lvl, node, siblings, nodes FROM {base}
+  UNION ALL
+  SELECT id, tree, pos // 3, lvl + 1, sha256({before} || node || {after}), siblings || {before} || {after}, (nodes + 2) // 3
+  FROM {name} f WHERE nodes > 1
+)"""
+
+
+MANIFEST = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, source, row_number() OVER () AS id, {_leaf("text")} AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now
+  FROM documents
+), leaves AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, leaf AS h,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY source) AS nodes
+  FROM found
+), {_rising("low", "leaves")}, subroots AS (
+  SELECT 0 AS tree, tree AS pos, count(*) OVER () AS nodes, h FROM low WHERE nodes = 1
+), {_rising("high", "subroots")}, starts AS (
+  SELECT id, tree, pos, nodes, now AS node, '' AS siblings FROM leaves
+), {_folding("inside", "low", "starts")}, middles AS (
+  SELECT f.id, 0 AS tree, f.tree AS pos, s.nodes, f.node, f.siblings
+  FROM inside f JOIN subroots s ON s.pos = f.tree WHERE f.nodes = 1
+), {_folding("outside", "high", "middles")}
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.h AS root, sha256(o.siblings) AS proof_sha256,
+       o.node AS folded_root, o.node = r.h AS verified
+FROM leaves l JOIN outside o ON o.id = l.id AND o.nodes = 1 JOIN subroots s ON s.pos = l.tree
+JOIN high r ON r.nodes = 1
+"""
+
+
+def _edit(cost: str, letter: str, line: str, then: str) -> str:
+    return f"{{'c': {cost} + {then}.c, 'a': '{letter}' || {then}.a, 'r': {line} || {then}.r}}"
+
+
+def _cheapest(state: str, wanted: str) -> str:
+    """The best of deleting, keeping and reroling a row in a grammar state, by cost, then audit."""
+    role = {"u": "user", "a": "assistant"}[wanted]
+    offers = [_edit("2", "D", "''", f"w.{state}")]
+    for initial in (wanted, "s") if state == "e" else (wanted,):
+        keep = _edit("d.extra", "K", "chr(10) || d.role || ':' || d.text", f"w.{initial}")
+        offers.append(f"CASE WHEN NOT d.gone AND d.initial = '{initial}' THEN {keep} END")
+    rerole = _edit("1 + d.extra", "R", f"chr(10) || '{role}:' || d.text", f"w.{wanted}")
+    offers.append(f"CASE WHEN NOT d.gone THEN {rerole} END")
+    return f"list_min([{', '.join(offers)}]) AS {state}"
+
+
+def _inserted(state: str, wanted: str, then: str) -> str:
+    role = {"u": "user", "a": "assistant"}[wanted]
+    line = f"chr(10) || '{role}:'"
+    return f"list_min([{state}, {_edit('5', 'I', line, then)}]) AS {state}"
+
+
+REPAIR = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM keyed WHERE kind <> 0
+), placed AS (
+  SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), time) AS i
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), d AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM judged
+), totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM d GROUP BY conv_id
+), ends AS (
+  SELECT {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS nothing, {{'c': 5::BIGINT, 'a': 'I', 'r': chr(10) || 'assistant:'}} AS one,
+         {{'c': 10::BIGINT, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS two
+), w AS (
+  SELECT conv_id, n + 1 AS i, nothing AS e, two AS s, one AS u, nothing AS a FROM totals, ends
+  UNION ALL
+  SELECT conv_id, i, {_inserted("e", "u", "u")}, {_inserted("s", "u", "u")}, u, a FROM (
+    SELECT conv_id, i, e, s, {_inserted("u", "a", "a")}, {_inserted("a", "u", "u")} FROM (
+      SELECT d.conv_id, d.i, {_cheapest("e", "u")}, {_cheapest("s", "u")}, {_cheapest("u", "a")}, {_cheapest("a", "u")}
+      FROM w JOIN d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.i = w.i - 1
+    )
+  )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.e.c, 0) AS cost,
+       coalesce(w.e.a, '') AS audit, sha256(coalesce(w.e.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING, "op3_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_mixing": MIXING,
+        "op3_exact_dedup": EXACT_DEDUP,
+        "op12_manifest": MANIFEST,
+        "op13_conversation_repair": REPAIR,
+    }
