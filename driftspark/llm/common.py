@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from driftspark.session import shared_dir
 
@@ -19,15 +21,40 @@ BROADCAST_KEYS = 1_000_000
 CELL_ROWS = 16_384
 
 
+_owned: list[list[str]] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession, *paths: str) -> Iterator[None]:
+    """Drops the tables at ``paths`` and those that ``stored`` makes meanwhile, at the end."""
+    tables = list(paths)
+    _owned.append(tables)
+    try:
+        yield
+    finally:
+        _owned.remove(tables)
+        for path in tables:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``stored``, and where; such a table stays until it is dropped by its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once, as a table in the folder that ``spark.checkpoint.dir`` names.
 
     Unlike ``checkpoint()`` this computes the last stage once and keeps columns apart, so
     that later readers take only those they need. It survives lost executors.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table, path = stored_at(df, name)
+    for tables in _owned:
+        tables.append(path)
+    return table
 
 
 def small_side(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -113,3 +140,20 @@ def running_total(
         .withColumn(out, (F.col("__ahead") + F.coalesce(inside, F.lit(0))).cast("long"))
         .drop("__ahead")
     )
+
+
+def ranks_alike(rows: DataFrame, key: str, name: str, limit: int = BROADCAST_KEYS) -> tuple[DataFrame, dict]:
+    """``rows`` with ``rank``, the place of a row among all with its ``key``; and their counts.
+
+    The tasks that made the stored table have numbered rows alike (``nth_alike``) and
+    themselves (``part``), so that only the counts by task are added up and no row moves while
+    these are at most ``limit``. ``key`` is a number of few values.
+    """
+    alike = stored(rows.groupBy(key, "part").count(), f"{name}-counts")
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__ahead")
+    offsets = stored(alike.select(key, "part", ahead), f"{name}-offsets")
+    ranked = rows.join(small_side(offsets, limit), [key, "part"])
+    ranked = ranked.withColumn("rank", F.col("__ahead") + F.col("nth_alike")).drop("__ahead")
+    counts = {r[0]: r[1] for r in alike.groupBy(key).agg(F.sum("count")).collect()}
+    return ranked, counts

@@ -21,10 +21,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from driftspark.llm.byte_bpe import ByteEncoder
-from driftspark.llm.common import BROADCAST_KEYS, small_side, stored
+from driftspark.llm.common import BROADCAST_KEYS, ranks_alike, stored
 from driftspark.llm.tokens import in_slices, tokenizer_path
 from driftspark.llm.workers import tidy
 
@@ -243,17 +243,11 @@ def pack(
     """
     path = path or tokenizer_path("byte_bpe_50k.json")
     rests = stored(token_rests(docs, path, capacity), "rests")
-    alike = stored(rests.groupBy("rest", "part").count(), "rest-counts")
+    ranked, alike = ranks_alike(rests, "rest", "rests", broadcast_rows)
     counts = np.zeros(capacity + 1, np.int64)
-    for rest, n in alike.groupBy("rest").agg(F.sum("count")).collect():
+    for rest, n in alike.items():
         counts[rest] = n
     counts[0] = 0
-    earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("ahead")
-    offsets = stored(alike.select("rest", "part", ahead), "rest-offsets")
-    ranked = rests.join(small_side(offsets, broadcast_rows), ["rest", "part"]).withColumn(
-        "rank", F.col("ahead") + F.col("nth_alike")
-    )
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long,"

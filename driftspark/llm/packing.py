@@ -3,23 +3,25 @@
 Only the histogram of piece lengths matters for how pieces go together, and it has at most
 as many entries as a sequence has tokens. A configuration says how many pieces of each
 length share a sequence. Fractional numbers of configurations are found by multiplicative
-weights, each priced by a knapsack dynamic program, and rounded down; the few pieces
-left are put in by best fit. Pieces then take their places by rank.
+weights, each priced by a knapsack dynamic program, and rounded to whole ones; the pieces
+left are put in by best fit, also into the room that configurations have. Pieces then take
+their places by rank.
 """
 
 from __future__ import annotations
 
 import sys
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame
 
-from driftspark.llm.common import CELL_ROWS, running_total, stored
+from driftspark.llm.common import BROADCAST_KEYS, ranks_alike, stored
 from driftspark.llm.tokens import TextEncoder, in_slices, tokenizer_path
 from driftspark.llm.workers import tidy
 
@@ -27,18 +29,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 END_ID = 0
-# Worth of lengths: sizes told apart, rounds, and the share of weight lost per cover.
-GRID = 256
-WORTH_ROUNDS = 500
-LEARNING = 0.1
-# Weights fall by exp(-SHARPNESS * how far a length is ahead of the least covered one); a
-# step covers at most STEP of a length's demand; PER_PRICING configurations use one program.
-SHARPNESS = 3.0
-STEP = 0.1
-PREFER_LONG = 0.3
-FULL = 1.0  # of the capacity, or a configuration is not used
-PER_PRICING = 8
-MOST_PRICINGS = 1000
+# Rounds of multiplicative weights end when every length is covered COVERS times, or after
+# MOST_PRICINGS programs, which bounds work: what has no configuration is packed all the same.
+# A length's weight is exp(-SHARPNESS x its cover); PER_PRICING configurations use one program
+# and are added by STEP of what would cover one of their lengths once.
+COVERS = 6.0
+SHARPNESS = 2.0
+STEP = 0.25
+PER_PRICING = 64
+MOST_PRICINGS = 300
+# Shares of the fractional solution that rounding may keep, in tokens.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -47,27 +48,34 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's ids and the closing id.
+    """(doc_id, piece, start, length, ids_crc32, part, nth_alike) of every document's ids and the
+    closing id.
 
-    Only documents above ``capacity`` are cut, into full pieces and a rest.
+    Only documents above ``capacity`` are cut, into full pieces and a rest. ``part`` and
+    ``nth_alike`` number the pieces of one length within a task; they are only meaningful once
+    the table is stored.
     """
     path = path or tokenizer_path()
     closing = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = TextEncoder(path), 4 * capacity
+        encoder, step, part = TextEncoder(path), 4 * capacity, TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            row, piece, length, crc = [], [], [], []
+            row, piece, length, crc, alike = [], [], [], [], []
             n = 0
             for run in in_slices(t.as_py() for t in batch.column("text")):
                 for ids in encoder.encode(run):
                     ids += closing
                     for k, at in enumerate(range(0, len(ids), step)):
-                        part = ids[at : at + step]
+                        code = ids[at : at + step]
+                        size = len(code) // 4
                         row.append(n)
                         piece.append(k)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
+                        length.append(size)
+                        crc.append(zlib.crc32(code))
+                        alike.append(seen[size])
+                        seen[size] += 1
                     n += 1
             nth = np.asarray(piece, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -77,12 +85,16 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     pa.array(nth * capacity),
                     pa.array(length, pa.int64()),
                     pa.array(crc, pa.int64()),
+                    pa.array([part] * len(row), pa.int32()),
+                    pa.array(alike, pa.int64()),
                 ],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth_alike"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    schema = (
+        f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth_alike long"
+    )
     return docs.select("doc_id", "text").mapInArrow(tidy(cut), schema)
 
 
@@ -116,96 +128,81 @@ def _pattern(first: int, choice: np.ndarray, capacity: int, most: np.ndarray) ->
     return tuple(sorted(items.items()))
 
 
-def length_worth(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """What a piece of each length is worth: the dual solution of the covering program.
+def fractional(counts: np.ndarray, capacity: int) -> dict[Pattern, float]:
+    """Fractional numbers of configurations that cover every length's demand.
 
-    Every length's demand has a weight. The program's best configuration for the current
-    weights is added until one of its lengths is covered once more, and covered lengths lose
-    weight by a factor per cover. The weights that prove the highest lower bound are kept.
-    Lengths are taken up to a grid of GRID sizes, as only their worth is sought here.
+    A length has a weight that falls exponentially with the share of its demand covered so
+    far, and a piece is worth its tokens at that weight. The program gives the most
+    valuable configuration beside each of the least covered lengths, and some of each is added.
+    Divided by the least cover, the numbers solve the covering program; rounding cuts back
+    what is covered more often.
     """
-    unit = -(-capacity // GRID)
-    size, classes = capacity // unit, -(-np.arange(capacity + 1) // unit)
-    classes = np.minimum(classes, size)
-    demand = np.bincount(classes, weights=counts, minlength=size + 1)
-    some = np.flatnonzero(demand)
-    weight, best, highest = np.where(demand > 0, 1.0, 0.0), None, -1.0
-    for _ in range(WORTH_ROUNDS):
-        values = np.divide(weight, demand, out=np.zeros(size + 1), where=demand > 0)
-        worth, choice = price(values, size)
-        if worth[size] <= 0:
-            break
-        bound = weight.sum() / worth[size]
-        if bound > highest:
-            highest, best = bound, values / worth[size]
-        # The best configuration beside each of the heaviest lengths, all by one program.
-        beside = values[some] + worth[size - some]
-        for first in some[np.argsort(-beside, kind="stable")][:PER_PRICING]:
-            items = _pattern(int(first), choice, size, demand)
-            step = min(demand[k] / a for k, a in items)
-            for k, a in items:
-                weight[k] *= (1 - LEARNING) ** (step * a / demand[k])
-        weight /= weight.max()
-    return (best if best is not None else np.arange(size + 1) / size)[classes]
-
-
-def configurations(counts: np.ndarray, capacity: int) -> tuple[Counter, np.ndarray]:
-    """Configurations in whole numbers, and the pieces they leave.
-
-    A length counts for its worth times a weight that falls exponentially with the share of
-    its demand already covered. Every pricing serves the least covered lengths, by numbers
-    rounded down to whole ones. A length whose best configuration leaves much room is left for
-    best fit. Ends when no length remains, or after MOST_PRICINGS: what is left then is packed
-    all the same, so that this bounds work and not the result.
-    """
-    left, used = counts.copy(), Counter()
-    open_ = counts > 0
-    # Among equal fillings, few long pieces rather than many short ones, which fit in later.
-    share = np.arange(capacity + 1) / capacity
-    worth = (length_worth(counts, capacity) + 1e-3 * share) * share**PREFER_LONG
-    demand = np.maximum(counts, 1).astype(float)
+    demand = counts.astype(float)
+    some = np.flatnonzero(counts)
+    cover = np.zeros(capacity + 1)
+    found: dict[Pattern, float] = {}
+    # Among equal values, long pieces go first and short ones stay to fill up.
+    share = 1e-6 * np.arange(capacity + 1) / capacity
     for _ in range(MOST_PRICINGS):
-        lengths = np.flatnonzero(left)
-        first_ones = np.flatnonzero(open_ & (left > 0))
-        if not len(first_ones):
+        if not len(some) or cover[some].min() >= COVERS:
             break
-        covered = 1 - left / demand
+        weight = np.exp(-SHARPNESS * (cover[some] - cover[some].min()))
         values = np.zeros(capacity + 1)
-        values[lengths] = worth[lengths] * np.exp(-SHARPNESS * (covered[lengths] - covered[lengths].min()))
+        # By the token, so that no length is worth more than its room by being rare.
+        values[some] = weight * some / capacity + share[some]
         _, choice = price(values, capacity)
-        # The least covered tenths first, in them the longest.
-        for first in first_ones[np.lexsort((-first_ones, np.floor(covered[first_ones] / STEP)))][:PER_PRICING]:
-            if left[first]:
-                pattern = _pattern(int(first), choice, capacity, left)
-                if sum(k * a for k, a in pattern) < FULL * capacity:
-                    open_[first] = False
-                    continue
-                n = min(max(1, int(STEP * counts[k]) // a) if left[k] >= a else 0 for k, a in pattern)
-                n = min(n, min(int(left[k]) // a for k, a in pattern))
+        behind = np.flatnonzero(cover[some] < cover[some].min() + 1)
+        order = behind[np.lexsort((-some[behind], cover[some][behind]))]
+        for first in some[order][:PER_PRICING].tolist():
+            pattern = _pattern(first, choice, capacity, counts)
+            step = STEP * min(demand[k] / a for k, a in pattern)
+            found[pattern] = found.get(pattern, 0.0) + step
+            for k, a in pattern:
+                cover[k] += a * step / demand[k]
+    least = max(STEP, float(cover[some].min())) if len(some) else 1.0
+    return {pattern: n / least for pattern, n in found.items()}
+
+
+def rounded(found: dict[Pattern, float], counts: np.ndarray, capacity: int, share: float) -> tuple[Counter, np.ndarray]:
+    """Whole numbers of configurations, and the pieces they leave.
+
+    Fullest configurations first: each is taken as often as its fraction says, rounded down,
+    and then once more, as far as there are pieces; no further once ``share`` of all tokens is
+    placed.
+    """
+    left, used = counts.copy(), Counter()
+    budget = share * float(counts @ np.arange(capacity + 1))
+    fill = {p: sum(k * a for k, a in p) for p in found}
+    order = sorted(found, key=lambda p: (-fill[p], -found[p], p))
+    for extra in (0, 1):
+        for pattern in order:
+            n = 1 if extra else int(found[pattern])
+            n = min(n, int(budget // fill[pattern]), min(int(left[k]) // a for k, a in pattern))
+            if n > 0 and (fill[pattern] == capacity or not extra):
                 used[pattern] += n
+                budget -= n * fill[pattern]
                 for k, a in pattern:
                     left[k] -= n * a
     return used, left
 
 
-def pack_lengths(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Configurations and whole numbers that use every piece exactly once.
-
-    ``counts[l]`` pieces have length l. What the configurations leave goes in by best fit,
-    longest first and whole groups of equal pieces and equal sequences at a time, also into
-    the room that configurations have.
-    """
-    used, left = configurations(counts, capacity)
+def best_fit(used: Counter, left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """``used`` with the pieces left put in by best fit, longest first, whole groups of equal
+    pieces and equal sequences at a time."""
     rooms: dict[int, Counter] = {}
     for pattern, n in used.items():
         rooms.setdefault(capacity - sum(k * a for k, a in pattern), Counter())[pattern] += n
+    known = sorted(rooms)  # all rooms there are
     for k in np.flatnonzero(left)[::-1].tolist():
         n = int(left[k])
         while n:
-            room = min((r for r in rooms if r >= k), default=None)
-            if room is None:
+            at = bisect_left(known, k)
+            if at == len(known):
                 room, per = capacity, capacity // k
-                rooms.setdefault(capacity, Counter())[()] = max(1, n // per)
+                rooms[capacity] = Counter({(): max(1, n // per)})
+                known.append(capacity)
+            else:
+                room = known[at]
             pattern = next(iter(rooms[room]))
             size = rooms[room][pattern]
             # As many of the piece as fit into each of these sequences, or one into some of them.
@@ -218,11 +215,33 @@ def pack_lengths(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pat
                 del rooms[room][pattern]
                 if not rooms[room]:
                     del rooms[room]
-            rooms.setdefault(room - a * k, Counter())[tuple(sorted(grown.items()))] += take
+                    known.pop(bisect_left(known, room))
+            if room - a * k not in rooms:
+                rooms[room - a * k] = Counter()
+                insort(known, room - a * k)
+            rooms[room - a * k][tuple(sorted(grown.items()))] += take
             n -= a * take
     return [(p, n) for r in sorted(rooms) for p, n in sorted(rooms[r].items()) if p]
 
 
+def pack_lengths(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
+    """Configurations and whole numbers that use every piece exactly once.
+
+    ``counts[l]`` pieces have length l. Of the fractional solution the largest of SHARES is
+    kept that needs the fewest sequences, so that there are never more than by best fit alone.
+    """
+    found, best, fewest = fractional(counts, capacity), [], None
+    least = -(-int(counts @ np.arange(capacity + 1)) // capacity)
+    for share in SHARES:
+        packed = best_fit(*rounded(found, counts, capacity, share), capacity)
+        total = sum(n for _, n in packed)
+        if fewest is None or total < fewest:
+            best, fewest = packed, total
+        if fewest == least:
+            break
+    return best
+
+
 # --- places ----------------------------------------------------------------------------------------
 
 
@@ -261,7 +280,10 @@ def _seat(places: dict[str, np.ndarray]):
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cell_rows: int = CELL_ROWS
+    docs: DataFrame,
+    path: str | None = None,
+    capacity: int = CAPACITY,
+    broadcast_rows: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -269,19 +291,15 @@ def pack(
     doc_id is kept, no rows give no rows, other columns are ignored. Sequences have no gaps.
 
     Only the length histogram (``capacity`` numbers) reaches the driver, and only the table of
-    configurations, bounded by it, goes to the tasks. Ranks within a length are running counts
-    over hashed cells, so a length that a third of all pieces have is spread out.
+    configurations, bounded by it, goes to the tasks. A piece's rank within its length is its
+    number within its task plus the number of equal pieces in the tasks before, so that no
+    piece moves, whatever length a third of them has.
     """
     pieces = stored(token_pieces(docs, path, capacity), "pieces")
+    ranked, alike = ranks_alike(pieces, "length", "pieces", broadcast_rows)
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in pieces.groupBy("length").count().collect():
+    for length, n in alike.items():
         counts[length] = n
-    cells = max(1, -(-int(counts.max()) // cell_rows))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    numbered = pieces.select(
-        "*", order.alias("order"), F.pmod("order", F.lit(cells)).alias("cell"), F.lit(1).alias("one")
-    )
-    ranked = running_total(numbered, ["length"], "cell", ["order", "doc_id", "piece"], "one", "rank")
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long,"

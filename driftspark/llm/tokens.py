@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from driftspark.llm.workers import tidy
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_CACHED = 250_000
 SLICE_CHARS = 500_000
+ASCII_SPACE = re.compile(r"[\t-\r ]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,105 +35,93 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# Printable Latin-1 and ASCII white space: what the fast way knows. A soft hyphen, a special
+# token's opening and all other code points are left to the file's own tokenizer.
+PLAIN = re.compile(r"[\t-\r -~\xa1-\xac\xae-\xff]*\Z").match
+PLAIN_PIECE = re.compile(r"[!-~\xa1-\xac\xae-\xff]*\Z").match
+WORD_END = "\x01"
+# The split rule of the vocabulary with word ends and its normalizers. The
+# rule in use says the same of lower-case Latin-1.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+PLAIN_SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\\s{LETTER}{NUMBER}]+"
+
+
+def _word_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Bytes of every token and its id, word ends as a byte of their own, if the file is BPE
+    with word ends, split as above and numbered by bytes, last bytes and merges."""
+    model, normalizer, split = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    suffix = model.get("end_of_word_suffix")
+    rules = [p.get("pattern", {}).get("Regex") for p in split.get("pretokenizers", [])]
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges")
+    if (
+        not suffix
+        or any(model.get(k) for k in odd)
+        or [n["type"] for n in normalizer.get("normalizers", [])] != NORMALIZERS
+        or rules[:1] != [SPLIT]
+    ):
+        return None
+    vocabulary = model["vocab"]
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    if any(vocabulary.get("".join(pair)) != 512 + i for i, pair in enumerate(pairs)):
+        return None
+    byte_of, ranks = {c: b for b, c in _byte_alphabet().items()}, {}
+    end = WORD_END.encode()
+    for token, i in vocabulary.items():
+        last = token.endswith(suffix) and token != suffix
+        chars = token[: -len(suffix)] if last else token
+        ranks[bytes(byte_of[c] for c in chars) + end * last] = i
+    # The last bytes of words are taken together first, as their ids are below all merges.
+    return ranks if len(ranks) == len(vocabulary) else None
+
+
 class TextEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, equal to encoding each whole text.
 
-    In a vocabulary with word ends, no token reaches over white space, so that texts are cut
-    there and every distinct piece is encoded once. Pieces of Latin letters are split into
-    words here by the tokenizer's own rule and only merged by its model; all other pieces go
-    through the tokenizer whole. Tokenizers of other kinds encode text by text.
+    In a vocabulary with word ends, no token reaches over a word. Texts of Latin letters are
+    split into words here by the tokenizer's own rule and merged by tiktoken, whose ranks are
+    the ids. Of other texts, runs of such pieces go the same way and the rest through the
+    tokenizer, piece by piece. Tokenizers of other kinds encode text by text. Nothing is kept
+    from one text to the next.
     """
 
-    # The split rule of the vocabulary with word ends, for lower-case Latin-1 without spaces.
-    LETTER, NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-
     def __init__(self, path: str):
         # Cores are Spark's to give out.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.suffix = getattr(self.full.model, "end_of_word_suffix", None)
-        self.whole: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        # Runs of words by the rule; a space, which ends a piece, is a run of its own.
-        self.split = re.compile(
-            f" |'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTER}]+|[{self.NUMBER}]|[^ {self.LETTER}{self.NUMBER}]+"
-        ).findall
-        if self.suffix:
-            self.merger = Tokenizer(self.full.model)
-            self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            vocabulary = self.full.get_vocab(with_added_tokens=True)
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            for token, i in vocabulary.items():
-                self.ends[i] = token.endswith(self.suffix)
-            self.alphabet = np.array([ord(_byte_alphabet()[b]) for b in range(256)], "<u2")
-            self.alphabet[0x20] = 0x20  # between words
+        with open(path, encoding="utf-8") as file:
+            ranks = _word_ranks(json.load(file))
+        self.merger, self.words = None, re.compile(PLAIN_SPLIT).findall
+        if ranks:
+            import tiktoken
+
+            rule = f"[^{WORD_END}]++{WORD_END}"
+            self.merger = tiktoken.Encoding("words", pat_str=rule, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.suffix:
-            return [self._pack(self.full.encode(t, add_special_tokens=False).ids) for t in texts]
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        self.whole = self._trimmed(self.whole)
-        known = self.whole
-        self._learn(list(set().union(*pieces).difference(known)))
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-
-    @staticmethod
-    def _trimmed(cache: dict) -> dict:
-        """Without the later half once it is full: frequent words are met early."""
-        return dict(islice(cache.items(), MOST_CACHED // 2)) if len(cache) > MOST_CACHED else cache
-
-    @staticmethod
-    def _pack(ids) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
-
-    @staticmethod
-    def _plain(pieces: list[bytes]) -> np.ndarray:
-        """Which pieces are printable Latin-1 without a soft hyphen or a special token."""
-        line = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
-        after = np.append(line[1:], np.uint8(0x20))
-        odd = (line < 0x20) | (line == 0x7F) | (line >= 0xC4)
-        odd |= (line == 0xC2) & ((after <= 0xA0) | (after == 0xAD))
-        odd |= (line == ord("<")) & (after == ord("|"))
-        ends = np.flatnonzero(line == 0x20)
-        return np.bincount(np.searchsorted(ends, np.flatnonzero(odd)), minlength=len(pieces)) == 0
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        if not pieces:
-            return
-        plain = self._plain(pieces).tolist()
-        split = [p for p, ok in zip(pieces, plain) if ok]
-        if split:
-            self._learn_plain(split)
-        for p, ok in zip(pieces, plain):
-            if not ok:
-                text = p.decode("utf-8", "surrogatepass")
-                self.whole[p] = self._pack(self.full.encode(text, add_special_tokens=False).ids)
-
-    def _learn_plain(self, pieces: list[bytes]) -> None:
-        """All pieces as one line: its words' ids, cut where the pieces end."""
-        runs = self.split(b" ".join(pieces).decode().lower() + " ")
-        words = self.words = self._trimmed(self.words)
-        words[" "] = b""
-        new = list(set(runs).difference(words))
-        if new:
-            line = self.alphabet[np.frombuffer(" ".join(new).encode(), np.uint8)]
-            line = line.tobytes().decode("utf-16-le")
-            merged = self.merger.encode_batch_fast([line], add_special_tokens=False)[0]
-            ids = np.asarray(merged.ids, "<u4")
-            to = np.flatnonzero(self.ends[ids]) + 1
-            if len(to) != len(new):
-                raise ValueError("the vocabulary does not end every word with its suffix")
-            packed, at = ids.tobytes(), 0
-            for w, end in zip(new, (to * 4).tolist()):
-                words[w], at = packed[at:end], end
-        coded = list(map(words.__getitem__, runs))
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        # The only runs without ids are the spaces.
-        ends = np.cumsum(sizes)[sizes == 0].tolist()
-        packed = b"".join(coded)
-        self.whole.update(zip(pieces, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+        if self.merger is None:
+            return [self._whole(t) for t in texts]
+        return [self._plain(t) if PLAIN(t) and "<|" not in t else self._mixed(t) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        words = self.words(text.lower())
+        if not words:
+            return b""
+        return self.merger.encode_to_numpy(WORD_END.join(words) + WORD_END).astype("<u4").tobytes()
+
+    def _mixed(self, text: str) -> bytes:
+        """Runs of plain pieces between white space, and odd pieces one by one."""
+        pieces = ASCII_SPACE.split(text)
+        runs = groupby(pieces, lambda p: bool(PLAIN_PIECE(p)) and "<|" not in p)
+        return b"".join(
+            self._plain(" ".join(run)) if plain else b"".join(map(self._whole, run)) for plain, run in runs
+        )
 
 
 def in_slices(texts: Iterable[str | None], most: int = SLICE_CHARS) -> Iterator[list[str]]:

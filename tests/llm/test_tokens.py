@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -43,10 +43,10 @@ def test_other_tokenizers_encode_text_by_text():
 
 
 @pytest.mark.parametrize("source", ["odd_docs", "real_docs", "no_docs"])
-@pytest.mark.parametrize("cell_rows", [pk.CELL_ROWS, 2])
-def test_pack(source, cell_rows, request, plain, tokenizer):
+@pytest.mark.parametrize("broadcast_rows", [pk.BROADCAST_KEYS, 0])
+def test_pack(source, broadcast_rows, request, plain, tokenizer):
     docs = request.getfixturevalue(source)
-    rows = pk.pack(docs, cell_rows=cell_rows).collect()
+    rows = pk.pack(docs.repartition(5), broadcast_rows=broadcast_rows).collect()
     want = []
     for i, t in plain(docs):
         ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
@@ -81,22 +81,68 @@ def best_fit(counts, capacity):
     return len(rooms)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_configurations(seed):
-    """Every piece exactly once, nothing too long, and no worse than best fit by more than one."""
-    rng = np.random.default_rng(seed)
-    capacity = [64, 100, 2048][seed % 3]
-    shape = rng.choice([0.5, 1.0, 3.0])
-    lengths = np.clip((rng.beta(shape, 2, 600) * capacity).astype(int), 1, capacity)
-    counts = np.bincount(lengths, minlength=capacity + 1)
-    packed = pk.pack_lengths(counts, capacity)
+def length_mixes():
+    """Ten kinds of lengths: (name, lengths, capacity)."""
+    rng = np.random.default_rng(4)
+    for shape in (0.5, 1.0, 3.0):
+        for capacity in (64, 2048):
+            lengths = np.clip((rng.beta(shape, 2, 600) * capacity).astype(int), 1, capacity)
+            yield f"beta {shape} {capacity}", lengths, capacity
+    yield "uniform", rng.integers(1, 2049, 900), 2048
+    yield "large", rng.integers(600, 1400, 900), 2048
+    yield "thirds", rng.integers(400, 1000, 900), 2048
+    yield "few", rng.choice([700, 690, 610, 750, 1300], 900), 2048
+
+
+def check_packed(packed, counts, capacity):
+    """Every piece exactly once and nothing too long; the number of sequences."""
     used = np.zeros_like(counts)
     for pattern, n in packed:
-        assert sum(k * a for k, a in pattern) <= capacity
+        assert n > 0 and sum(k * a for k, a in pattern) <= capacity
         for k, a in pattern:
             used[k] += n * a
     assert (used == counts).all()
-    assert sum(n for _, n in packed) <= best_fit(counts, capacity) + 1
+    return sum(n for _, n in packed)
+
+
+@pytest.mark.parametrize("name,lengths,capacity", list(length_mixes()), ids=lambda v: v if isinstance(v, str) else "")
+def test_no_more_sequences_than_best_fit(name, lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    total = check_packed(pk.pack_lengths(counts, capacity), counts, capacity)
+    assert total <= best_fit(counts, capacity)
+
+
+def test_given_documents_reach_the_lower_bound(spark, tokenizer):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sizes = [len(b) // 4 + 1 for b in tk.TextEncoder(tk.tokenizer_path()).encode(texts)]
+    pieces = [p for n in sizes for p in [2048] * (n // 2048) + [n % 2048] if p]
+    counts = np.bincount(pieces, minlength=2049)
+    total = check_packed(pk.pack_lengths(counts, 2048), counts, 2048)
+    assert total == -(-sum(pieces) // 2048)
+
+
+@pytest.mark.parametrize("name,lengths,capacity", list(length_mixes()), ids=lambda v: v if isinstance(v, str) else "")
+def test_fractional_solution(name, lengths, capacity):
+    """It covers every demand, uses configurations that fit, and is kept in part by rounding."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    found = pk.fractional(counts, capacity)
+    cover = np.zeros(capacity + 1)
+    for pattern, n in found.items():
+        assert n > 0 and sum(k * a for k, a in pattern) <= capacity
+        for k, a in pattern:
+            assert a <= counts[k]
+            cover[k] += n * a
+    assert (cover >= counts * (1 - 1e-9)).all()
+    used, left = pk.rounded(found, counts, capacity, 1.0)
+    assert sum(used.values()) and (left >= 0).all()
+
+
+def test_configurations_beat_best_fit_where_lengths_are_few():
+    """Lengths that only pair well in the right proportion."""
+    lengths = np.random.default_rng(0).choice([700, 690, 610, 750, 1300], 20_000)
+    counts = np.bincount(lengths, minlength=2049)
+    total = check_packed(pk.pack_lengths(counts, 2048), counts, 2048)
+    assert total < sum(n for _, n in pk.best_fit(Counter(), counts.copy(), 2048))
 
 
 def test_many_equal_pieces_take_few_steps():
