@@ -88,3 +88,23 @@ def test_mixed_documents(source, request):
     assert all(any(t and t.startswith(r.text) for t in given[r.doc_id]) for r in cut)
     assert len(cut) <= docs.select("source").distinct().count()
     assert all(r.n_chars == len(r.text) for r in cut)
+
+
+def test_many_equal_rows_at_the_end_of_a_budget(spark):
+    """Rows that differ in nothing are told apart where a budget ends among them."""
+    rows = [(1, "a", 7)] * 100 + [(None, "b", 5)] * 40 + [(2, "c", 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    found = mx.mix(df, weights=(1, 1, 2)).collect()
+    taken = defaultdict(int)
+    for r in found:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert len(found) == 141
+    assert all(taken[r.source] == floor(r.target) for r in found)
+
+
+def test_texts_are_not_shuffled(real_docs):
+    """The documents reach the mix by broadcast joins alone."""
+    plan = mx.mixed_documents(real_docs)._jdf.queryExecution().executedPlan().toString()
+    lines = [x for x in plan.splitlines() if "Exchange" in x]
+    assert lines and all("Broadcast" in x for x in lines)
