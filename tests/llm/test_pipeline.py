@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline as cp
 import pytest
 
 from driftspark.llm import exact_dedup, language, mixing, simhash
 from driftspark.llm.common import stored, whole, word_count
+from driftspark.session import shared_dir
 
 
 @pytest.mark.parametrize("source", ["real_docs", "odd_docs", "no_docs"])
@@ -41,3 +44,12 @@ def test_clean_documents_stay(real_docs):
 
 def test_run(spark, docs_dir):
     assert cp.run(spark, docs_dir).count() > 0
+
+
+def test_tables_are_dropped_after_use(spark, docs_dir):
+    """A run leaves the tables of its last stage, which its result is read from, and no others."""
+    folder = Path(shared_dir(spark))
+    before = set(folder.glob("llm-*"))
+    assert cp.run(spark, docs_dir).count() > 0
+    left = {p.name.split("-")[1] for p in set(folder.glob("llm-*")) - before}
+    assert left == {"pieces"}
