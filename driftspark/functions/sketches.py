@@ -11,6 +11,8 @@ PREAMBLE_INTS_SHORT = 2
 PREAMBLE_INTS_FULL = 5
 VERSION_FULL = 1
 VERSION_SINGLE_ITEM = 2
+SMALLEST_LEVEL = 8
+MOST_LEVELS = 60
 
 
 # --- equal-step grid ----------------------------------------------------------------------
@@ -53,45 +55,88 @@ def _byte(buffer: str, at: int) -> str:
     return f"bigint(conv(hex(substring({buffer}, {at + 1}, 1)), 16, 10))"
 
 
-def _uint(buffer: str, at: int, width: int) -> str:
-    """Little-endian unsigned integer of ``width`` bytes."""
-    return "(" + " + ".join(f"{_byte(buffer, at + i)} * {256**i}" for i in range(width)) + ")"
+def _uint(buffer: str, at: int, width: int, beyond: str = "0") -> str:
+    """Little-endian unsigned integer of ``width`` bytes, at ``beyond`` bytes after ``at``."""
+    byte = lambda i: f"bigint(conv(hex(substring({buffer}, int({at + i + 1} + {beyond}), 1)), 16, 10))"
+    return "(" + " + ".join(f"{byte(i)} * {256**i}" for i in range(width)) + ")"
 
 
-def _full_length(buffer: str) -> str:
-    """Length a multi-item sketch must have, from its header.
+def _is_full(buffer: str) -> str:
+    """Whether a multi-item sketch's header agrees with itself and with the length.
 
-    Levels shrink by 2/3 from k, but never below m; the first level offset says how
-    many of the slots are unused.
+    Levels shrink by 2/3 from k, but never below m; level offsets rise up to the number of
+    slots, the first one says how many of them are unused; an item of level i stands for 2^i
+    values, which add up to the count.
     """
     k, m, levels = _uint(buffer, 4, 2), _byte(buffer, 6), _byte(buffer, 18)
+    offset = f"(CASE WHEN i = h.levels THEN h.slots ELSE {_uint(buffer, 20, 4, '4 * i')} END)"
     twice = "floor(2 * h.k * power(2D, depth) / power(3D, depth))"
     slots = (
         "aggregate(sequence(0, int(greatest(h.levels, 1)) - 1), 0L, "
         f"(acc, depth) -> acc + greatest(h.m, floor(({twice} + 1) / 2)))"
     )
-    return let(
-        f"named_struct('k', {k}, 'm', {m}, 'levels', {levels}, 'unused', {_uint(buffer, 20, 4)})",
+    offsets = f"transform(sequence(0, int(h.levels)), i -> bigint({offset}))"
+    rising = "o = array_sort(o)"
+    # In floating point: damaged counts may be anything, and whole ones below 2^53 are exact.
+    weight = (
+        "aggregate(sequence(0, size(o) - 2), 0D, "
+        "(acc, i) -> acc + power(2D, i) * (o[i + 1] - o[i]))"
+    )
+    whole = let(
+        offsets,
+        "o",
+        f"length({buffer}) = 20 + 4 * h.levels + 8 + 4 * (h.slots - o[0]) AND {rising} AND {weight} = h.n",
+    )
+    head = let(
+        f"named_struct('k', {k}, 'm', {m}, 'levels', {levels}, 'n', double({_uint(buffer, 8, 7)}))",
         "h",
-        f"20 + 4 * h.levels + 8 + 4 * ({slots} - h.unused)",
+        f"named_struct('k', h.k, 'm', h.m, 'levels', h.levels, 'n', h.n, 'slots', {slots})",
     )
+    usual = f"{m} = {SMALLEST_LEVEL} AND {levels} BETWEEN 1 AND {MOST_LEVELS} AND {_byte(buffer, 15)} = 0"
+    long_enough = f"length({buffer}) >= 28 + 4 * {levels}"
+    return f"CASE WHEN {usual} AND {long_enough} THEN {let(head, 'h', whole)} ELSE false END"
 
 
 def is_sketch(buffer: str) -> str:
-    """True when the bytes are a complete compact KLL float sketch.
+    """True when the bytes are a complete compact KLL float sketch that merges.
 
-    Merging a broken buffer fails the whole query, so buffers are checked first: family
-    and version by header, truncation by comparing the length with what it implies.
+    Merging a broken buffer fails the whole query, so buffers are checked first: family and
+    version by header, the counts in it against each other and the length. What passes is
+    merged with itself and asked for a quantile on trial, within the row.
     """
     length, preamble, version = f"length({buffer})", _byte(buffer, 0), _byte(buffer, 1)
     short = f"{preamble} = {PREAMBLE_INTS_SHORT}"
-    return f"""coalesce(CASE
+    header = f"""coalesce(CASE
       WHEN {length} < 8 OR {_byte(buffer, 2)} <> {KLL_FAMILY} THEN false
       WHEN {_byte(buffer, 3)} & {FLAG_EMPTY} = 1 THEN {short} AND {length} = 8
       WHEN {version} = {VERSION_SINGLE_ITEM} THEN {short} AND {length} = 12
       WHEN {version} <> {VERSION_FULL} OR {preamble} <> {PREAMBLE_INTS_FULL} OR {length} < 32
         THEN false
-      ELSE {length} = {_full_length(buffer)} END, false)"""
+      ELSE {_is_full(buffer)} END, false)"""
+    return f"CASE WHEN {header} THEN {_all_numbers(buffer)} AND {merges(buffer)} ELSE false END"
+
+
+def _all_numbers(buffer: str) -> str:
+    """Whether no retained value is NaN: a sketch leaves such values out.
+
+    Everything after the header comes in four bytes, little-endian: a NaN has all bits of the
+    exponent and some of the mantissa.
+    """
+    start = f"CASE WHEN {_byte(buffer, 1)} = {VERSION_SINGLE_ITEM} THEN 9 ELSE 21 + 4 * int({_byte(buffer, 18)}) END"
+    values = f"hex(substring({buffer}, {start}))"
+    return f"(length({buffer}) = 8 OR NOT {values} RLIKE '^(?:.{{8}})*(?!000080).{{4}}[89A-F].[7F]F')"
+
+
+def merges(buffer: str) -> str:
+    """Whether merging the buffer and reading the result succeed, tried within the row.
+
+    ``try_to_binary`` gives NULL for whatever goes wrong while its argument is computed.
+    """
+    merged = f"kll_sketch_merge_float({buffer}, {buffer})"
+    median = "kll_sketch_get_quantile_float(z, 0.5D)"
+    some = "kll_sketch_get_n_float(z) > 0"
+    tried = let(merged, "z", f"CASE WHEN {some} THEN hex(string({median})) ELSE '' END")
+    return f"(try_to_binary({tried}, 'hex') IS NOT NULL)"
 
 
 def sketch_count(sketch: str) -> str:

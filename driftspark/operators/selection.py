@@ -12,7 +12,7 @@ BUNDLE_KEYS = ["sensor_id", "timestamp", "file_type"]
 SNAPSHOT_KEYS = ["sensor_id", "timestamp"]
 
 
-def _accepted(uploads: DataFrame) -> Column:
+def is_accepted(uploads: DataFrame) -> Column:
     """A known kind, in an archive that is named after it."""
     known = F.col("file_type").isin(*FILE_TYPES)
     if "path" in uploads.columns:
@@ -21,11 +21,11 @@ def _accepted(uploads: DataFrame) -> Column:
 
 
 def valid_uploads(uploads: DataFrame) -> DataFrame:
-    return uploads.filter(_accepted(uploads))
+    return uploads.filter(is_accepted(uploads))
 
 
 def rejected_uploads(uploads: DataFrame) -> DataFrame:
-    return uploads.filter(~_accepted(uploads))
+    return uploads.filter(~is_accepted(uploads))
 
 
 def _top_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -34,15 +34,21 @@ def _top_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def first_of_batch(uploads: DataFrame) -> DataFrame:
+    """One upload per key, the earliest."""
+    return _top_row(uploads, BUNDLE_KEYS, [F.col("modificationTime"), F.col("path")])
+
+
 def register_bundles(new: DataFrame, catalog: DataFrame) -> DataFrame:
     """Bundles to append to the catalog: one per key, the earliest, if not yet listed."""
-    first = _top_row(new, BUNDLE_KEYS, [F.col("modificationTime"), F.col("path")])
-    return missing_from(cut(first), catalog, BUNDLE_KEYS)
+    return missing_from(cut(first_of_batch(new)), catalog, BUNDLE_KEYS)
 
 
 def pending_bundles(catalog: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Listed stats bundles that were not unpacked yet."""
-    return missing_from(catalog.filter(F.col("file_type") == "stats"), extracted, SNAPSHOT_KEYS)
+    """Listed stats bundles that were not unpacked yet, each once. The catalog may list them
+    several times."""
+    stats = catalog.filter(F.col("file_type") == "stats")
+    return missing_from(cut(stats.dropDuplicates(SNAPSHOT_KEYS)), extracted, SNAPSHOT_KEYS)
 
 
 def current_status(log: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # The keys that the ingest stream has seen outgrow the heap in time.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

@@ -7,6 +7,7 @@ import re
 import sys
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -25,6 +26,8 @@ FILES_PER_TRIGGER = 10_000
 CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 5_000
 MEMBER_BYTES = 1 << 30
+# What Spark's file source reads as one value.
+BUNDLE_BYTES = 2**31 - 16
 # Spark would skip files a week older than the newest one; an upload of any age counts.
 ANY_AGE = "36500d"
 
@@ -82,6 +85,25 @@ def stream_landing(
     return with_bundle_keys(reader.load(base).drop("content"))
 
 
+def expand_landed(spark: SparkSession, listed: DataFrame, most_bytes: int = BUNDLE_BYTES) -> DataFrame | None:
+    """Members of the listed bundles; None if there are none.
+
+    ``listed`` is a micro-batch with names and lengths. What is longer than the file source
+    reads is not opened: it comes back as a bad bundle with the reason, and the rest is read.
+    """
+    rows = listed.select(*BUNDLE, "path", "length").collect()
+    small = [r["path"] for r in rows if (r["length"] or 0) <= most_bytes]
+    parts = [expand_bundles(read_bundles(spark, small))] if small else []
+    large = [
+        (*r[:4], None, None, f"the bundle has {r['length']} bytes, more than {most_bytes}")
+        for r in rows
+        if (r["length"] or 0) > most_bytes
+    ]
+    if large:
+        parts.append(spark.createDataFrame(large, MEMBERS))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Contents of the named bundles; the list is that of one micro-batch at most."""
     plain = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]

@@ -2,8 +2,9 @@
 
 Flags such as "unpacked" or "used" are rows of a log, looked up by anti-join. Every
 writer owns one partition per batch and overwrites it, so a replayed batch adds nothing.
-The streams' own checkpoints live below the same root: batch numbers and tables share
-their fate.
+Batches lie in folders of SPAN batches each, so that a reader who needs the newest ones lists
+only their spans, however long the history is. The streams' own checkpoints live below the
+same root: batch numbers and tables share their fate.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ DISTANCES = "distances struct<PSI: double, Pearson: double, Euclidean: double>"
 TABLES = {
     "bundles": (
         "sensor_id string, timestamp string, file_type string, path string, "
-        "modificationTime timestamp",
+        "modificationTime timestamp, length bigint",
         ["batch_id"],
     ),
     "rejected": ("sensor_id string, timestamp string, file_type string, path string", ["batch_id"]),
@@ -45,18 +46,21 @@ TABLES = {
     "cycles": ("project_id string, last_updated bigint, seen_batch bigint", ["cycle"]),
 }
 TEXT_PARTITIONS = {"kind", "status"}
+SPAN = 1000
+NEWS = "batch_id bigint"
 
 
 class DriftStore:
     """The tables below one root folder, with the read queries over them."""
 
-    def __init__(self, spark: SparkSession, root: str, project: str) -> None:
-        self.spark, self.root, self.project = spark, root.rstrip("/"), project
+    def __init__(self, spark: SparkSession, root: str, project: str, span: int = SPAN) -> None:
+        self.spark, self.root, self.project, self.span = spark, root.rstrip("/"), project, span
         for name in TABLES:
             try:
                 spark.read.parquet(self.path(name))
             except AnalysisException:
                 self._create(name)
+        self.spark.createDataFrame([], NEWS).coalesce(1).write.mode("append").parquet(self.path("news"))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,33 +71,62 @@ class DriftStore:
     def schema(self, name: str) -> str:
         columns, partitions = TABLES[name]
         typed = [f"{p} {'string' if p in TEXT_PARTITIONS else 'bigint'}" for p in partitions]
-        return ", ".join([columns, *typed])
+        return ", ".join([columns, "span bigint", *typed])
+
+    def _folder(self, name: str, number: int) -> str:
+        return f"{self.path(name)}/span={number // self.span}/{TABLES[name][1][0]}={number}"
 
     def _create(self, name: str) -> None:
         columns, partitions = TABLES[name]
-        folder = "/".join(f"{p}={'none' if p in TEXT_PARTITIONS else -1}" for p in partitions)
+        folder = "/".join([self._folder(name, -1), *[f"{p}=none" for p in partitions[1:]]])
         empty = self.spark.createDataFrame([], columns).coalesce(1)
-        empty.write.mode("overwrite").parquet(f"{self.path(name)}/{folder}")
+        empty.write.mode("overwrite").parquet(folder)
+
+    def _read(self, name: str, *paths: str) -> DataFrame:
+        reader = self.spark.read.schema(self.schema(name)).option("basePath", self.path(name))
+        return reader.parquet(*paths).drop("span")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self.schema(name)).parquet(self.path(name))
+        return self._read(name, self.path(name))
 
     def read_part(self, name: str, number: int) -> DataFrame:
         """One batch's rows, without listing the rest of the table."""
-        first = TABLES[name][1][0]
-        reader = self.spark.read.schema(self.schema(name)).option("basePath", self.path(name))
-        return reader.parquet(f"{self.path(name)}/{first}={number}")
+        return self._read(name, self._folder(name, number))
+
+    def spans(self, name: str) -> list[int]:
+        """The spans that a table has, oldest first; one entry each is listed, not their files."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        names = [f.getPath().getName() for f in found]
+        return sorted(int(n.removeprefix("span=")) for n in names if n.startswith("span="))
+
+    def read_between(self, name: str, first: int, last: int | None = None) -> DataFrame:
+        """The rows of batches ``first`` to ``last``; only the spans they lie in are listed."""
+        wanted = [
+            k
+            for k in self.spans(name)
+            if k >= first // self.span and (last is None or k <= last // self.span)
+        ]
+        number = F.col(TABLES[name][1][0])
+        # Span -1 is the empty one that every table begins with.
+        rows = self._read(name, *[f"{self.path(name)}/span={k}" for k in wanted or [-1]])
+        return rows.filter(number >= first) if last is None else rows.filter(number.between(first, last))
 
     def write(self, df: DataFrame, name: str, number: int, **fixed: str) -> None:
         """Replace one batch's partition; a column left to partition by stays in ``df``."""
         columns, partitions = TABLES[name]
-        folders = [f"{partitions[0]}={number}", *[f"{k}={v}" for k, v in fixed.items()]]
+        folders = [self._folder(name, number), *[f"{k}={v}" for k, v in fixed.items()]]
         free = [p for p in partitions[1:] if p not in fixed]
         wanted = StructType.fromDDL(columns).names
         writer = df.select(*wanted, *free).write.mode("overwrite")
         if free:
             writer = writer.partitionBy(*free)
-        writer.parquet("/".join([self.path(name), *folders]))
+        writer.parquet("/".join(folders))
+
+    def announce(self, batch_id: int) -> None:
+        """Tell the aggregation stream of a published batch, which takes the note away."""
+        note = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"))
+        note.write.mode("append").parquet(self.path("news"))
 
     # --- read queries -----------------------------------------------------------------
 

@@ -13,7 +13,7 @@ from driftspark.operators import selection
 from driftspark.operators.joins import sized_join
 from driftspark.plans import cycle as cy
 from driftspark.session import cut
-from driftspark.sources.store import DriftStore
+from driftspark.sources.store import NEWS, DriftStore
 
 POLL = "10 seconds"
 PAYLOAD_KEYS = ["batch_id", "sensor_id", "timestamp"]
@@ -29,13 +29,22 @@ class Progress(NamedTuple):
 
 
 def progress(store: DriftStore, cycle: int) -> Progress:
-    by_batch = store.read("cycles").filter(F.col("cycle") < cycle).groupBy("seen_batch")
-    last = (
-        by_batch.agg(F.max("cycle").alias("cycle"), F.min("cycle").alias("since"))
-        .orderBy(F.desc("seen_batch"))
-        .first()
-    )
-    return Progress(last["cycle"], last["seen_batch"], last["since"]) if last else Progress()
+    """Reads the newest span of headers, and further ones only while they had seen no less."""
+    found = None
+    for span in reversed([k for k in store.spans("cycles") if 0 <= k <= cycle // store.span]):
+        first = span * store.span
+        headers = store.read_between("cycles", first, min(cycle, first + store.span) - 1)
+        if found is not None:
+            headers = headers.filter(F.col("seen_batch") == found.batch)
+        by_batch = headers.groupBy("seen_batch").agg(F.max("cycle").alias("cycle"), F.min("cycle").alias("since"))
+        last = by_batch.orderBy(F.desc("seen_batch")).first()
+        if last and found is None:
+            found = Progress(last["cycle"], last["seen_batch"], last["since"])
+        elif last:
+            found = found._replace(since=last["since"])
+        elif found is not None:
+            break
+    return found or Progress()
 
 
 def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
@@ -46,13 +55,11 @@ def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
     before the last one seen are finished: only newer partitions are looked at, however
     long the history is.
     """
-    done = store.read("snapshots").filter(
-        (F.col("batch_id") >= before.batch) & (F.col("status") == "completed")
-    )
+    done = store.read_between("snapshots", before.batch).filter(F.col("status") == "completed")
     # What a cycle consumed counts once it has its header; a failed one gives it back.
-    past = (F.col("cycle") < cycle) & (F.col("cycle") >= before.since)
-    finished = store.read("cycles").filter(past).select("cycle").distinct()
-    used = store.read("consumed").filter(past).join(finished, "cycle", "left_semi")
+    past = before.since, cycle - 1
+    finished = store.read_between("cycles", *past).select("cycle").distinct()
+    used = store.read_between("consumed", *past).join(finished, "cycle", "left_semi")
     store.write(selection.unconsumed(done, used), "consumed", cycle)
     waiting = store.read_part("consumed", cycle)
     reached = waiting.agg(F.max("batch_id").alias("b")).first()["b"]
@@ -61,7 +68,7 @@ def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
 
     newest = selection.latest_per_sensor(waiting).withColumn("is_reference", F.lit(False))
     arrived = done.filter(F.col("sensor_id") == REFERENCE).withColumn("is_reference", F.lit(True))
-    kept = store.read("selected").filter((F.col("cycle") == before.cycle) & F.col("is_reference"))
+    kept = store.read_part("selected", before.cycle).filter("is_reference")
     baseline = selection.latest_reference(
         arrived.select(*CHOSEN, "status").unionByName(
             kept.select(*CHOSEN, F.lit("completed").alias("status"))
@@ -85,13 +92,11 @@ def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
 
     chosen = store.read_part("selected", cycle).select(*PAYLOAD_KEYS, "is_reference")
     baseline_batch = chosen.filter("is_reference").agg(F.max("batch_id").alias("b")).first()["b"]
-    fresh = F.col("batch_id") >= before.batch
-    if baseline_batch is not None:
-        fresh = fresh | (F.col("batch_id") == baseline_batch)
-    sketches = (
-        store.read("members")
-        .filter(fresh & (F.col("kind") == "sketch"))
-        .select(*PAYLOAD_KEYS, "metric", "submetric", F.col("payload").alias("sketch"))
+    members = store.read_between("members", before.batch)
+    if baseline_batch is not None and baseline_batch < before.batch:
+        members = members.unionByName(store.read_part("members", baseline_batch))
+    sketches = members.filter(F.col("kind") == "sketch").select(
+        *PAYLOAD_KEYS, "metric", "submetric", F.col("payload").alias("sketch")
     )
     both = cut(cy.from_sketches(sized_join(sketches, chosen, PAYLOAD_KEYS)))
     store.write(cy.reference_results(both, store.project, now, cycle), "reference_overall", cycle)
@@ -107,14 +112,16 @@ def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
 
 
 def start_aggregate(store: DriftStore, available_now: bool = False) -> StreamingQuery:
-    """A cycle whenever snapshots were published, or once for all there is."""
-    published = store.spark.readStream.schema(store.schema("snapshots")).parquet(
-        store.path("snapshots")
+    """A cycle whenever snapshots were published, or once for all there is. The stream watches
+    the folder of notes, which it empties, and not the tables."""
+    notes = (
+        store.spark.readStream.schema(NEWS)
+        .option("cleanSource", "delete")
+        .parquet(store.path("news"))
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": POLL}
     return (
-        published.filter("status = 'completed'")
-        .writeStream.queryName("aggregate")
+        notes.writeStream.queryName("aggregate")
         .option("checkpointLocation", store.checkpoint("aggregate"))
         .trigger(**trigger)
         .foreachBatch(lambda _, cycle: run_cycle(store, cycle))

@@ -2,46 +2,82 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftspark.operators import selection
 from driftspark.sources import landing
 from driftspark.sources.store import DriftStore
 
 POLL = "10 seconds"
-NAMES = ["sensor_id", "timestamp", "file_type", "path", "modificationTime"]
+UPLOAD = "sensor_id string, timestamp string, file_type string, path string, modificationTime timestamp, length bigint"
+NAMES = [f.split()[0] for f in UPLOAD.split(", ")]
+
+# Worker functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _first_of_key(
+    key: tuple, uploads: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """The earliest of a key's accepted uploads, unless one came in an earlier batch, and all
+    others that are not accepted."""
+    best = None
+    for rows in uploads:
+        refused = rows[~rows["accepted"]]
+        if len(refused):
+            yield refused[NAMES]
+        taken = rows[rows["accepted"]]
+        if len(taken) and not state.exists:
+            both = taken if best is None else pd.concat([best, taken])
+            best = both.sort_values(["modificationTime", "path"]).head(1)
+    if best is not None:
+        state.update((True,))
+        yield best[NAMES]
+
+
+def first_uploads(files: DataFrame) -> DataFrame:
+    """A stream of names, each (sensor, timestamp, file type) once: the first upload wins.
+
+    What was seen is kept in the stream's state store, a key a row, so that a batch looks up
+    its own keys only and no catalog is read again. The state belongs to the checkpoint: a
+    replayed batch finds it as it was before.
+    """
+    marked = files.select(*NAMES, selection.is_accepted(files).alias("accepted"))
+    return marked.groupBy(*selection.BUNDLE_KEYS).applyInPandasWithState(
+        _first_of_key, UPLOAD, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def ingest_batch(store: DriftStore, listed: DataFrame, batch_id: int) -> None:
-    """Catalog a micro-batch of bundle names, unpack the new ones, and publish snapshots.
+    """Catalog a micro-batch of first uploads, unpack them, and publish snapshots.
 
-    ``listed`` holds one micro-batch, so its accepted paths fit the driver. Contents are
-    read once, by the write of ``members``. Snapshots turn 'completed' last, when their
-    sketches are in place.
+    Contents are read once, by the write of ``members``; for that the batch's paths, at most
+    as many as the stream takes in one trigger, are named by the driver. Snapshots turn
+    'completed' last, when their sketches are in place. Nothing earlier is read.
     """
     listed = listed.select(*NAMES)
-    earlier = lambda name: store.read(name).filter(F.col("batch_id") != batch_id)
     store.write(selection.rejected_uploads(listed), "rejected", batch_id)
-    fresh = selection.register_bundles(selection.valid_uploads(listed), earlier("bundles"))
+    fresh = selection.first_of_batch(selection.valid_uploads(listed))
     store.write(fresh, "bundles", batch_id)
 
     added = store.read_part("bundles", batch_id).drop("batch_id")
-    stats = selection.pending_bundles(added, earlier("extracted"))
+    stats = added.filter("file_type = 'stats'")
     store.write(stats, "snapshots", batch_id, status="processing")
-
-    accepted = stats.select("path").unionByName(added.filter("file_type = 'data'").select("path"))
-    paths = [r["path"] for r in accepted.collect()]
-    if paths:
-        members = landing.expand_bundles(landing.read_bundles(store.spark, paths))
+    members = landing.expand_landed(store.spark, added)
+    if members is not None:
         store.write(landing.classify_members(members), "members", batch_id)
-
-    store.write(stats, "extracted", batch_id)
-    broken = store.read("members").filter(
-        (F.col("batch_id") == batch_id) & (F.col("kind") == "bad_bundle")
-    )
-    whole = stats.join(broken.select("path"), "path", "left_anti")
-    store.write(whole, "snapshots", batch_id, status="completed")
+        broken = store.read_part("members", batch_id).filter("kind = 'bad_bundle'")
+        stats = stats.join(broken.select("path"), "path", "left_anti")
+    store.write(added.filter("file_type = 'stats'"), "extracted", batch_id)
+    store.write(stats, "snapshots", batch_id, status="completed")
+    store.announce(batch_id)
 
 
 def start_ingest(
@@ -55,7 +91,8 @@ def start_ingest(
     files = landing.stream_landing(store.spark, landing_dir, max_files, archive_dir)
     trigger = {"availableNow": True} if available_now else {"processingTime": POLL}
     return (
-        files.writeStream.queryName("ingest")
+        first_uploads(files)
+        .writeStream.queryName("ingest")
         .option("checkpointLocation", store.checkpoint("ingest"))
         .trigger(**trigger)
         .foreachBatch(lambda df, batch_id: ingest_batch(store, df, batch_id))
