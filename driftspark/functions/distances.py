@@ -51,14 +51,44 @@ def common_bins(edges_p: str, edges_q: str) -> str:
     return f"array_sort(array_union({edges_p}, {edges_q}))"
 
 
+def _interval_of(start: str) -> str:
+    """The last of the rising edges ``s.e`` that is not above ``start``, by halving; -1 if none.
+
+    The final edge opens no interval.
+    """
+    middle = "(a.lo + a.hi) div 2"
+    halve = let(
+        f"int({middle})",
+        "m",
+        f"CASE WHEN a.hi - a.lo <= 1 THEN a WHEN s.e[m] <= {start} "
+        "THEN named_struct('lo', m, 'hi', a.hi) ELSE named_struct('lo', a.lo, 'hi', m) END",
+    )
+    rounds = "sequence(1, int(ceil(log2(size(s.e)))) + 1)"
+    limits = "named_struct('lo', -1, 'hi', size(s.e) - 1)"
+    return f"aggregate({rounds}, {limits}, (a, round) -> {halve}, a -> a.lo)"
+
+
 def rebin(hist: str, edges: str, common: str) -> str:
-    """Copy each source bin's mass, undivided, to every common bin inside it."""
+    """Copy each source bin's mass, undivided, to every common bin inside it.
+
+    Rising edges are searched by halving; edges that do not rise are looked through, as a
+    common bin may then lie in several of their intervals.
+    """
+    found = let(
+        _interval_of("start"),
+        "i",
+        "CASE WHEN i >= 0 AND start < s.e[i + 1] THEN s.h[i] ELSE 0D END",
+    )
     mass = "CASE WHEN s.e[i] <= start AND start < s.e[i + 1] THEN s.h[i] ELSE 0D END"
+    every = f"aggregate(sequence(0, size(s.e) - 2), 0D, (acc, i) -> acc + {mass})"
+    starts = f"slice({common}, 1, size({common}) - 1)"
+    # The last edge of a constant feature falls back to 0, which closes its interval.
+    inner = f"slice({edges}, 1, size({edges}) - 1)"
     return let(
-        f"named_struct('e', {edges}, 'h', {hist})",
+        f"named_struct('e', {edges}, 'h', {hist}, 'rising', {inner} = array_sort({inner}))",
         "s",
-        f"transform(slice({common}, 1, size({common}) - 1), start -> "
-        f"aggregate(sequence(0, size(s.e) - 2), 0D, (acc, i) -> acc + {mass}))",
+        f"CASE WHEN s.rising THEN transform({starts}, start -> {found}) "
+        f"ELSE transform({starts}, start -> {every}) END",
     )
 
 

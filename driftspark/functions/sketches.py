@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from driftspark.functions.arrays import let
 
 # Fixed values of the public KLL float sketch layout.
@@ -143,35 +145,63 @@ def sketch_count(sketch: str) -> str:
     return f"kll_sketch_get_n_float({sketch})"
 
 
-def sketch_quantiles(sketch: str, ranks: list[float]) -> str:
-    """Quantiles at fixed ranks, NULL for an empty sketch."""
-    literal = ", ".join(f"{r!r}D" for r in ranks)
-    return (
-        f"CASE WHEN {sketch_count(sketch)} > 0 "
-        f"THEN kll_sketch_get_quantile_float({sketch}, array({literal})) END"
+def mid_ranks(probes: int) -> str:
+    """The ranks (i + 1/2) / probes as a constant array; ``probes`` divides a power of ten.
+
+    Rank queries take constants only. Composed from a sequence of digits, a long list stays a
+    short text that the optimizer folds.
+    """
+    digits = 1
+    while 10**digits % (2 * probes):
+        digits += 1
+    step = 10**digits // probes
+    first, last = 10**digits + step // 2, 2 * 10**digits - step // 2
+    numbers = f"concat(',', array_join(sequence({first}, {last}, {step}), ','))"
+    return f"cast(split(substring(replace({numbers}, ',1', ',0.'), 2), ',') as array<double>)"
+
+
+def probes_for(count: str, classes: list[tuple[int | None, int]], body: Callable[[int], str]) -> str:
+    """``body`` for the number of probes that ``classes`` give for a count of values."""
+    *some, (_, last) = classes
+    whens = " ".join(f"WHEN {count} < {below} THEN {body(probes)}" for below, probes in some)
+    return f"CASE {whens} ELSE {body(last)} END" if some else body(last)
+
+
+def sketch_quantiles(sketch: str, classes: list[tuple[int | None, int]]) -> str:
+    """Minimum, maximum and evenly spaced quantiles, more of them for larger sketches; NULL for
+    an empty one."""
+    n = sketch_count(sketch)
+    read = lambda probes: (
+        f"kll_sketch_get_quantile_float({sketch}, concat(array(0D, 1D), {mid_ranks(probes)}))"
     )
+    return f"CASE WHEN {n} > 0 THEN {probes_for(n, classes, read)} END"
+
 
+def sketch_pmf(quantiles: str, n: str, low: str, high: str, num_splits: int) -> str:
+    """Share of evenly spaced quantiles in each bin; slot 0 (below the minimum) is 0.
 
-def sketch_pmf(quantiles: str, low: str, high: str, num_splits: int, probes: int) -> str:
-    """Share of evenly spaced quantiles in each bin; slot 0 (below the minimum) is 0."""
+    Where there are more than two probes for each of the ``n`` values, every value has its own
+    share of the probes up to less than half a value: the share is settled to whole values.
+    """
     place = grid_bin("double(v)", low, high, num_splits)
     settled = let(place, "i", settle_single("i", "double(v)", low, high, num_splits))
     bins = f"transform({quantiles}, v -> {settled})"
-    share = f"({probes} - size(array_remove(bins, slot))) / {probes}D"
+    part = "(size(bins) - size(array_remove(bins, slot))) / size(bins)"
+    share = f"CASE WHEN size(bins) > 2 * {n} THEN round({part} * {n}) / {n} ELSE {part} END"
     return let(bins, "bins", f"transform(sequence(0, {num_splits}), slot -> {share})")
 
 
-def sketch_shape(quantiles: str, num_splits: int, probes: int) -> str:
+def sketch_shape(quantiles: str, n: str, num_splits: int) -> str:
     """Struct ``(x, pmf)`` from the minimum, the maximum and evenly spaced quantiles.
     NULL for an infinite range."""
     edges = grid_edges("s.low", "s.high", num_splits)
-    pmf = sketch_pmf("s.probes", "s.low", "s.high", num_splits, probes)
+    pmf = sketch_pmf("s.probes", "s.n", "s.low", "s.high", num_splits)
     return let(
         let(
             quantiles,
             "z",
-            "named_struct('low', double(z[0]), 'high', double(z[1]), "
-            f"'probes', slice(z, 3, {probes}))",
+            f"named_struct('n', {n}, 'low', double(z[0]), 'high', double(z[1]), "
+            "'probes', slice(z, 3, size(z) - 2))",
         ),
         "s",
         f"CASE WHEN s.high - s.low < double('Infinity') "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftspark.functions import distances as d
@@ -124,11 +126,57 @@ def rebin_rows(aligned: DataFrame, keys: list[str] = KEYS, grid: bool = True) ->
     )
 
 
+def _is_histogram(node: Column) -> Column:
+    """An object with both arrays of a histogram is a leaf of a tree."""
+    arrays = [F.try_variant_get(node, f"$.{c}", "array<double>") for c in ("x", "pmf")]
+    return arrays[0].isNotNull() & arrays[1].isNotNull()
+
+
+def flatten_tree(trees: DataFrame, keys: list[str], tree: str = "tree") -> DataFrame:
+    """(keys, path, x, pmf): the histograms in a VARIANT column of nested objects, any depth.
+
+    ``path`` lists the names on the way down. Each round opens one level of all trees at once
+    and goes on with the objects that are no histogram; what is neither is left out. There are
+    as many rounds as the deepest tree has levels.
+    """
+    spark, found = trees.sparkSession, []
+    level = trees.select(*keys, F.array().cast("array<string>").alias("path"), F.col(tree).alias("node"))
+    while True:
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
+        # Entries of arrays have no name.
+        children = cut(
+            opened.filter("key is not null").select(
+                *keys, F.concat("path", F.array("key")).alias("path"), F.col("value").alias("node")
+            )
+        )
+        leaf = _is_histogram(F.col("node"))
+        found.append(
+            children.filter(leaf).select(
+                *keys,
+                "path",
+                F.variant_get("node", "$.x", "array<double>").alias("x"),
+                F.variant_get("node", "$.pmf", "array<double>").alias("pmf"),
+            )
+        )
+        level = children.filter(~leaf & F.schema_of_variant("node").startswith("OBJECT<"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def distance_by_path(
-    current: DataFrame, reference: DataFrame, name: str, grid: bool = True
+    current: DataFrame,
+    reference: DataFrame,
+    name: str,
+    keys: list[str] | None = None,
+    tree: str = "tree",
+    grid: bool = True,
 ) -> DataFrame:
-    """A chosen distance wherever both trees hold a histogram at the same ``path``."""
-    return distance(align(current, reference, ["path"]), name, ["path"], grid)
+    """(keys, path, value): a chosen distance wherever both trees of a key hold a histogram at
+    the same path. A leaf against a branch, or against nothing, is skipped.
+    """
+    full = [*(keys or []), "path"]
+    flat = [flatten_tree(t, keys or [], tree) for t in (current, reference)]
+    return distance(align(*flat, full), name, full, grid)
 
 
 def psi_of_values(
@@ -140,27 +188,40 @@ def psi_of_values(
     """PSI of two value sets: density histograms on each side's own range, compared by
     bin position. Bins empty on both sides contribute nothing, so only the filled ones
     are ever materialized.
+
+    A value is placed by division and then moved to the bin whose edges enclose it, the top
+    bin being closed: division alone is off by one where values lie on edges.
     """
     sides = [*keys, is_reference]
     flat = F.col("low") == F.col("high")
     low = F.when(flat, F.col("low") - 0.5).otherwise(F.col("low"))
     high = F.when(flat, F.col("high") + 0.5).otherwise(F.col("high"))
     ranges = cut(
-        value_ranges(observations, sides).select(
-            *sides, "n_obs", low.alias("low"), ((high - low) / num_bins).alias("width")
-        )
+        value_ranges(observations, sides).select(*sides, "n_obs", low.alias("low"), high.alias("high"))
     )
     rows = ranges.count()
-    place = F.least(
-        F.lit(num_bins - 1).cast("long"), F.floor((F.col("value") - F.col("low")) / F.col("width"))
+    step = (F.col("high") - F.col("low")) / num_bins
+
+    def edge(i: Column) -> Column:
+        return F.when(i == num_bins, F.col("high")).otherwise(F.col("low") + i * step)
+
+    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
+    near = F.least(F.lit(num_bins - 1).cast("long"), F.floor(share * num_bins))
+    b = F.col("near")
+    bin_ = (
+        F.when(F.col("value") < edge(b), b - 1)
+        .when((b < num_bins - 1) & (F.col("value") >= edge(b + 1)), b + 1)
+        .otherwise(b)
     )
     counts = (
         sized_join(usable(observations), ranges.drop("n_obs"), sides, rows=rows)
-        .withColumn("bin", place)
+        .withColumn("near", near)
+        .withColumn("bin", bin_)
         .groupBy(*sides, "bin")
         .agg(F.count("value").alias("hits"))
     )
-    density = F.col("hits") / (F.col("n_obs") * F.col("width"))
+    width = edge(F.col("bin") + 1) - edge(F.col("bin"))
+    density = F.col("hits") / (F.col("n_obs") * width)
     filled = sized_join(counts, ranges, sides, rows=rows).withColumn("density", density)
     clip = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(DENSITY_FLOOR))
     paired = filled.groupBy(*keys, "bin").agg(

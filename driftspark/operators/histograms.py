@@ -15,7 +15,9 @@ from driftspark.session import cut
 
 KEYS = ["metric", "submetric"]
 NUM_SPLITS = 30
-PROBES = 1000
+# Probes by the number of values: more than two for each of them up to 100,000 values, so that
+# every value a sketch holds is met; beyond, what weighs less than a probe may be missed.
+PROBES = [(500, 1_000), (10_000, 20_000), (None, 200_000)]
 SPREAD = 32
 
 
@@ -145,21 +147,21 @@ def sketch_histograms(
     merged: DataFrame,
     keys: list[str] = KEYS,
     num_splits: int = NUM_SPLITS,
-    probes: int = PROBES,
+    probes: list[tuple[int | None, int]] = PROBES,
 ) -> DataFrame:
     """Histogram of each merged sketch; empty sketches give no row.
 
-    Rank queries take literal arguments only, so the mass of a bin is the share of
-    ``probes`` evenly spaced quantiles that fall into it. No shuffle.
+    Rank queries take constant arguments only, so the mass of a bin is the share of evenly
+    spaced quantiles that fall into it, settled to whole values where there are probes enough
+    for each. No shuffle.
     """
-    ranks = [0.0, 1.0] + [(i + 0.5) / probes for i in range(probes)]
     read = merged.select(
         *keys,
         F.expr(sk.sketch_count("sketch")).alias("n_obs"),
-        F.expr(sk.sketch_quantiles("sketch", ranks)).alias("quantiles"),
+        F.expr(sk.sketch_quantiles("sketch", probes)).alias("quantiles"),
     ).filter("n_obs > 0")
     return (
-        read.select(*keys, "n_obs", F.expr(sk.sketch_shape("quantiles", num_splits, probes)).alias("h"))
+        read.select(*keys, "n_obs", F.expr(sk.sketch_shape("quantiles", "n_obs", num_splits)).alias("h"))
         .filter("h is not null")
         .select(*keys, "n_obs", "h.x", "h.pmf")
     )

@@ -212,11 +212,15 @@ WITH {OBS}, rng AS (
          CASE WHEN min(v) = max(v) THEN min(v) - 0.5::DOUBLE ELSE min(v) END AS lo,
          CASE WHEN min(v) = max(v) THEN max(v) + 0.5::DOUBLE ELSE max(v) END AS hi
   FROM obs GROUP BY ALL
+), edges AS (
+  SELECT metric, submetric, is_reference, n, i AS bin, lo + i * ((hi - lo) / 1000.0::DOUBLE) AS e,
+         CASE WHEN i = 999 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 1000.0::DOUBLE) END AS e2
+  FROM rng, (SELECT unnest(range(0, 1000)) AS i)
 ), cnt AS (
-  SELECT metric, submetric, is_reference,
-         least(999, floor((v - lo) / ((hi - lo) / 1000.0::DOUBLE)))::INT AS bin,
-         count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 1000.0::DOUBLE)) AS dens
-  FROM obs JOIN rng USING (metric, submetric, is_reference) GROUP BY ALL
+  SELECT o.metric, o.submetric, o.is_reference, bin, count(*) / (any_value(n) * any_value(e2 - e)) AS dens
+  FROM obs o ASOF JOIN edges s
+    ON o.metric = s.metric AND o.submetric = s.submetric AND o.is_reference = s.is_reference AND o.v >= s.e
+  GROUP BY ALL
 ), pq AS (
   SELECT metric, submetric, bin,
          greatest(1e-10::DOUBLE, coalesce(max(dens) FILTER (NOT is_reference), 0)) AS p,
@@ -352,7 +356,7 @@ SELECT vec_id, round(sqrt(sum((v - m) * (v - m))), 8) AS value
 FROM obs JOIN mean USING (pos) GROUP BY vec_id""",
         "distance_by_path": f"""WITH {OBS}, {SIDES}, {_pairs('metric, submetric')}, {D_FROM_PQ},
 h AS ({DISTANCES['hellinger_distance'][1]})
-SELECT metric || '/' || submetric AS path, round(value, 8) AS value FROM h""",
+SELECT metric || '/' || submetric AS path, round(value, 8) AS value FROM h WHERE metric <> 'tax'""",
         "build_sketches": f"""WITH {MONTHS}
 SELECT sensor_id, metric, submetric, count(*) AS n FROM months GROUP BY ALL""",
         "merge_sketches": f"""WITH {OBS}

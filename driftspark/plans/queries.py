@@ -209,12 +209,28 @@ def euclidean_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides' histograms as trees metric -> submetric -> histogram, one row a side. The
+    reference tree has a histogram where the current one branches by submetric of 'tax'."""
+    sides = _sides(spark, sf_dir)
+    leaf = F.to_variant_object(F.struct("x", "pmf"))
+    branches = sides.groupBy("is_reference", "metric").agg(
+        F.to_variant_object(F.map_from_entries(F.collect_list(F.struct("submetric", leaf)))).alias("branch"),
+        F.first(leaf).alias("leaf"),
+    )
+    odd = F.col("is_reference") & (F.col("metric") == "tax")
+    node = F.when(odd, F.col("leaf")).otherwise(F.col("branch"))
+    return branches.groupBy("is_reference").agg(
+        F.to_variant_object(F.map_from_entries(F.collect_list(F.struct("metric", node)))).alias("tree")
+    )
+
+
 def distance_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "metric", "submetric").alias("path")
-    sides = _sides(spark, sf_dir).withColumn("path", path)
-    aligned = drift.align_sides(sides, ["path"])
-    hellinger = drift.distance(aligned, "hellinger_distance", ["path"])
-    return hellinger.select("path", *_round("value"))
+    trees = cut(_trees(spark, sf_dir))
+    hellinger = drift.distance_by_path(
+        trees.filter("not is_reference"), trees.filter("is_reference"), "hellinger_distance"
+    )
+    return hellinger.select(F.concat_ws("/", "path").alias("path"), *_round("value"))
 
 
 # --- bundles and snapshots ----------------------------------------------------------------
