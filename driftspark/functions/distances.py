@@ -214,6 +214,38 @@ def psi(pmf_p: str, edges_p: str, pmf_q: str, edges_q: str, num_buckets: int = 1
     return f"CASE WHEN NOT ({is_degenerate(edges_p)} OR {is_degenerate(edges_q)}) THEN {index} END"
 
 
+# --- how far a distance can be off, if every bin is off by at most ``e`` -----------------
+
+
+def euclidean_error(p: str, e: str) -> str:
+    """Both vectors move by at most e in each place."""
+    return f"2 * sqrt(size({p})) * {e}"
+
+
+def pearson_error(p: str, q: str, e: str) -> str:
+    """Either centred vector turns by at most twice its move divided by its length; NULL where
+    a vector does not vary."""
+    centred = lambda a: let(
+        a, "w", let(f"{total('w')} / size(w)", "m", "sqrt(aggregate(w, 0D, (acc, v) -> acc + (v - m) * (v - m)))")
+    )
+    return f"2 * sqrt(size({p})) * {e} * (try_divide(1D, {centred(p)}) + try_divide(1D, {centred(q)}))"
+
+
+def psi_error(
+    pmf_p: str, edges_p: str, pmf_q: str, edges_q: str, e: str, least: str, num_buckets: int = 10
+) -> str:
+    """A term is convex in both heights and never negative, so that within the square around
+    them it lies between 0 and its largest corner. ``least`` is the smallest height a side has."""
+    low = lambda v: f"greatest({least}, {v} - {e})"
+    term = lambda a, b: f"({a} - {b}) * ln({a} / {b})"
+    corners = [term(a, b) for a in (low("a"), f"(a + {e})") for b in (low("b"), f"(b + {e})")]
+    return total_of(
+        _sampled(edges_p, pmf_p, num_buckets),
+        _sampled(edges_q, pmf_q, num_buckets),
+        f"greatest({', '.join(corners)})",
+    )
+
+
 BINNED: dict[str, Callable[[str, str], str]] = {
     f.__name__: f
     for f in (

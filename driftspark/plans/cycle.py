@@ -33,6 +33,11 @@ def from_values(observations: DataFrame) -> DataFrame:
     return histograms.exact_histograms(observations, SIDE_KEYS)
 
 
+def from_single_values(observations: DataFrame) -> DataFrame:
+    """What float sketches of the values estimate."""
+    return histograms.exact_histograms(observations, SIDE_KEYS, single_precision=True)
+
+
 def cycle_histograms(
     chosen: DataFrame,
     payload: DataFrame,

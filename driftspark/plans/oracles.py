@@ -42,7 +42,25 @@ rng{tag} AS (
 )"""
 
 
-SIDES = _hist("is_reference, metric, submetric")
+SIDE_COLUMNS = "is_reference, metric, submetric"
+SIDES = _hist(SIDE_COLUMNS)
+
+
+def _single(source: str) -> str:
+    """Like SIDES, with values and split points in single precision, as float sketches have."""
+    return f"""f AS (
+  SELECT {SIDE_COLUMNS}, v::FLOAT::DOUBLE AS v FROM {source}
+), {_hist(SIDE_COLUMNS, source="f", tag="_even")}, cells AS (
+  SELECT *, x::FLOAT::DOUBLE AS lo, lead(x::FLOAT::DOUBLE) OVER w AS hi
+  FROM hist_even WHERE bin < {SPLITS} WINDOW w AS (PARTITION BY {SIDE_COLUMNS} ORDER BY bin)
+), hits AS (
+  SELECT {SIDE_COLUMNS}, c.bin + 1 AS bin, count(*) AS c
+  FROM f JOIN cells c USING ({SIDE_COLUMNS})
+  WHERE v >= lo AND (hi IS NULL OR v < hi) GROUP BY ALL
+), hist AS (
+  SELECT {SIDE_COLUMNS}, bin, mn, mx, x, coalesce(c, 0) / n::DOUBLE AS p
+  FROM hist_even LEFT JOIN hits USING ({SIDE_COLUMNS}, bin)
+)"""
 
 # Both sides on one grid.
 def _pairs(keys: str) -> str:
@@ -278,6 +296,24 @@ MONTHS = f"""
   FROM obs
 )"""
 
+# The snapshots that enter a cycle, and its distances over their histograms.
+PICKED = f"""
+{MONTHS}, chosen AS (
+  SELECT sensor_id, max(month) AS month FROM months
+  WHERE sensor_id <> 'reference' AND month >= '2000-01' GROUP BY sensor_id
+  UNION ALL SELECT 'reference', max(month) FROM months WHERE sensor_id = 'reference'
+), picked AS (SELECT months.* FROM months JOIN chosen USING (sensor_id, month))"""
+
+CYCLE = f""", pq AS (
+  SELECT a.metric, a.submetric, a.bin, a.p, b.p AS q
+  FROM hist a LEFT JOIN (SELECT * FROM hist WHERE is_reference) b USING (metric, submetric, bin)
+  WHERE NOT a.is_reference
+)
+SELECT 'demo' AS project_id, 1700000000::BIGINT AS last_updated, metric, submetric,
+       round({PSI}, 8) AS psi, round(corr(p, q) FILTER (bin < {SPLITS}), 8) AS pearson,
+       round(sqrt(sum((p - q) * (p - q)) FILTER (bin < {SPLITS})), 8) AS euclidean
+FROM pq GROUP BY metric, submetric"""
+
 SAMPLES = f"""
 smp AS (
   SELECT CASE WHEN event_type = 'signup' THEN 'other' ELSE 'demo' END AS project_name,
@@ -327,18 +363,9 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "exact_histogram": f"""WITH {OBS}, {SIDES}
 SELECT {side_cols}, bin, round(x, 8) AS x, round(p, 8) AS p FROM hist""",
-        "single_precision_histogram": f"""WITH {OBS}, f AS (
-  SELECT is_reference, metric, submetric, v::FLOAT::DOUBLE AS v FROM obs
-), {_hist(side_cols, source="f")}, cells AS (
-  SELECT *, x::FLOAT::DOUBLE AS lo, lead(x::FLOAT::DOUBLE) OVER w AS hi
-  FROM hist WHERE bin < {SPLITS} WINDOW w AS (PARTITION BY {side_cols} ORDER BY bin)
-), hits AS (
-  SELECT {side_cols}, c.bin + 1 AS bin, count(*) AS c
-  FROM f JOIN cells c USING ({side_cols})
-  WHERE v >= lo AND (hi IS NULL OR v < hi) GROUP BY ALL
-)
-SELECT {side_cols}, bin, round(x, 8) AS x, round(coalesce(c, 0) / n::DOUBLE, 8) AS p
-FROM hist LEFT JOIN hits USING ({side_cols}, bin)""",
+        "single_precision_histogram": f"""WITH {OBS}, {_single("obs")}
+SELECT {side_cols}, bin, round(x, 8) AS x, round(p, 8) AS p FROM hist""",
+        "sketch_drift": f"WITH {OBS}, {_single('obs')}, {_pairs('metric, submetric')} {_report('metric, submetric')}",
         "drift_report": f"WITH {OBS}, {SIDES}, {_pairs('metric, submetric')} {_report('metric, submetric')}",
         "channel_drift": f"WITH {CHANNELS}, {SIDES}, {_pairs('metric, submetric')} {_report('metric, submetric')}",
         "constant_feature_drift": CONSTANT,
@@ -384,9 +411,27 @@ FROM months GROUP BY ALL""",
   SELECT sensor_id, month, metric, submetric, count(*) AS n FROM months GROUP BY ALL
 )
 SELECT metric, submetric, count(*) AS bundles,
-       CASE WHEN metric = 'tax' THEN 0 ELSE count(*) END AS readable,
-       CASE WHEN metric = 'tax' THEN NULL ELSE sum(n)::BIGINT END AS n
+       count(*) FILTER (metric <> 'tax' AND (metric <> 'discount' OR n = 1)) AS readable,
+       (sum(n) FILTER (metric <> 'tax' AND (metric <> 'discount' OR n = 1)))::BIGINT AS n
 FROM s GROUP BY metric, submetric""",
+        "late_snapshots": f"""WITH {MONTHS}, s AS (
+  SELECT DISTINCT sensor_id, month, sensor_id = 'reference' AS is_reference,
+         CASE WHEN sensor_id = 'reference' OR month >= '2001-01' THEN 0 ELSE 1 END AS cycle FROM months
+)
+SELECT cycle::BIGINT AS cycle, sensor_id, max(month) AS timestamp, is_reference
+FROM (SELECT * FROM s UNION ALL SELECT sensor_id, month, is_reference, 1 FROM s WHERE is_reference)
+GROUP BY cycle, sensor_id, is_reference""",
+        "stored_reference": f"""WITH {MONTHS}
+SELECT metric, submetric, round(min(v::FLOAT::DOUBLE), 2) AS low, round(max(v::FLOAT::DOUBLE), 2) AS high
+FROM months WHERE metric = 'extendedprice' AND submetric = 'A' AND sensor_id = 'reference'
+  AND month = (SELECT max(month) FROM months WHERE sensor_id = 'reference')
+GROUP BY metric, submetric""",
+        "stored_samples": f"""WITH {SAMPLES}
+SELECT 'demo' AS "projectName", 'completed' AS status, sensor_id AS "sensorId",
+       timestamp, metrictype, metric, submetric, url, url_timestamp
+FROM smp WHERE metric = 'purchase'""",
+        "ingest_stream": f"""WITH {UPLOADS}
+SELECT sensor_id, timestamp, file_type, path FROM upp WHERE file_type IN ('stats', 'data')""",
         "inventory": f"""WITH {INVENTORY}
 SELECT sensor_id, timestamp, metrictype, metric, submetric, path FROM listed""",
         "snapshot_docs": f"""WITH {INVENTORY}
@@ -404,20 +449,8 @@ WHERE sensor_id = 'reference' AND status = 'completed' ORDER BY timestamp DESC,
         "mark_consumed": f"""WITH {SNAPS}
 SELECT sensor_id, timestamp FROM waiting
 WHERE sensor_id IN (SELECT sensor_id FROM newest WHERE event_type = 'purchase')""",
-        "run_cycle": f"""WITH {MONTHS}, chosen AS (
-  SELECT sensor_id, max(month) AS month FROM months
-  WHERE sensor_id <> 'reference' AND month >= '2000-01' GROUP BY sensor_id
-  UNION ALL SELECT 'reference', max(month) FROM months WHERE sensor_id = 'reference'
-), picked AS (SELECT months.* FROM months JOIN chosen USING (sensor_id, month)),
-{_hist(side_cols, source="picked")}, pq AS (
-  SELECT a.metric, a.submetric, a.bin, a.p, b.p AS q, a.mx = a.mn OR b.mx = b.mn AS degenerate
-  FROM hist a LEFT JOIN (SELECT * FROM hist WHERE is_reference) b USING (metric, submetric, bin)
-  WHERE NOT a.is_reference
-)
-SELECT 'demo' AS project_id, 1700000000::BIGINT AS last_updated, metric, submetric,
-       round({PSI}, 8) AS psi, round(corr(p, q) FILTER (bin < {SPLITS}), 8) AS pearson,
-       round(sqrt(sum((p - q) * (p - q)) FILTER (bin < {SPLITS})), 8) AS euclidean
-FROM pq GROUP BY metric, submetric""",
+        "run_cycle": f"WITH {PICKED}, {_hist(side_cols, source='picked')} {CYCLE}",
+        "run_sketch_cycle": f"WITH {PICKED}, {_single('picked')} {CYCLE}",
         "stored_cycle": f"""WITH {MONTHS}, chosen AS (
   SELECT sensor_id, max(month) AS month FROM months GROUP BY sensor_id
 ), picked AS (SELECT months.* FROM months JOIN chosen USING (sensor_id, month))

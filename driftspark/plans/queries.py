@@ -8,14 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftspark.functions import distances as d
-from driftspark.functions.names import url_timestamp
+from driftspark.functions.names import REFERENCE, url_timestamp
 from driftspark.operators import drift, histograms, reads, selection
 from driftspark.operators.histograms import KEYS
+from driftspark.operators.joins import sized_join
 from driftspark.plans import cycle as cy
 from driftspark.session import cut, shared_dir
 from driftspark.sources import landing, tables
 from driftspark.sources.store import DriftStore
 from driftspark.streaming.aggregate import run_cycle as run_stored_cycle
+from driftspark.streaming.ingest import first_uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +25,7 @@ DIGITS = 8
 COARSE_SPLITS = 24
 CONSUMED_UNTIL = "2000-01"
 MARKED_UNTIL = "2024-01-16"
+LATE = "2001-01"
 PMF_BOUND = 0.02
 SIDE_KEYS = cy.SIDE_KEYS
 
@@ -101,11 +104,13 @@ def sketch_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sketch_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate drift of everything in a single scan."""
+    """Approximate drift of everything in a single scan, held against the exact one."""
     observed = tables.observations(spark, sf_dir, spread_out=True)
     pooled = histograms.pooled_sketches(observed, SIDE_KEYS)
     sides = histograms.sketch_histograms(pooled, SIDE_KEYS)
-    return drift.distance_report(drift.align_sides(sides))
+    exact = drift.align_sides(_single_sides(spark, sf_dir))
+    checked = drift.checked_report(drift.align_sides(sides), exact)
+    return checked.select(*KEYS, *_round("psi", "pearson", "euclidean"), "degenerate")
 
 
 # --- drift --------------------------------------------------------------------------------
@@ -342,11 +347,17 @@ def expand_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tax sketches are cut short on arrival: they must be told apart, not merged."""
+    """Tax sketches are cut short on arrival, and discount sketches of several values have a
+    damaged count in a header of the right length: they must be told apart, not merged."""
     members = landing.expand_bundles(tables.packed_bundles(spark, sf_dir))
-    damaged = F.when(
-        F.col("member").contains("/tax_"), F.substring("payload", F.lit(1), F.length("payload") - 4)
-    ).otherwise(F.col("payload"))
+    several = F.col("member").contains("/discount_") & (F.length("payload") > 15)
+    damaged = (
+        F.when(
+            F.col("member").contains("/tax_"), F.substring("payload", F.lit(1), F.length("payload") - 4)
+        )
+        .when(several, F.overlay("payload", F.lit(b"\x7f"), F.lit(16), F.lit(1)))
+        .otherwise(F.col("payload"))
+    )
     loaded = landing.load_sketches(landing.inventory(members.withColumn("payload", damaged)))
     good = F.when(F.col("readable"), F.col("payload"))
     return loaded.groupBy("metric", "submetric").agg(
@@ -359,24 +370,27 @@ def load_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cycles -------------------------------------------------------------------------------
 
 
-def _cycle(spark: SparkSession, sf_dir: str, payload: DataFrame, histogram) -> DataFrame:
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The snapshot list is a stored table in use; here it is made once.
     snaps = cut(tables.shipments(spark, sf_dir).select("sensor_id", "timestamp").distinct())
     log = snaps.select(
         "*", F.lit("completed").alias("status"), F.concat_ws("/", "sensor_id", "timestamp").alias("path")
     )
     consumed = snaps.filter(F.col("timestamp") < CONSUMED_UNTIL)
-    chosen = cut(cy.choose_snapshots(log, consumed))
-    sides = cy.cycle_histograms(chosen, payload, histogram)
-    return cy.cycle_results(sides, tables.PROJECT, 1_700_000_000, 1)
+    return cut(cy.choose_snapshots(log, consumed))
 
 
-def run_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cycle in exact mode: suppliers' newest month against the newest baseline month."""
-    payload = tables.observations(spark, sf_dir).select(
+def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.observations(spark, sf_dir, spread_out=True).select(
         "sensor_id", "timestamp", "metric", "submetric", "value"
     )
-    results = _cycle(spark, sf_dir, payload, cy.from_values)
+
+
+def run_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle in exact mode: suppliers' newest month against the newest baseline month."""
+    payload = _payload(spark, sf_dir)
+    sides = cy.cycle_histograms(_chosen(spark, sf_dir), payload, cy.from_values)
+    results = cy.cycle_results(sides, tables.PROJECT, 1_700_000_000, 1)
     return results.select(
         "project_id",
         "last_updated",
@@ -388,12 +402,22 @@ def run_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_sketch_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = histograms.build_sketches(
-        tables.observations(spark, sf_dir, spread_out=True),
-        ["sensor_id", "timestamp", "metric", "submetric"],
+    """The same cycle by sketches of the chosen snapshots, each distance held against its exact
+    value under the bound that the sketches' error gives."""
+    chosen = _chosen(spark, sf_dir)
+    keys = ["sensor_id", "timestamp"]
+    # Only what enters the cycle is sketched.
+    payload = sized_join(_payload(spark, sf_dir), chosen.select(*keys), keys, "left_semi")
+    sketches = histograms.build_sketches(payload, [*keys, "metric", "submetric"])
+    sides = cy.cycle_histograms(chosen, sketches, cy.from_sketches)
+    exact = cy.cycle_histograms(chosen, payload, cy.from_single_values)
+    checked = drift.checked_report(drift.align_sides(sides), drift.align_sides(exact))
+    return checked.select(
+        F.lit(tables.PROJECT).alias("project_id"),
+        F.lit(1_700_000_000).cast("long").alias("last_updated"),
+        *KEYS,
+        *_round("psi", "pearson", "euclidean"),
     )
-    results = _cycle(spark, sf_dir, payload, cy.from_sketches)
-    return results.select("project_id", "last_updated", *KEYS, "distances.*")
 
 
 def stored_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,6 +443,112 @@ def stored_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sketch_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier months' sketches as unpacked members."""
+    keys = ["sensor_id", "timestamp"]
+    observed = tables.observations(spark, sf_dir, spread_out=True)
+    made = histograms.build_sketches(observed, [*keys, "metric", "submetric"])
+    return made.select(
+        *keys,
+        F.lit("stats").alias("file_type"),
+        F.concat_ws("/", *keys).alias("path"),
+        F.lit("customstats").alias("metrictype"),
+        "metric",
+        "submetric",
+        F.col("sketch").alias("payload"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit("sketch").alias("kind"),
+    )
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> DriftStore:
+    """A store after two batches and cycles: the second batch brings the months before LATE."""
+    store = DriftStore(spark, f"{shared_dir(spark)}/driftspark-store-{uuid.uuid4().hex}", tables.PROJECT)
+    members = _sketch_members(spark, sf_dir)
+    for batch, wanted in enumerate((F.col("timestamp") >= LATE, F.col("timestamp") < LATE)):
+        late_baseline = F.col("sensor_id") == REFERENCE
+        # The baseline's months are older than LATE and come with the first batch.
+        part = members.filter((wanted & ~late_baseline) | (late_baseline & F.lit(batch == 0)))
+        store.write(part, "members", batch)
+        listed = store.read_part("members", batch).select("sensor_id", "timestamp", "path").distinct()
+        store.write(listed, "snapshots", batch, status="completed")
+        run_stored_cycle(store, batch, now=1_700_000_000 + batch)
+    return store
+
+
+def late_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late older snapshots count in the cycle after, each sensor's newest one."""
+    chosen = _two_batches(spark, sf_dir).read("selected")
+    return chosen.select("cycle", "sensor_id", "timestamp", "is_reference")
+
+
+def stored_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline's newest stored histogram, read back as the read layer does."""
+    store = _two_batches(spark, sf_dir)
+    found = store.metric_stats(tables.PROJECT, "extendedprice", "A", reference=True)
+    return found.select(
+        *KEYS,
+        F.round(F.get("x", F.lit(0)), 2).alias("low"),
+        F.round(F.element_at("x", -1), 2).alias("high"),
+    )
+
+
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample members of a store, through its own scan and read query."""
+    store = DriftStore(spark, f"{shared_dir(spark)}/driftspark-store-{uuid.uuid4().hex}", tables.PROJECT)
+    flat = tables.samples(spark, sf_dir)
+    members = flat.select(
+        "sensor_id",
+        "timestamp",
+        F.lit("data").alias("file_type"),
+        F.col("url").alias("path"),
+        "metrictype",
+        "metric",
+        "submetric",
+        F.lit(None).cast("binary").alias("payload"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit("sample").alias("kind"),
+    )
+    store.write(members, "members", 0)
+    return store.project_data(tables.PROJECT, metric="purchase")
+
+
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads as a stream of several batches, all of them twice: keyed state lets the first of
+    a key through, and the store lists it."""
+    root = f"{shared_dir(spark)}/driftspark-uploads-{uuid.uuid4().hex}"
+    uploads = tables.uploads(spark, sf_dir).select(
+        "sensor_id",
+        "timestamp",
+        "file_type",
+        "path",
+        F.col("modificationTime").cast("timestamp").alias("modificationTime"),
+        F.lit(0).cast("long").alias("length"),
+    )
+    again = uploads.withColumns(
+        {
+            "modificationTime": F.col("modificationTime") + F.expr("interval 1 hour"),
+            "path": F.regexp_replace("path", "/landing/", "/landing/again/"),
+        }
+    )
+    # Two files, the later uploads in the second: one micro-batch each.
+    for part in (uploads, again):
+        part.coalesce(1).write.mode("append").parquet(root)
+    store = DriftStore(spark, f"{root}-store", tables.PROJECT)
+    files = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", "1").parquet(root)
+    query = (
+        first_uploads(files)
+        .writeStream.option("checkpointLocation", store.checkpoint("uploads"))
+        .trigger(availableNow=True)
+        .foreachBatch(
+            lambda df, batch: store.write(selection.valid_uploads(df), "bundles", batch)
+        )
+        .start()
+    )
+    query.awaitTermination()
+    return store.read("bundles").select("sensor_id", "timestamp", "file_type", "path")
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows of one cycle per ship year, all against the same baseline."""
     observed = tables.observations(spark, sf_dir)
@@ -555,7 +685,7 @@ def queries() -> dict[str, Query]:
         scan_landing, valid_uploads, rejected_uploads, register_bundles, pending_bundles,
         expand_bundles, load_sketches, inventory, snapshot_docs, gather_sketches,
         snapshot_status, latest_per_sensor, latest_reference, mark_consumed,
-        run_cycle, run_sketch_cycle, stored_cycle, assemble_overall, latest_reference_stats,
+        run_cycle, run_sketch_cycle, stored_cycle, late_snapshots, stored_reference, stored_samples, ingest_stream, assemble_overall, latest_reference_stats,
         metric_stats, metric_stats_first, metric_distances,
         project_data, project_data_filtered, nested_project_data,
         explode_samples, url_times, list_metrics, list_submetrics,
