@@ -20,18 +20,21 @@ MOST_LEVELS = 60
 # --- equal-step grid ----------------------------------------------------------------------
 
 
-def grid_step(low: str, high: str, num_splits: int) -> str:
+Splits = int | str  # a number, or an expression over the keys
+
+
+def grid_step(low: str, high: str, num_splits: Splits) -> str:
     """Histogram step; a constant feature gets 0.01."""
-    return f"(CASE WHEN {high} > {low} THEN ({high} - {low}) / {num_splits}D ELSE 0.01D END)"
+    return f"(CASE WHEN {high} > {low} THEN ({high} - {low}) / double({num_splits}) ELSE 0.01D END)"
 
 
-def grid_bin(value: str, low: str, high: str, num_splits: int) -> str:
+def grid_bin(value: str, low: str, high: str, num_splits: Splits) -> str:
     """Bin number 1..num_splits; the top bin is closed on the right."""
     step = grid_step(low, high, num_splits)
     return f"cast(least({num_splits}, floor(({value} - {low}) / {step}) + 1) as int)"
 
 
-def settle_single(bin_number: str, value: str, low: str, high: str, num_splits: int) -> str:
+def settle_single(bin_number: str, value: str, low: str, high: str, num_splits: Splits) -> str:
     """Corrects a bin number to what a float sketch counts: it compares single-precision
     values with single-precision split points, a value on a split going up.
     """
@@ -44,10 +47,10 @@ def settle_single(bin_number: str, value: str, low: str, high: str, num_splits:
     )
 
 
-def grid_edges(low: str, high: str, num_splits: int) -> str:
+def grid_edges(low: str, high: str, num_splits: Splits) -> str:
     """num_splits split points followed by the maximum."""
     step = grid_step(low, high, num_splits)
-    return f"concat(transform(sequence(0, {num_splits - 1}), i -> {low} + i * {step}), array({high}))"
+    return f"concat(transform(sequence(0, {num_splits} - 1), i -> {low} + i * {step}), array({high}))"
 
 
 # --- sketches -------------------------------------------------------------------------------
@@ -177,7 +180,7 @@ def sketch_quantiles(sketch: str, classes: list[tuple[int | None, int]]) -> str:
     return f"CASE WHEN {n} > 0 THEN {probes_for(n, classes, read)} END"
 
 
-def sketch_pmf(quantiles: str, n: str, low: str, high: str, num_splits: int) -> str:
+def sketch_pmf(quantiles: str, n: str, low: str, high: str, num_splits: Splits) -> str:
     """Share of evenly spaced quantiles in each bin; slot 0 (below the minimum) is 0.
 
     Where there are more than two probes for each of the ``n`` values, every value has its own
@@ -191,7 +194,7 @@ def sketch_pmf(quantiles: str, n: str, low: str, high: str, num_splits: int) ->
     return let(bins, "bins", f"transform(sequence(0, {num_splits}), slot -> {share})")
 
 
-def sketch_shape(quantiles: str, n: str, num_splits: int) -> str:
+def sketch_shape(quantiles: str, n: str, num_splits: Splits) -> str:
     """Struct ``(x, pmf)`` from the minimum, the maximum and evenly spaced quantiles.
     NULL for an infinite range."""
     edges = grid_edges("s.low", "s.high", num_splits)

@@ -279,10 +279,17 @@ def psi_of_values(
     )
 
 
+def vector_distance(current: str, reference: str) -> Column:
+    """Distance of two array columns within the row; NULL where their lengths differ."""
+    whole = f"CASE WHEN size({current}) = size({reference}) THEN "
+    return F.expr(whole + d.euclidean_distance(current, reference) + " END")
+
+
 def euclidean_of_values(
     current: DataFrame, reference: DataFrame, keys: list[str], position: str = "pos"
 ) -> DataFrame:
-    """Distance of two vectors given as (keys, position, value) rows.
+    """Distance of two vectors given as (keys, position, value) rows, for vectors too long to
+    be arrays; ``vector_distance`` needs no shuffle.
 
     Keys absent from ``reference`` columns are shared: one reference vector then serves
     every key. NULL where the vectors have different positions.

@@ -46,12 +46,12 @@ def value_ranges(observations: DataFrame, keys: list[str]) -> DataFrame:
 def exact_histograms(
     observations: DataFrame,
     keys: list[str] = KEYS,
-    num_splits: int = NUM_SPLITS,
+    num_splits: sk.Splits = NUM_SPLITS,
     broadcast_rows: int = BROADCAST_ROWS,
     single_precision: bool = False,
 ) -> DataFrame:
     """Histograms counted from the values. ``single_precision`` bins them the way a float
-    sketch of them would be binned.
+    sketch of them would be binned. ``num_splits`` may be an expression over the keys.
 
     Two scans of the input in all: one aggregated map-side into the small range table,
     one joined with it and counted map-side.

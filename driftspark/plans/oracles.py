@@ -462,7 +462,7 @@ FROM picked GROUP BY metric, submetric HAVING count(*) FILTER (NOT is_reference)
         "assemble_overall": f"""WITH {HISTORY}, t AS (
   SELECT cycle, metric, submetric, sum(p) AS mass FROM hist WHERE cycle <> 0 GROUP BY ALL
 )
-SELECT 'demo' AS project_id, cycle AS last_updated, count(*)::INT AS n_histograms,
+SELECT 'demo' AS project_id, cycle AS last_updated, 0 AS part, count(*)::INT AS n_histograms,
        count(*)::INT AS n_distances, round(sum(mass), 8) AS mass,
        string_agg(metric || '/' || submetric, ',' ORDER BY metric, submetric) AS names
 FROM t GROUP BY cycle""",

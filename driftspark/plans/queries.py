@@ -163,12 +163,9 @@ def _distance(name: str) -> Query:
 
 def _mixed_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current side on 30 bins, reference side on 24, so that rebinning has work to do."""
+    splits = f"CASE WHEN is_reference THEN {COARSE_SPLITS} ELSE {histograms.NUM_SPLITS} END"
     observed = tables.observations(spark, sf_dir)
-    current = histograms.exact_histograms(observed.filter("not is_reference"), KEYS)
-    reference = histograms.exact_histograms(
-        observed.filter("is_reference"), KEYS, num_splits=COARSE_SPLITS
-    )
-    return drift.align(current.drop("n_obs"), reference)
+    return drift.align_sides(histograms.exact_histograms(observed, SIDE_KEYS, num_splits=splits))
 
 
 def rebin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +204,18 @@ def psi_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def euclidean_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's distance from the mean embedding of label 0."""
-    channels = tables.channel_observations(spark, sf_dir)
-    mean = channels.filter("is_reference").groupBy("pos").agg(F.avg("value").alias("value"))
-    return drift.euclidean_of_values(channels, mean, ["vec_id"]).select(
+    label = F.lit("embedding").alias("metric")
+    vectors = tables.table(spark, sf_dir, "embeddings").select(
+        label, "vec_id", F.col("embedding").cast("array<double>").alias("vector")
+    )
+    channels = tables.channel_observations(spark, sf_dir).filter("is_reference")
+    means = channels.groupBy("metric", "pos").agg(F.avg("value").alias("value"))
+    # One row, as long as a vector.
+    mean = means.groupBy("metric").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("ref")
+    )
+    both = vectors.join(F.broadcast(mean), "metric")
+    return both.select("vec_id", drift.vector_distance("vector", "ref").alias("value")).select(
         "vec_id", *_round("value")
     )
 
@@ -584,6 +590,7 @@ def _document_summary(documents: DataFrame) -> DataFrame:
     return documents.select(
         "project_id",
         "last_updated",
+        "part",
         F.size("histograms").alias("n_histograms"),
         F.size("distance").alias("n_distances"),
         F.round(mass, DIGITS).alias("mass"),

@@ -162,3 +162,36 @@ def test_walk_of_nested_trees(spark):
     assert set(found) == {("a", "b", "c"), ("top",), ("branch", "x", "y"), ("dotted.name", "a/b")}
     assert found["top",] == 0 and found["a", "b", "c"] == pytest.approx(29 * 3 / 30)
     assert drift.distance_by_path(a.limit(0), b, "psi", ["k"]).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_hold_for_every_histogram_within_the_error(spark, seed):
+    """Distances of histograms moved by at most e in each bin stay within the bounds."""
+    rng, e, x = np.random.default_rng(seed), 0.004, [float(i) for i in range(31)]
+    schema = "metric string, submetric string, x_cur array<double>, pmf_cur array<double>, x_ref array<double>, pmf_ref array<double>"
+    exact, moved = [], []
+    for i in range(60):
+        sides = [np.concatenate([[0.0], rng.dirichlet(np.full(30, rng.choice([0.3, 1, 20])))]) for _ in range(2)]
+        near = [np.clip(s + rng.uniform(-e, e, 31) * (rng.random(31) < 0.8), 0, None) for s in sides]
+        for rows, (p, q) in ((exact, sides), (moved, near)):
+            rows.append((f"m{i}", "", x, p.tolist(), x, q.tolist()))
+    exact, moved = spark.createDataFrame(exact, schema), spark.createDataFrame(moved, schema)
+    right = {r.metric: tuple(r)[2:] for r in drift.distance_report(exact).collect()}
+    found = {r.metric: tuple(r)[2:] for r in drift.checked_report(moved, exact, error=e).collect()}
+    assert found == right
+
+
+def test_a_distance_beyond_its_bound_shows(spark):
+    x = [float(i) for i in range(31)]
+    schema = "metric string, submetric string, x_cur array<double>, pmf_cur array<double>, x_ref array<double>, pmf_ref array<double>"
+    even, steep = [0.0] + [1 / 30] * 30, [0.0, 0.5] + [0.5 / 29] * 29
+    exact = spark.createDataFrame([("m", "", x, even, x, even)], schema)
+    wrong = spark.createDataFrame([("m", "", x, steep, x, even)], schema)
+    own, found = drift.distance_report(wrong).first(), drift.checked_report(wrong, exact, error=0.001).first()
+    assert (found.psi, found.euclidean) == (own.psi, own.euclidean) and found.euclidean > 0.4
+
+
+def test_vector_distance(spark):
+    rows = [([3.0, 4.0], [0.0, 0.0]), ([1.0], [1.0, 2.0]), ([], [])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    assert [r.d for r in df.select(drift.vector_distance("a", "b").alias("d")).collect()] == [5.0, None, 0.0]
