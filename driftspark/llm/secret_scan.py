@@ -15,7 +15,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftspark.llm.common import no_spans, small_side, span_text, spans, stored, whole
+from driftspark.llm.common import bound, no_spans, small_side, span_text, spans, stored, whole
 
 MOST_ALTERNATIVES = 64
 
@@ -139,8 +139,10 @@ def trigram_query(pattern: str) -> Clauses:
 
 def post_trigrams(docs: DataFrame, grams: list[str]) -> DataFrame:
     """The stored inverted index: (gram, doc_id), sorted by gram within each file."""
-    low = F.lower(whole("text"))
-    present = F.array_compact(F.array(*[F.when(low.contains(g), F.lit(g)) for g in grams]))
+    present = bound(
+        F.lower(whole("text")),
+        lambda low: F.array_compact(F.array(*[F.when(low.contains(g), F.lit(g)) for g in grams])),
+    )
     postings = docs.select("doc_id", F.explode(present).alias("gram"))
     return stored(postings.select("gram", "doc_id").sortWithinPartitions("gram"), "postings")
 
