@@ -17,6 +17,8 @@ SPAN_TYPE = "array<struct<start:int,end:int,value:string>>"
 # A broadcast key table holds fixed-width numbers only, about 50 bytes a row in a hash
 # relation, so this many rows stay near 50 MB on every executor.
 BROADCAST_KEYS = 1_000_000
+# Matches whose positions are added up together.
+SPAN_BLOCK = 64
 # Rows of one group that a single window task takes at most, about.
 CELL_ROWS = 16_384
 
@@ -76,11 +78,18 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, whatever it is used for."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, end, value), counted in code points.
 
     What lies between the matches and the matches themselves add up to the positions.
-    ``value`` is the given group of the match.
+    ``value`` is the given group of the match. Positions are added up within blocks of
+    SPAN_BLOCK matches and over the blocks, so that very many matches take little more than a
+    constant time each.
     """
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
@@ -89,14 +98,35 @@ def spans(text: Column, pattern: str | Column, group: int = 0) -> Column:
     )
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+
     def add(acc: Column, p: Column) -> Column:
         at = acc["pos"] + F.char_length(p["gap"])
         to = at + F.char_length(p["hit"])
         one = F.array(F.struct(at.alias("start"), to.alias("end"), p["value"].alias("value")))
         return F.struct(to.alias("pos"), F.concat(acc["out"], one.cast(SPAN_TYPE)).alias("out"))
 
-    hits = F.filter(pieces, lambda p: p["hit"].isNotNull())
-    return F.aggregate(hits, start, add)["out"]
+    def blocks(hits: Column) -> Column:
+        last = F.floor((F.size(hits) - 1) / SPAN_BLOCK).cast("int")
+        block = lambda b: F.aggregate(F.slice(hits, b * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK)), start, add)
+        return F.transform(F.sequence(F.lit(0), last), block)
+
+    def placed(done: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("at"))
+        ahead = F.aggregate(
+            done,
+            zero,
+            lambda acc, d: F.struct(
+                (acc["pos"] + d["pos"]).alias("pos"), F.concat(acc["at"], F.array(acc["pos"])).alias("at")
+            ),
+        )
+        return F.flatten(F.zip_with(done, ahead["at"], lambda d, by: F.transform(d["out"], lambda s: moved(s, by))))
+
+    def found(hits: Column) -> Column:
+        return F.when(F.size(hits) == 0, no_spans()).otherwise(bound(blocks(hits), placed).cast(SPAN_TYPE))
+
+    return bound(F.filter(pieces, lambda p: p["hit"].isNotNull()), found)
 
 
 def no_spans() -> Column:

@@ -2,16 +2,18 @@
 
 Spans of four kinds are found by expressions and checks. Every checked value is a protected
 entity. Over the whole corpus, the information that a term gives about an entity is
-PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))) with document counts; as a share of the
+PMI(entity; term) = log2(N n(e,t) / (n(e) n(t))) with counts of different texts; as a share of the
 entity's own information log2(N / n(e)) it is the term's disclosure. Terms anywhere in a text with a
 mention whose disclosure is too high are generalised, and removed if it is higher still.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftspark.llm.common import no_spans, span_text, spans, stored, whole
+from driftspark.llm.common import bound, no_spans, small_side, span_text, spans, stored, whole
 
 # The base kinds, in order. Possessive repeats and the anchors give the spans
 # of the plain expressions without their backtracking over long runs: a run is entered at its
@@ -33,6 +35,8 @@ CONTEXT = 2**31 - 1
 COVER = "\uffff"
 ALONE = (r"(?<![\p{L}" + "\U0001d49c" + COVER + "])", r"(?![\p{L}" + COVER + "])")
 FREE_TERM = ALONE[0] + TERM + ALONE[1]
+# Code points that are covered together: large blocks, and small ones in them.
+COVER_BLOCKS = (1 << 16, 1 << 10)
 # Shares of an entity's information, and documents that must show the pair together.
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -89,9 +93,28 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), F.lower(s["value"])))
 
 
-def _covered(text: Column, found: dict[str, Column]) -> Column:
-    """The text with its mentions covered, all places as they were."""
-    text = F.translate(text, COVER, " ")
+def _in_blocks(text: Column, found: Column, size: int, inner: Callable[[Column, Column], Column]) -> Column:
+    """``inner`` of each run of ``size`` code points and the spans that reach into it, joined."""
+    last = F.floor((F.char_length(text) - 1) / size).cast("int")
+
+    def block(b: Column) -> Column:
+        reach = F.filter(found, lambda s: (s["start"] < (b + 1) * size) & (s["end"] > b * size))
+        own = F.transform(
+            reach,
+            lambda s: F.struct(
+                F.greatest(F.lit(0), s["start"] - b * size).alias("start"),
+                F.least(F.lit(size), s["end"] - b * size).alias("end"),
+                F.lit("").alias("value"),
+            ),
+        )
+        return bound(F.struct(F.substring(text, b * size + 1, F.lit(size)).alias("t"), own.alias("s")), lambda p: inner(p["t"], p["s"]))
+
+    return F.when(F.char_length(text) == 0, text).otherwise(
+        F.array_join(F.transform(F.sequence(F.lit(0), last), block), "")
+    )
+
+
+def _put_covers(text: Column, found: Column) -> Column:
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def put(acc: Column, s: Column) -> Column:
@@ -101,8 +124,22 @@ def _covered(text: Column, found: dict[str, Column]) -> Column:
         out = F.concat(acc["out"], gap, F.repeat(F.lit(COVER), to - at))
         return F.struct(to.alias("pos"), out.alias("out"))
 
-    done = F.aggregate(F.array_sort(F.concat(*found.values())), start, put)
-    return F.concat(done["out"], F.substring(text, done["pos"] + 1, F.char_length(text)))
+    rest = lambda d: F.concat(d["out"], F.substring(text, d["pos"] + 1, F.char_length(text)))
+    return F.when(F.size(found) == 0, text).otherwise(bound(F.aggregate(found, start, put), rest))
+
+
+def _covered(text: Column, found: dict[str, Column]) -> Column:
+    """The text with its mentions covered, all places as they were.
+
+    Taken apart into blocks of blocks, as finding a place in a long text takes as long as the
+    text before it.
+    """
+    large, small = COVER_BLOCKS
+    both = F.struct(
+        F.translate(text, COVER, " ").alias("t"), F.array_sort(F.concat(*found.values())).alias("s")
+    )
+    inner = lambda t, s: _in_blocks(t, s, small, _put_covers)
+    return bound(both, lambda p: _in_blocks(p["t"], p["s"], large, inner))
 
 
 def _words(pattern: str = FREE_TERM) -> Column:
@@ -113,19 +150,25 @@ def _free_terms() -> Column:
     return F.array_distinct(F.transform(_words(), F.lower))
 
 
-def _sent(table: DataFrame, *names: str) -> DataFrame:
+def _sent(table: DataFrame, *names: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``table``, which is stored, with a broadcast hint while its bytes are counted few."""
     size = table.agg(F.sum(sum((F.octet_length(c) for c in names), F.lit(ROW_BYTES)))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+    return F.broadcast(table) if size <= limit else table
 
 
 def _telling(
-    texts: DataFrame, rows: DataFrame, n: int, generalise_at: float, least_documents: int
+    texts: DataFrame,
+    copies: DataFrame,
+    rows: DataFrame,
+    n: int,
+    generalise_at: float,
+    least_documents: int,
+    limit: int,
 ) -> DataFrame:
     """Stored (entity, term, disclosure) of the pairs that are generalised or removed.
 
-    ``rows`` are the texts with a mention: text (covered) and the distinct entities. As
-    n(e,t) <= n(e), only a term with n(t) <= N^(1-g) n(e)^g can have a share of g, so that
+    ``rows`` are the different texts with a mention: text (covered) and the distinct entities;
+    ``n`` counts the different ones of ``texts``. As n(e,t) <= n(e), only a term with n(t) <= N^(1-g) n(e)^g can have a share of g, so that
     common words are not paired; and no pair has more documents than its entity and its term.
     """
     # An entity counts where it is mentioned, also if no term stands beside it.
@@ -133,16 +176,16 @@ def _telling(
     most = F.pow(F.lit(float(n)), 1 - generalise_at) * F.pow("n_e", F.lit(generalise_at)) * (1 + 1e-9)
     n_e = n_e.filter(F.col("n_e") >= least_documents)
     n_e = stored((n_e.filter(F.col("n_e") < n) if generalise_at > 0 else n_e).withColumn("most", most), "entities")
-    limit = n_e.agg(F.max("most")).first()[0] or 0.0
+    most_texts = n_e.agg(F.max("most")).first()[0] or 0.0
     asked = rows.select(F.explode(_free_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
-    asked = asked.filter(F.col("seen").between(least_documents, limit)).select("term")
-    n_t = document_frequency(texts, stored(asked, "asked-terms")).filter(F.col("n_t") <= limit)
+    asked = asked.filter(F.col("seen").between(least_documents, most_texts)).select("term")
+    n_t = document_frequency(texts, stored(asked, "asked-terms"), copies, limit).filter(F.col("n_t") <= most_texts)
     n_t = stored(n_t, "term-counts")
     pairs = (
         rows.select("entities", F.explode(_free_terms()).alias("term"))
-        .join(_sent(n_t, "term"), "term")
+        .join(_sent(n_t, "term", limit=limit), "term")
         .select("term", "n_t", F.explode("entities").alias("entity"))
-        .join(_sent(n_e, "entity"), "entity")
+        .join(_sent(n_e, "entity", limit=limit), "entity")
         .filter("n_t <= most")
         .groupBy("entity", "term", "n_e", "n_t")
         .agg(F.count(F.lit(1)).alias("n_et"))
@@ -157,28 +200,39 @@ def _telling(
 
 def _places(words: str) -> Column:
     """Spans of the given words where they stand alone in the covered text; the terms as values."""
-    pattern = F.concat(F.lit(ALONE[0] + "(?:"), F.array_join(words, "|"), F.lit(")" + ALONE[1]))
+    told = F.filter(spans(F.col("text"), FREE_TERM), lambda s: F.array_contains(words, s["value"]))
     found = F.transform(
-        spans(F.col("text"), pattern),
+        told,
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")),
     )
     return F.when(F.size(words) > 0, found).otherwise(no_spans())
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many rows of ``docs`` each of ``terms`` occurs: every row, its whole text.
+def document_frequency(
+    docs: DataFrame, terms: DataFrame, copies: DataFrame | None = None, limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """In how many different texts of ``docs`` each of ``terms`` occurs: all rows, whole texts.
 
     ``terms`` is a stored table. While its bytes are counted few it is sent to the scan, so
-    that other words are not shuffled; beyond that all words are counted and joined.
+    that other words are not shuffled; beyond that all words are counted and joined. A text
+    that ``copies``, stored (h, copies), lists as stored several times counts in every row by
+    its share, so that counts are added up map-side all the same.
     """
     # Lower-casing may add marks that end a word: found first, lower-cased then, as free terms are.
     words = F.array_distinct(F.regexp_extract_all(whole("text"), F.lit(TERM), F.lit(0)))
-    seen = docs.select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("term"))
-    size = terms.agg(F.sum(F.octet_length("term") + ROW_BYTES)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        seen, terms = seen.join(F.broadcast(terms), "term", "left_semi"), None
-    counted = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return counted if terms is None else counted.join(terms, "term", "left_semi")
+    lowered = F.array_distinct(F.transform(words, F.lower)).alias("terms")
+    rows = docs.select(F.xxhash64(whole("text")).alias("h"), lowered)
+    if copies is None:
+        rows = rows.withColumn("share", F.lit(1.0))
+    else:
+        rows = rows.join(small_side(copies, limit // ROW_BYTES), "h", "left")
+        rows = rows.withColumn("share", 1.0 / F.coalesce("copies", F.lit(1)))
+    seen = rows.select("share", F.explode("terms").alias("term"))
+    sent = _sent(terms, "term", limit=limit)
+    if sent is not terms:
+        seen = seen.join(sent, "term", "left_semi")
+    counted = seen.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t"))
+    return counted if sent is not terms else counted.join(terms, "term", "left_semi")
 
 
 def sanitise(
@@ -186,14 +240,17 @@ def sanitise(
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
     least_documents: int = LEAST_DOCUMENTS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document: doc_id, h (hash of the text), email, ip, card, phone, and
     ``generalise`` and ``remove``: arrays of (start, end, value).
 
-    Counts are documents of the whole corpus. A pair counts from ``least_documents`` documents
-    on: one sighting says nothing about how often the two go together. Rows with equal id and
-    text have equal spans. A null text is empty, a null id is an id like any other, no rows
-    give no rows, other columns are ignored.
+    Counts are different texts of the whole corpus: copies of one text are one witness, and
+    what it tells is marked in all of them. A pair counts from ``least_documents`` texts on:
+    one sighting says nothing about how often the two go together. Rows with equal text have
+    equal spans. A null text is empty, a null id is an id like any other, no rows give no
+    rows, other columns are ignored. Very many mentions in one text are each found, covered
+    and counted in about constant time.
     """
     texts = docs.select("doc_id", "text")
     text = whole("text")
@@ -205,27 +262,31 @@ def sanitise(
     covered = F.when(anything, _covered(F.col("text"), {k: F.col(k) for k in KINDS}))
     base = stored(found.select("doc_id", "h", *KINDS, covered.alias("text")), "pii")
     entities = F.array_distinct(F.concat(*map(_entities, KINDS))).alias("entities")
-    rows = base.filter("text is not null").select("doc_id", "h", "text", entities)
-    telling = _telling(texts, rows, base.count(), generalise_at, least_documents)
-
-    # Repeated rows of one document count as rows above; here they have the same spans.
-    keys = ["doc_id", "h"]
+    rows = base.filter("text is not null").select("h", "text", entities)
+    # Copies fold within their tasks first, so that a large group of them meets nowhere.
+    rows = rows.groupBy("h").agg(F.first(F.struct("text", "entities")).alias("one"))
+    rows = stored(rows.select("h", "one.text", "one.entities"), "pii-mentions")
+    copies = base.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copies = stored(copies, "pii-copies")
+    different = base.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    telling = _telling(texts, copies, rows, different, generalise_at, least_documents, broadcast_bytes)
+
+    terms = stored(telling.select("term").distinct(), "telling-terms")
     marked = (
-        rows.select(*keys, "entities", F.explode(_words()).alias("word"))
+        rows.select("h", "entities", F.explode(_words()).alias("word"))
         .withColumn("term", F.lower("word"))
-        .join(_sent(stored(telling.select("term").distinct(), "telling-terms"), "term"), "term")
-        .select(*keys, "word", "term", F.explode("entities").alias("entity"))
-        .join(_sent(telling, "entity", "term"), ["entity", "term"])
-        .groupBy(*keys, "word")
+        .join(_sent(terms, "term", limit=broadcast_bytes), "term")
+        .select("h", "word", "term", F.explode("entities").alias("entity"))
+        .join(_sent(telling, "entity", "term", limit=broadcast_bytes), ["entity", "term"])
+        .groupBy("h", "word")
         .agg(F.max("disclosure").alias("disclosure"))
     )
     high = F.col("disclosure") >= remove_at
-    per_row = marked.groupBy(*keys).agg(
+    per_text = marked.groupBy("h").agg(
         F.collect_list(F.when(~high, F.col("word"))).alias("__generalise"),
         F.collect_list(F.when(high, F.col("word"))).alias("__remove"),
-    ).withColumnsRenamed({"doc_id": "__id", "h": "__h"})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    return base.join(per_row, same, "left").select(
+    )
+    return base.join(per_text, "h", "left").select(
         "doc_id", "h", *KINDS, *[_places(f"__{c}").alias(c) for c in ("generalise", "remove")]
     )
 
