@@ -41,6 +41,7 @@ COVER_BLOCKS = (1 << 16, 1 << 10)
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 LEAST_DOCUMENTS = 2
+COPY_SALTS = 32
 # A term in a broadcast hash relation takes its bytes and about so many more.
 ROW_BYTES = 64
 BROADCAST_BYTES = 64 << 20
@@ -286,7 +287,11 @@ def sanitise(
         F.collect_list(F.when(~high, F.col("word"))).alias("__generalise"),
         F.collect_list(F.when(high, F.col("word"))).alias("__remove"),
     )
-    return base.join(per_text, "h", "left").select(
+    # A third of all rows may be copies of one text: they are dealt by their ids as well.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))
+    per_text = per_text.withColumn("__salt", salts)
+    salted = base.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS)).cast("int"))
+    return salted.join(per_text, ["h", "__salt"], "left").select(
         "doc_id", "h", *KINDS, *[_places(f"__{c}").alias(c) for c in ("generalise", "remove")]
     )
 
