@@ -230,19 +230,24 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, most: int = MOST_TOGETHER)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(fp, root) of every linked fingerprint, by contracting the graph.
-
-    Every vertex points at the least of itself and its neighbours, pointers are followed once
-    more, and links move to where their ends point. The least vertex around draws in all its
-    neighbours, so the graph shrinks geometrically; a stored table per round cuts the lineage.
-    A fingerprint has few neighbours within the radius, so no vertex is hot.
+    """(fp, root) of every linked fingerprint, by contracting the graph; a root is some
+    fingerprint of its component.
+
+    In every round all vertices are ordered anew by a hash of round and vertex. A vertex points
+    at the first of itself and its neighbours, pointers are followed once more, and links move
+    to where their ends point. Whatever the graph looks like, the order does not follow it, so
+    that also of a long chain only a part of the vertices is pointed at and the rounds grow with
+    the logarithm of its length. A stored table per round cuts the lineage. A fingerprint has
+    few neighbours within the radius, so no vertex is hot at first.
     """
-    edges = stored(links, "links")
+    edges, rounds = stored(links, "links"), 0
     mapping = edges.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     mapping = mapping.withColumn("root", F.col("fp"))
     while not edges.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(rounds), F.col(c)).alias("rank"), F.col(c).alias("v"))  # noqa: B023, E731
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")), "pointers")
+        first = F.least(rank("a"), F.min(rank("b")))["v"]
+        to = stored(both.groupBy("a").agg(first.alias("to")), "pointers")
         far = to.alias("p").join(to.alias("q"), F.col("p.to") == F.col("q.a"))
         to = stored(far.select("p.a", F.col("q.to").alias("to")), "pointers")
         moved = edges.join(to, "a").select("b", F.col("to").alias("ta"))
@@ -250,6 +255,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(moved.select(F.col("ta").alias("a"), F.col("to").alias("b")).distinct(), "links")
         led = mapping.join(to.withColumnRenamed("a", "root"), "root", "left")
         mapping = stored(led.select("fp", F.coalesce("to", "root").alias("root")), "mapping")
+        rounds += 1
     return mapping
 
 

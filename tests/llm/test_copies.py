@@ -178,3 +178,16 @@ def test_index_divides_a_large_group(spark):
     assert [(r.group_size, r.keep_id) for r in hot] == [(2000, 3998)]
     files = index.entries.filter(F.col("h") == hot[0].h).groupBy(F.input_file_name()).count().collect()
     assert len(files) > 1 and sum(r["count"] for r in files) == 2000
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A thousand vertices in a row, numbered along it, and a star beside it."""
+    rounds, stored = [], sh.stored
+    monkeypatch.setattr(sh, "stored", lambda df, name: (rounds.append(name), stored(df, name))[1])
+    chain = [(i, i + 1) for i in range(1000)]
+    star = [(5000, 5001 + i) for i in range(50)]
+    links = spark.createDataFrame(chain + star, "a long, b long")
+    found = {r.fp: r.root for r in sh.components(links).collect()}
+    assert len({found[i] for i in range(1001)}) == 1 and 0 <= found[0] <= 1000
+    assert len({found[5000 + i] for i in range(51)}) == 1 and found[5000] >= 5000
+    assert rounds.count("mapping") <= 25
