@@ -26,6 +26,10 @@ HEADLINE = [
     "sketch_drift",
     "run_cycle",
     "run_sketch_cycle",
+    "stored_cycle",
+    "ingest_stream",
+    "expand_bundles",
+    "load_sketches",
     "register_bundles",
     "latest_per_sensor",
     "snapshot_docs",
