@@ -14,7 +14,8 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftspark.llm.common import lower_ascii, small_side, stored, whole
+from driftspark.llm.common import BROADCAST_KEYS, lower_ascii, stored, whole
+from driftspark.operators.joins import sized_join
 
 CAPACITY = 100_000
 MAX_DEPTH = 20  # the directory has at most 2**20 slots of two numbers, about 16 MB
@@ -48,7 +49,7 @@ def _slot(depth: int) -> Column:
 
 
 def build_index(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The stored index: ``entries`` (with ``h``) plus ``bucket``, in files by bucket range."""
+    """The stored index: ``entries`` (stored, with ``h``) plus ``bucket``, in files by bucket range."""
     spark = entries.sparkSession
     rows = entries.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(rows / capacity))) + 4) if rows > capacity else 0
@@ -70,18 +71,30 @@ def _texts(docs: DataFrame, hash_of) -> DataFrame:
     return docs.select("doc_id", text.alias("norm")).withColumn("h", hash_of(F.col("norm")))
 
 
-def _clashes(docs: DataFrame, suspects: DataFrame, hash_of) -> DataFrame:
-    """(h, norm, chain) of the hashes that stand for more than one text.
+def _by_hash(big: DataFrame, known: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join with a stored table of hashes and numbers: sent while it is counted small, else
+    every key is spread over several tasks, as a group of copies may hold a third of all rows."""
+    return sized_join(big, known, keys, how, broadcast_rows=BROADCAST_KEYS)
+
+
+def _in_chains(rows: DataFrame, chains: DataFrame, clashing: DataFrame) -> DataFrame:
+    """``rows`` (h, norm) with a hash of ``clashing``, and their ``chain``. Texts are of any
+    length, so that ``chains`` is never sent; only rows with such a hash are shuffled."""
+    return sized_join(_by_hash(rows, clashing, ["h"], "left_semi"), chains, ["h", "norm"], broadcast_rows=-1)
+
+
+def _clashes(texts: DataFrame, suspects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, norm, chain) of the hashes that stand for more than one text, and these hashes.
 
     Grouping by the text compares the bytes of all texts with a shared hash; copies collapse
     within each task, so a large group of copies does not meet anywhere.
     """
-    texts = _texts(docs, hash_of).join(small_side(suspects), "h", "left_semi")
-    per_hash = texts.groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").count()
+    shared = _by_hash(texts, suspects, ["h"], "left_semi")
+    per_hash = shared.groupBy("h", "norm").agg(F.lit(1).alias("one")).groupBy("h").count()
     clashing = stored(per_hash.filter("count > 1").select("h"), "clashes")
-    chained = texts.join(small_side(clashing), "h", "left_semi").select("h", "norm").distinct()
+    chained = _by_hash(texts, clashing, ["h"], "left_semi").select("h", "norm").distinct()
     place = F.row_number().over(Window.partitionBy("h").orderBy("norm")) - 1
-    return stored(chained.withColumn("chain", place), "chains")
+    return stored(chained.withColumn("chain", place), "chains"), clashing
 
 
 class DedupIndex:
@@ -98,18 +111,18 @@ class DedupIndex:
         texts = _texts(docs, hash_of)
         keys = stored(texts.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")), "keys")
         suspects = keys.groupBy("h").count().filter("count > 1").select("h")
-        self.chains = _clashes(docs, stored(suspects, "suspects"), hash_of)
+        self.chains, self.clashing = _clashes(texts, stored(suspects, "suspects"))
         self.clashed = not self.chains.isEmpty()
-        keys = keys.withColumn("chain", F.lit(0))
         if self.clashed:
-            plain = keys.join(self.chains.select("h").distinct(), "h", "left_anti")
             sha = F.sha2("norm", 256).alias("text_sha256")
-            known = texts.join(self.chains, ["h", "norm"]).select("doc_id", "h", sha, "chain")
-            keys = plain.unionByName(known)
+            known = _in_chains(texts, self.chains, self.clashing).select("doc_id", "h", sha, "chain")
+            keys = self.without_clash(keys).unionByName(known)
+        else:
+            keys = keys.withColumn("chain", F.lit(0))
         entries = keys.groupBy("h", "chain", "doc_id").agg(
             F.first("text_sha256").alias("text_sha256"), F.count(F.lit(1)).alias("copies")
         )
-        self.entries = build_index(entries, capacity)
+        self.entries = build_index(stored(entries, "entries"), capacity)
         best = F.max(F.struct("doc_id", "copies")).alias("best")
         groups = self.entries.groupBy("bucket", "h", "chain").agg(best, F.sum("copies").alias("n"))
         self.groups = stored(
@@ -123,6 +136,12 @@ class DedupIndex:
             "groups",
         )
 
+    def without_clash(self, rows: DataFrame) -> DataFrame:
+        """The rows whose hash stands for one text only, as the first of their chain."""
+        marked = self.clashing.withColumn("clash", F.lit(True))
+        clean = _by_hash(rows, marked, ["h"], "left").filter("clash is null").drop("clash")
+        return clean.withColumn("chain", F.lit(0))
+
 
 def duplicates(docs: DataFrame, hash_of=default_hash, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
@@ -132,7 +151,7 @@ def duplicates(docs: DataFrame, hash_of=default_hash, capacity: int = CAPACITY)
     id one stays. Other columns are not looked at. No rows give no rows.
     """
     index = DedupIndex(docs, hash_of, capacity)
-    found = index.entries.join(small_side(index.groups), ["h", "chain"], "left")
+    found = _by_hash(index.entries, index.groups, ["h", "chain"], "left")
     single = F.col("group_size").isNull()
     keep_id = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     # Equal rows with one id form one entry, which is told out again here.
@@ -150,17 +169,20 @@ def kept_documents(docs: DataFrame, hash_of=default_hash, capacity: int = CAPACI
     """The rows of ``docs`` that stay, with all their columns.
 
     Only groups of two and more are looked up; the rows of the rest pass unmoved. Whole rows
-    travel as one struct, so no column name can clash.
+    travel as one struct, so no column name can clash. Null and empty texts are one group, a
+    null id is the smallest, of equal rows one stays, long texts are compared whole; no rows
+    give no rows.
     """
     index = DedupIndex(docs, hash_of, capacity)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row).withColumn("norm", lower_ascii(whole("row.text")))
     rows = rows.withColumn("h", hash_of(F.col("norm")))
     if index.clashed:
-        rows = rows.join(index.chains, ["h", "norm"], "left").fillna({"chain": 0})
+        chained = _in_chains(rows, index.chains, index.clashing)
+        rows = index.without_clash(rows).unionByName(chained)
     else:
         rows = rows.withColumn("chain", F.lit(0))
-    found = rows.join(small_side(index.groups), ["h", "chain"], "left").filter(
+    found = _by_hash(rows, index.groups, ["h", "chain"], "left").filter(
         F.col("group_size").isNull() | F.col("row.doc_id").eqNullSafe(F.col("keep_id"))
     )
     several = F.coalesce(F.col("keep_copies") > 1, F.lit(False))

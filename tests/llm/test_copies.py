@@ -40,14 +40,21 @@ def rows(df):
     return sorted([tuple(r) for r in df.select(*columns).collect()], key=repr)
 
 
+@pytest.fixture(params=[None, -1], ids=["sent", "spread"])
+def either_join(request, monkeypatch):
+    """Joins by hash below and beyond the size up to which a side is sent."""
+    if request.param is not None:
+        monkeypatch.setattr(ed, "BROADCAST_KEYS", request.param)
+
+
 @pytest.mark.parametrize("source", ["odd_docs", "real_docs", "no_docs"])
 @pytest.mark.parametrize("capacity", [ed.CAPACITY, 3])
-def test_duplicates(source, capacity, request, plain):
+def test_duplicates(source, capacity, request, plain, either_join):
     docs = request.getfixturevalue(source)
     assert rows(ed.duplicates(docs, capacity=capacity)) == exact(plain(docs))
 
 
-def test_colliding_hashes_are_told_apart(odd_docs, real_docs, plain):
+def test_colliding_hashes_are_told_apart(odd_docs, real_docs, plain, either_join):
     """With a hash of five values, only the comparison of bytes can separate the texts."""
     weak = lambda t: F.pmod(F.char_length(t), F.lit(5)).cast("long")
     docs = odd_docs.select("doc_id", "text").unionByName(real_docs.select("doc_id", "text"))
@@ -59,7 +66,7 @@ def test_colliding_hashes_are_told_apart(odd_docs, real_docs, plain):
 
 
 @pytest.mark.parametrize("source", ["odd_docs", "real_docs", "no_docs"])
-def test_kept_documents(source, request, plain):
+def test_kept_documents(source, request, plain, either_join):
     docs = request.getfixturevalue(source)
     kept = ed.kept_documents(docs)
     assert kept.columns == docs.columns
