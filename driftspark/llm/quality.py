@@ -31,6 +31,7 @@ SPACES = " \t\n\v\f\r"
 # The line rules. A share of a document's word characters above MOST_LOST rejects it.
 MOST_LOST = 0.5
 MOST_MARKS = 0.3
+OUTER_MARKS = 3
 FRAGMENT_WORDS = 3
 NAVIGATION_WORDS = 8
 # Each boilerplate phrase speaks for so many words of its line; a line with more stays.
@@ -38,14 +39,25 @@ BOILERPLATE_WORDS = 30
 # Those of other scripts: Chinese and Japanese, Indic, Arabic, Armenian, Ethiopic, Burmese, Khmer, Tibetan.
 ENDINGS = tuple(".!?…:;\"'”»)" + "。．｡！？：；」』）】》" + "।॥" + "؟۔؛" + "։՞" + "።፧" + "။" + "។៕" + "།")
 SEPARATORS = re.compile(r" [|>»•·/] ?")
+# Phrases of English, German, French and Spanish pages. Words that prose of the language uses
+# as well (German "Suche", Spanish "inicio") are left to the rule for separators.
 NAVIGATION = re.compile(
     r"\b(home|menu|login|log in|sign in|sign up|register|contact us|about us|site ?map|next|previous"
-    r"|back to top|search|share|read more|skip to content)\b"
+    r"|back to top|search|share|read more|skip to content"
+    r"|startseite|impressum|über uns|weiterlesen|zum inhalt springen|nach oben springen"
+    r"|accueil|plan du site|lire la suite|se connecter|haut de page|aller au contenu|qui sommes-nous"
+    r"|iniciar sesión|mapa del sitio|leer más|volver arriba|ir al contenido|quiénes somos)\b"
 )
 BOILERPLATE = re.compile(
     r"all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|uses cookies"
     r"|enable javascript|javascript is (disabled|required)|subscribe to our newsletter|click here"
     r"|lorem ipsum|powered by|copyright \(c\)|licensed under|permission is hereby granted"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen"
+    r"|verwendet cookies|cookie-(einstellungen|richtlinie)|newsletter abonnieren|javascript aktivieren"
+    r"|tous droits réservés|politique de confidentialité|mentions légales|conditions générales d.utilisation"
+    r"|utilise des cookies|gestion des cookies|abonnez-vous à notre|activer javascript|cliquez ici"
+    r"|todos los derechos reservados|política de (privacidad|cookies)|aviso legal|condiciones de uso"
+    r"|utiliza cookies|suscríbete a nuestr[oa]|suscríbase a nuestr[oa]|habilitar javascript|haga clic aquí"
 )
 
 
@@ -80,6 +92,20 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edges)[:-1] > 0).sum())
 
 
+def is_mark(c: str) -> bool:
+    """Punctuation or a symbol; vowel signs and other combining characters belong to words."""
+    return not c.isalnum() and unicodedata.category(c)[0] in "PS"
+
+
+def ends_short(body: str) -> bool:
+    """A sentence so short that its own quotes and ending make up much of it: No. or "So?"."""
+    marks = list(map(is_mark, body))
+    if all(marks) or not body.endswith(ENDINGS):
+        return False
+    outer = marks.index(False) + marks[::-1].index(False)
+    return outer <= OUTER_MARKS and sum(marks) - outer <= MOST_MARKS * len(body)
+
+
 def line_fault(line: str) -> str | None:
     """Why a line is removed: ``punctuation``, ``navigation``, ``boilerplate``, or None."""
     body = line.strip(SPACES)
@@ -93,9 +119,8 @@ def line_fault(line: str) -> str | None:
         return "navigation"
     if n <= NAVIGATION_WORDS and not body.endswith(ENDINGS) and NAVIGATION.search(low):
         return "navigation"
-    # Vowel signs and other combining characters belong to words.
     marks = sum(not c.isalnum() and unicodedata.category(c)[0] in "PS" for c in body)
-    if marks > MOST_MARKS * len(body):
+    if marks > MOST_MARKS * len(body) and not ends_short(body):
         return "punctuation"
     if n < FRAGMENT_WORDS and not body.endswith(ENDINGS):
         return "punctuation"
