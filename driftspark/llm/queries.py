@@ -28,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_DAY = "2024-01-01"
 DAYS = 366
+# The longest name that the domain name system allows.
+LONGEST_NAME = 253
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +81,9 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dated list of hosts and domains that the pages themselves name: each is added and
     removed every few weeks, at days that follow from its length and first letters."""
-    names = captures(spark, sf_dir).select(F.explode(url_filters.domains(url_filters.url_host(F.col("url")))).alias("entry"))
-    named = names.distinct().filter("length(entry) - length(replace(entry, '.', '')) > 0")
+    host = url_filters.url_host(F.col("url"))
+    names = F.explode(url_filters.domains_up_to(host, LONGEST_NAME)).alias("entry")
+    named = captures(spark, sf_dir).select(names).distinct().filter("length(entry) - length(replace(entry, '.', '')) > 0")
     step = F.char_length("entry") * 3 + 10
     times = F.sequence(F.lit(0), F.floor(F.lit(DAYS) / step).cast("int"))
     each = named.withColumn("nth", F.explode(times)).withColumn("shift", F.ascii("entry") % 40)

@@ -11,6 +11,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftspark.llm.common import stored
+from driftspark.operators.joins import sized_join
+
+# The list is broadcast up to so many rows and bytes of names.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
+
 
 def url_host(url: Column) -> Column:
     """The host in lower case, without user, port and final dot; '' where there is none."""
@@ -33,6 +40,12 @@ def domains(host: Column) -> Column:
     return F.when(host != "", above).otherwise(F.array().cast("array<string>"))
 
 
+def domains_up_to(host: Column, longest: int) -> Column:
+    """The ``domains`` of at most ``longest`` characters, whatever the length of the host."""
+    # The end with one character more holds all of them, and at most one more, cut or whole.
+    return F.filter(domains(F.right(host, F.lit(longest + 1))), lambda d: F.char_length(d) <= longest)
+
+
 def validity_intervals(log: DataFrame) -> DataFrame:
     """(entry, category, valid_from, valid_to) from (entry, category, day, added).
 
@@ -57,14 +70,20 @@ def _month(day: Column) -> Column:
     return (F.year(day) * 12 + F.month(day)).cast("int")
 
 
-def filter_captures(captures: DataFrame, log: DataFrame) -> DataFrame:
+def filter_captures(captures: DataFrame, log: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per capture (page_id, url, fetched): page_id, host, fetched, n_active,
-    blocked, and the entry and category that decide: the most specific active one.
-
-    Intervals are cut into months, so that the join is on (domain, month) and neither a hot
-    host nor an entry with a long history meets in one place. Hosts are looked up once per
-    day, not once per page. A capture without host or fetch day is active on no list; equal
-    rows each give a row; no rows give no rows; an empty list blocks nothing.
+    blocked, and the entry and category that decide: the most specific active one, of several
+    categories the first (null first).
+
+    Intervals are cut into months, so that the join is on (domain, month) and an entry with a
+    long history does not meet in one place. Hosts are looked up once per day, not once per
+    page, and only by names no longer than the longest entry, so that a very long url costs no
+    more than its own length. A list counted small is broadcast, so that no name is shuffled;
+    beyond that each (domain, month) is spread over several tasks.
+
+    A capture without host or fetch day is active on no list; equal rows each give a row; no
+    rows give no rows; an empty list blocks nothing. Other columns, of whatever name, are
+    ignored in both tables.
     """
     pages = captures.select("page_id", url_host(F.col("url")).alias("host"), "fetched")
     visits = pages.filter("host <> '' and fetched is not null").select("host", "fetched").distinct()
@@ -73,13 +92,17 @@ def filter_captures(captures: DataFrame, log: DataFrame) -> DataFrame:
     to = F.coalesce("valid_to", F.date_add(F.lit(last), 1))
     # The filter on the interval may be moved behind this, so the end never precedes the start.
     months = F.sequence(_month(F.col("valid_from")), F.greatest(_month(F.col("valid_from")), _month(to)))
-    cut = validity_intervals(log).filter(F.col("valid_from") < to).select(
+    intervals = validity_intervals(log).filter(F.col("valid_from") < to).select(
         "entry", "category", "valid_from", to.alias("valid_to"), F.explode(months).alias("month")
     )
-    asked = visits.withColumn("entry", F.explode(domains(F.col("host")))).withColumn(
+    cut = stored(intervals, "intervals")
+    size = F.sum(F.octet_length("entry") + F.coalesce(F.octet_length("category"), F.lit(0)))
+    rows, held, longest = cut.agg(F.count(F.lit(1)), size, F.max(F.char_length("entry"))).first()
+    asked = visits.withColumn("entry", F.explode(domains_up_to(F.col("host"), longest or 0))).withColumn(
         "month", _month(F.col("fetched"))
     )
-    active = asked.join(cut, ["entry", "month"]).filter(
+    most = broadcast_rows if (held or 0) <= BROADCAST_BYTES else -1
+    active = sized_join(asked, cut, ["entry", "month"], broadcast_rows=most, rows=rows).filter(
         (F.col("fetched") >= F.col("valid_from")) & (F.col("fetched") < F.col("valid_to"))
     )
     decided = active.groupBy("host", "fetched").agg(

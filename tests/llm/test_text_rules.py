@@ -59,6 +59,20 @@ def test_repeated_windows():
         ("© 2024 Example. All rights reserved.", "boilerplate"),
         ("This site uses cookies to work.", "boilerplate"),
         ("*** ### $$$", "punctuation"),
+        ("No.", None),
+        ("So?", None),
+        ("« Oui ! »", None),
+        ("¿Qué?", None),
+        ("?!", "punctuation"),
+        ("a $$$ b )", "punctuation"),
+        ("Alle Rechte vorbehalten.", "boilerplate"),
+        ("Tous droits réservés.", "boilerplate"),
+        ("Todos los derechos reservados. Política de privacidad.", "boilerplate"),
+        ("Startseite | Kontakt | Impressum", "navigation"),
+        ("Accueil | Qui sommes-nous", "navigation"),
+        ("Iniciar sesión", "navigation"),
+        ("Die Suche nach dem verlorenen Schlüssel", None),
+        ("Al inicio de la historia nadie lo sabía", None),
         ("page", "punctuation"),
         ("Yes.", None),
     ],
@@ -190,7 +204,8 @@ def active_on(log, entry, day):
     return out
 
 
-def test_captures_as_of_their_day(spark):
+@pytest.mark.parametrize("broadcast_rows", [uf.BROADCAST_ROWS, 0])
+def test_captures_as_of_their_day(spark, broadcast_rows):
     rng = np.random.default_rng(3)
     start = date(2024, 1, 1)
     day = lambda n: start + timedelta(int(n))
@@ -202,6 +217,7 @@ def test_captures_as_of_their_day(spark):
     got = uf.filter_captures(
         spark.createDataFrame(pages, "page_id long, url string, fetched date"),
         spark.createDataFrame(log, "entry string, category string, day date, added boolean"),
+        broadcast_rows,
     ).collect()
     assert len(got) == len(pages)
     for r in got:
@@ -215,3 +231,15 @@ def test_no_pages_and_no_list(spark, docs_dir):
     pages, log = queries.captures(spark, docs_dir), queries.list_log(spark, docs_dir)
     assert uf.filter_captures(pages.limit(0), log).collect() == []
     assert {r.blocked for r in uf.filter_captures(pages, log.limit(0)).collect()} == {False}
+
+
+def test_very_long_urls_and_other_columns(spark):
+    day = date(2024, 1, 5)
+    deep = "a." * 200_000 + "bad.org"
+    pages = [(1, f"https://{deep}/", day, "x", 9), (2, "https://bad.org/" + "p" * 1_000_000, day, "y", 9)]
+    pages += [(3, "https://abad.org", day, "z", 9), (None, "https://bad.org", day, "z", 9)]
+    captures = spark.createDataFrame(pages, "page_id long, url string, fetched date, entry string, month int")
+    log = spark.createDataFrame([("bad.org", None, day, True, "h")], "entry string, category string, day date, added boolean, host string")
+    got = {r.page_id: (r.n_active, r.blocked, r.entry, r.category) for r in uf.filter_captures(captures, log).collect()}
+    hit = (1, True, "bad.org", None)
+    assert got == {1: hit, 2: hit, 3: (0, False, None, None), None: hit}
