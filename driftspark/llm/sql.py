@@ -7,8 +7,10 @@ pipeline, which SQL cannot express; and disclosure over regular expressions with
 
 from __future__ import annotations
 
+from driftspark.llm import quality as ql
 from driftspark.llm.common import LOWER, UPPER, WORD
 from driftspark.llm.mixing import KEY_BITS, MAX_EPOCHS, SEED, WEIGHTS
+from driftspark.llm.queries import DAYS, FIRST_DAY, LONGEST_NAME
 
 WEIGHT = f"([{', '.join(map(str, WEIGHTS))}])[(i % {len(WEIGHTS)}) + 1]"
 
@@ -197,10 +199,166 @@ LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = 1
 """
 
 
+# Every kind: its expression, the group that is its value, and the least length of that value.
+SECRET_KINDS = [
+    (
+        "assign",
+        r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+        r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        2,
+        12,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+]
+
+
+def _secrets() -> str:
+    """Where matches lie: what stands between them and they themselves, added up."""
+    cut = """SELECT row, {place} AS place, '{kind}' AS kind, {least} AS least,
+         unnest(string_split_regex(text, '{pattern}')[:-2]) AS gap,
+         unnest(regexp_extract_all(text, '{pattern}')) AS hit,
+         unnest(regexp_extract_all(text, '{pattern}', {group})) AS value,
+         generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS nth
+  FROM texts WHERE regexp_matches(text, '{pattern}')"""
+    cuts = "\n  UNION ALL\n  ".join(
+        cut.format(place=i, kind=k, least=n, pattern=p, group=g) for i, (k, p, g, n) in enumerate(SECRET_KINDS)
+    )
+    base = [k for k, *_ in SECRET_KINDS[:3]]
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    totals = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), cuts AS (
+  {cuts}
+), placed AS (
+  SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, place ORDER BY nth) AS until FROM cuts
+), found AS (
+  SELECT row, place, kind, until - length(hit) AS start, concat_ws(':', kind, until - length(hit), until) AS span
+  FROM placed WHERE length(value) >= least
+), per_row AS (
+  SELECT row, {counts}, string_agg(span, ',' ORDER BY start, place) FILTER (place < {len(base)}) AS base,
+         string_agg(span, ',' ORDER BY start, place) AS spans
+  FROM found GROUP BY row
+)
+SELECT doc_id, {totals}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per_row USING (row)
+"""
+
+
+def _any_of(signs: str) -> str:
+    return "[" + "".join("\\" + c if ord(c) < 128 else c for c in signs).replace("'", "''") + "]"
+
+
+SPACE = r"[\x20\x09-\x0D]"
+# What Python's split() leaves together.
+UNBROKEN = r"[^\x09-\x0D\x1C-\x1F\x{85}\p{Z}]+"
+QUALITY = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT row, regexp_extract_all(text, '{WORD}') AS w FROM texts)
+), windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, a) AS often FROM (
+    SELECT row, i, [word, {", ".join(f"lead(word, {k}) OVER near" for k in range(1, ql.WINDOW))}] AS a,
+           lead(i, {ql.WINDOW - 1}) OVER near AS final
+    FROM words WINDOW near AS (PARTITION BY row ORDER BY i)
+  ) WHERE final IS NOT NULL
+), repeated AS (
+  SELECT row, count(*) FILTER (hit) AS n_repeat_words FROM (
+    SELECT w.row, coalesce(bool_or(often > 1) OVER (PARTITION BY w.row ORDER BY w.i
+             ROWS BETWEEN {ql.WINDOW - 1} PRECEDING AND CURRENT ROW), false) AS hit
+    FROM words w LEFT JOIN windows USING (row, i)
+  ) GROUP BY row
+), lines AS (
+  SELECT row, line, regexp_replace(regexp_replace(line, '^{SPACE}+', ''), '{SPACE}+$', '') AS body
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '{WORD}')
+), seen AS (
+  SELECT *, lower(body) AS low, len(regexp_extract_all(body, '{UNBROKEN}')) AS n,
+         len(regexp_extract_all(lower(body), '{ql.BOILERPLATE.pattern}')) AS phrases,
+         len(regexp_extract_all(body, '{ql.SEPARATORS.pattern}')) + 1 AS parts,
+         regexp_matches(body, '{_any_of("".join(ql.ENDINGS))}$') AS ended,
+         len(regexp_extract_all(body, '[\\p{{P}}\\p{{S}}]')) AS marks,
+         length(regexp_extract(body, '^[\\p{{P}}\\p{{S}}]*')) + length(regexp_extract(body, '[\\p{{P}}\\p{{S}}]*$')) AS outer_marks,
+         length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars
+  FROM lines
+), judged AS (
+  SELECT *, coalesce(
+      (phrases > 0 AND n <= {ql.BOILERPLATE_WORDS} * phrases) OR (parts > 3 AND n <= 4 * parts)
+      OR (n <= {ql.NAVIGATION_WORDS} AND NOT ended
+          AND regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}_])({ql.NAVIGATION.pattern[3:-3]})([^\\p{{L}}\\p{{N}}_]|$)'))
+      OR (marks > {ql.MOST_MARKS}::DOUBLE * length(body) AND NOT (ended AND marks < length(body)
+          AND outer_marks <= {ql.OUTER_MARKS} AND marks - outer_marks <= {ql.MOST_MARKS}::DOUBLE * length(body)))
+      OR (n < {ql.FRAGMENT_WORDS} AND NOT ended), false) AS fails
+  FROM seen
+), per_text AS (
+  SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (fails) AS lines_removed,
+         coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS chars_removed
+  FROM judged GROUP BY row
+), counted AS (
+  SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS n_words,
+         length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars,
+         len(regexp_extract_all(text, '{_any_of(ql.SYMBOLS)}')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lines_removed, 0) AS lines_removed, coalesce(chars_removed, 0) AS chars_removed
+  FROM texts LEFT JOIN repeated USING (row) LEFT JOIN per_text USING (row)
+), verdicts AS (
+  SELECT *, n_words < {ql.LEAST_WORDS} OR 100 * n_repeat_words > {ql.MOST_REPEATED_PERCENT} * n_words AS base_failed
+  FROM counted
+)
+SELECT *, NOT base_failed AND chars_removed <= {ql.MOST_LOST}::DOUBLE * word_chars AS kept FROM verdicts
+"""
+
+URL_FILTERS = f"""
+WITH pages_at AS (
+  SELECT page_id, (DATE '{FIRST_DAY}' + ((page_id * 37 % {DAYS} + {DAYS}) % {DAYS})::INT)::DATE AS fetched,
+         lower(regexp_replace(regexp_replace(regexp_replace(
+           regexp_extract(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\\\]*)', 1),
+           '^.*@', ''), ':[0-9]*$', ''), '\\.$', '')) AS host
+  FROM pages
+), visits AS (
+  SELECT DISTINCT host, fetched FROM pages_at WHERE host <> '' AND fetched IS NOT NULL
+), named AS (
+  SELECT DISTINCT host, array_to_string(labels[i:], '.') AS entry
+  FROM (SELECT host, labels, unnest(range(1, len(labels) + 1)) AS i
+        FROM (SELECT DISTINCT host, string_split(host, '.') AS labels FROM visits))
+), listed AS (
+  SELECT entry, length(entry) * 3 + 10 AS step, ascii(entry) % 40 AS shift,
+         CASE WHEN length(entry) % 2 = 0 THEN 'adult' ELSE 'malware' END AS category
+  FROM (SELECT DISTINCT entry FROM named)
+  WHERE contains(entry, '.') AND length(entry) <= {LONGEST_NAME} AND length(entry) % 3 > 0
+), log AS (
+  SELECT entry, category, (DATE '{FIRST_DAY}' + (nth * step + shift)::INT)::DATE AS day, nth % 2 = 0 AS added
+  FROM (SELECT *, unnest(range(0, {DAYS} // step + 1)) AS nth FROM listed)
+), changes AS (
+  SELECT *, lead(day) OVER (PARTITION BY entry, category ORDER BY day) AS until
+  FROM (SELECT entry, category, day, min(added) AS added FROM log GROUP BY ALL)
+), active AS (
+  SELECT host, fetched, count(*) AS n_active,
+         min({{'nearest': -length(entry), 'category': category, 'entry': entry}}) AS top
+  FROM visits JOIN named USING (host) JOIN changes USING (entry)
+  WHERE added AND fetched >= day AND (until IS NULL OR fetched < until)
+  GROUP BY host, fetched
+)
+SELECT page_id, host, fetched, coalesce(n_active, 0) AS n_active, n_active IS NOT NULL AS blocked,
+       top.entry AS entry, top.category AS category
+FROM pages_at LEFT JOIN active USING (host, fetched)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": MIXING,
+        "op2_secrets": _secrets(),
         "op3_exact_dedup": EXACT_DEDUP,
+        "op7_quality": QUALITY,
+        "op9_url_filters": URL_FILTERS,
         "op12_manifest": MANIFEST,
         "op13_conversation_repair": REPAIR,
     }
