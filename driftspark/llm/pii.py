@@ -157,10 +157,31 @@ def _sent(table: DataFrame, *names: str, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(table) if size <= limit else table
 
 
+def _judged(
+    rows: DataFrame, n: int, generalise_at: float, least_documents: int, limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Stored (entity, n_e, most) of the entities that a term can give away, and ``rows`` with
+    these only.
+
+    As n(e,t) <= n(e), only a term with n(t) <= ``most`` = N^(1-g) n(e)^g can have a share of g.
+    An entity of fewer than ``least_documents`` texts has no pair that counts, so that a text
+    with very many addresses of its own is not paired with its words.
+    """
+    each = rows.select("h", F.explode("entities").alias("entity"))
+    # An entity counts where it is mentioned, also if no term stands beside it.
+    n_e = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    most = F.pow(F.lit(float(n)), 1 - generalise_at) * F.pow("n_e", F.lit(generalise_at)) * (1 + 1e-9)
+    n_e = n_e.filter(F.col("n_e") >= least_documents)
+    n_e = stored((n_e.filter(F.col("n_e") < n) if generalise_at > 0 else n_e).withColumn("most", most), "entities")
+    own = each.join(_sent(n_e, "entity", limit=limit), "entity").groupBy("h").agg(F.collect_list("entity").alias("entities"))
+    return n_e, stored(rows.select("h", "text").join(own, "h"), "pii-judged")
+
+
 def _telling(
     texts: DataFrame,
     copies: DataFrame,
     rows: DataFrame,
+    n_e: DataFrame,
     n: int,
     generalise_at: float,
     least_documents: int,
@@ -168,15 +189,10 @@ def _telling(
 ) -> DataFrame:
     """Stored (entity, term, disclosure) of the pairs that are generalised or removed.
 
-    ``rows`` are the different texts with a mention: text (covered) and the distinct entities;
-    ``n`` counts the different ones of ``texts``. As n(e,t) <= n(e), only a term with n(t) <= N^(1-g) n(e)^g can have a share of g, so that
-    common words are not paired; and no pair has more documents than its entity and its term.
+    ``n_e`` and ``rows`` are those of ``_judged``; ``n`` counts the different ones of ``texts``.
+    Words too common for any entity are not paired; and no pair has more documents than its
+    entity and its term.
     """
-    # An entity counts where it is mentioned, also if no term stands beside it.
-    n_e = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    most = F.pow(F.lit(float(n)), 1 - generalise_at) * F.pow("n_e", F.lit(generalise_at)) * (1 + 1e-9)
-    n_e = n_e.filter(F.col("n_e") >= least_documents)
-    n_e = stored((n_e.filter(F.col("n_e") < n) if generalise_at > 0 else n_e).withColumn("most", most), "entities")
     most_texts = n_e.agg(F.max("most")).first()[0] or 0.0
     asked = rows.select(F.explode(_free_terms()).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
     asked = asked.filter(F.col("seen").between(least_documents, most_texts)).select("term")
@@ -270,7 +286,8 @@ def sanitise(
     copies = base.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     copies = stored(copies, "pii-copies")
     different = base.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
-    telling = _telling(texts, copies, rows, different, generalise_at, least_documents, broadcast_bytes)
+    n_e, rows = _judged(rows, different, generalise_at, least_documents, broadcast_bytes)
+    telling = _telling(texts, copies, rows, n_e, different, generalise_at, least_documents, broadcast_bytes)
 
     terms = stored(telling.select("term").distinct(), "telling-terms")
     marked = (

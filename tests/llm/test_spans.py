@@ -297,3 +297,16 @@ def test_each_further_format(spark, kind):
     for r in found:
         text, wanted = FORMATS[kind][r.doc_id]
         assert [tuple(s) for s in r[kind]] == ([(2, 2 + len(text), text)] if wanted else [])
+
+
+def test_addresses_of_one_text_are_not_paired(spark, monkeypatch):
+    """A log of addresses that no other text has: only the shared one is held against words."""
+    log = " ".join(f"u{i}@log.example.org visitor{chr(97 + i % 26) * 3}" for i in range(3000))
+    rows = [(i, f"mail kim@shared.example.com about the zeppelin {'xyzw'[i] * 5}") for i in range(3)]
+    rows += [(3, log + " kim@shared.example.com"), *[(i, f"plain words of text number{i}") for i in range(4, 60)]]
+    seen, stored = {}, pii.stored
+    monkeypatch.setattr(pii, "stored", lambda df, name: seen.setdefault(name, stored(df, name)))
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(e.entities) for e in seen["pii-judged"].collect()] == [1] * 4
+    assert len(got[3].email) == 3001 and not got[3].remove
+    assert {s.value for s in got[0].generalise + got[0].remove} >= {"zeppelin"}
