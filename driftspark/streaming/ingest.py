@@ -28,15 +28,17 @@ def _first_of_key(
 ) -> Iterator[pd.DataFrame]:
     """The earliest of a key's accepted uploads, unless one came in an earlier batch, and all
     others that are not accepted."""
-    best = None
+    known, best = state.exists, None
     for rows in uploads:
-        refused = rows[~rows["accepted"]]
-        if len(refused):
-            yield refused[NAMES]
-        taken = rows[rows["accepted"]]
-        if len(taken) and not state.exists:
-            both = taken if best is None else pd.concat([best, taken])
-            best = both.sort_values(["modificationTime", "path"]).head(1)
+        accepted = rows["accepted"].to_numpy(bool)
+        if not accepted.all():
+            yield rows.loc[~accepted, NAMES]
+            rows = rows.loc[accepted]
+        if known or not len(rows):
+            continue
+        # Most keys come once: a single row is neither joined nor sorted.
+        rows = rows if best is None else pd.concat([best, rows])
+        best = rows if len(rows) == 1 else rows.sort_values(["modificationTime", "path"]).head(1)
     if best is not None:
         state.update((True,))
         yield best[NAMES]
