@@ -537,14 +537,16 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             "path": F.regexp_replace("path", "/landing/", "/landing/again/"),
         }
     )
-    # Two files, the later uploads in the second: one micro-batch each.
+    # The later uploads come in files written later, as many: one micro-batch each.
     for part in (uploads, again):
-        part.coalesce(1).write.mode("append").parquet(root)
+        part.write.mode("append").parquet(root)
+    half = max(1, len(spark.read.parquet(root).inputFiles()) // 2)
     store = DriftStore(spark, f"{root}-store", tables.PROJECT)
-    files = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", "1").parquet(root)
+    files = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", str(half)).parquet(root)
     query = (
         first_uploads(files)
-        .writeStream.option("checkpointLocation", store.checkpoint("uploads"))
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", store.checkpoint("uploads"))
         .trigger(availableNow=True)
         .foreachBatch(
             lambda df, batch: store.write(selection.valid_uploads(df), "bundles", batch)

@@ -2,59 +2,44 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftspark.operators import selection
 from driftspark.sources import landing
 from driftspark.sources.store import DriftStore
 
 POLL = "10 seconds"
-UPLOAD = "sensor_id string, timestamp string, file_type string, path string, modificationTime timestamp, length bigint"
-NAMES = [f.split()[0] for f in UPLOAD.split(", ")]
-
-# Worker functions travel with the job, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _first_of_key(
-    key: tuple, uploads: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """The earliest of a key's accepted uploads, unless one came in an earlier batch, and all
-    others that are not accepted."""
-    known, best = state.exists, None
-    for rows in uploads:
-        accepted = rows["accepted"].to_numpy(bool)
-        if not accepted.all():
-            yield rows.loc[~accepted, NAMES]
-            rows = rows.loc[accepted]
-        if known or not len(rows):
-            continue
-        # Most keys come once: a single row is neither joined nor sorted.
-        rows = rows if best is None else pd.concat([best, rows])
-        best = rows if len(rows) == 1 else rows.sort_values(["modificationTime", "path"]).head(1)
-    if best is not None:
-        state.update((True,))
-        yield best[NAMES]
+NAMES = ["sensor_id", "timestamp", "file_type", "path", "modificationTime", "length"]
 
 
 def first_uploads(files: DataFrame) -> DataFrame:
-    """A stream of names, each (sensor, timestamp, file type) once: the first upload wins.
-
-    What was seen is kept in the stream's state store, a key a row, so that a batch looks up
-    its own keys only and no catalog is read again. The state belongs to the checkpoint: a
-    replayed batch finds it as it was before.
+    """A stream of names, to be written in update mode: of the accepted uploads each (sensor,
+    timestamp, file type) once, the first one, and all others that are not accepted.
+
+    The earliest upload of the batch a key came in first wins. What was seen is kept in the
+    stream's state store, a key a row, so that a batch looks up its own keys only and no catalog
+    is read again. A key is new as long as only one batch had it: batches are told apart by
+    their time, which Spark logs with them, so that a replayed one finds the same. The state
+    belongs to the checkpoint.
     """
-    marked = files.select(*NAMES, selection.is_accepted(files).alias("accepted"))
-    return marked.groupBy(*selection.BUNDLE_KEYS).applyInPandasWithState(
-        _first_of_key, UPLOAD, "seen boolean", "append", GroupStateTimeout.NoTimeout
+    listed = files.select(*NAMES)
+    batch = listed.withColumn("batch", F.current_timestamp())
+    missing = lambda c: F.col(c).isNull().alias(f"no_{c}")
+    # Uploads without a time or a path come last.
+    order = [missing("modificationTime"), "modificationTime", missing("path"), "path", "length"]
+    firsts = (
+        selection.valid_uploads(batch)
+        .groupBy(*selection.BUNDLE_KEYS)
+        .agg(
+            F.min(F.struct(*order)).alias("first"),
+            F.min("batch").alias("since"),
+            F.max("batch").alias("until"),
+        )
+        .filter("since = until")
+        .select(*selection.BUNDLE_KEYS, "first.*")
     )
+    return firsts.select(*NAMES).unionByName(selection.rejected_uploads(listed))
 
 
 def ingest_batch(store: DriftStore, listed: DataFrame, batch_id: int) -> None:
@@ -95,6 +80,7 @@ def start_ingest(
     return (
         first_uploads(files)
         .writeStream.queryName("ingest")
+        .outputMode("update")
         .option("checkpointLocation", store.checkpoint("ingest"))
         .trigger(**trigger)
         .foreachBatch(lambda df, batch_id: ingest_batch(store, df, batch_id))
