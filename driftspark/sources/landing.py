@@ -6,6 +6,7 @@ import io
 import re
 import sys
 import tarfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,6 +27,17 @@ FILES_PER_TRIGGER = 10_000
 CHUNK_BYTES = 32 << 20
 CHUNK_ROWS = 5_000
 MEMBER_BYTES = 1 << 30
+# Archives that are no longer when unpacked are read in one piece.
+SMALL_BYTES = 4 << 20
+TAR_BLOCK = 512
+TAR_END = bytes(TAR_BLOCK)
+# A plain file's header after its name: numbers, of which the size and the checksum are taken, the
+# type, the link, the format, owners, devices and no further name.
+PLAIN_FILE = re.compile(
+    rb"(?:[0-7]{7}\0){3}([0-7]{11})\0[0-7]{11}\0([0-7]{6})\0 0.{100}ustar(?:\x0000|  \0).{64}"
+    rb"(?:\0{8}|[0-7]{7}\0){2}\0",
+    re.DOTALL,
+)
 # What Spark's file source reads as one value.
 BUNDLE_BYTES = 2**31 - 16
 # Spark would skip files a week older than the newest one; an upload of any age counts.
@@ -110,13 +122,43 @@ def read_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
     return with_bundle_keys(spark.read.format("binaryFile").load(plain))
 
 
+def _plain_members(content: bytes, keep: bool) -> list[tuple[str, bytes | None]] | None:
+    """What ``_archive_members`` gives for a small archive of nothing but plain files; None for any
+    other, and for a broken one."""
+    try:
+        unzip = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        raw = unzip.decompress(content, SMALL_BYTES)
+        if not unzip.eof:
+            return None
+        found: dict[str, tuple[int, int]] = {}
+        at = 0
+        while (header := raw[at : at + TAR_BLOCK]) != TAR_END:
+            plain = PLAIN_FILE.match(header, 100)
+            if plain is None or int(plain[2], 8) != sum(header) - sum(header[148:156]) + 8 * 0x20:
+                return None
+            name = header[:100].partition(b"\0")[0].decode().removeprefix("./")
+            start = at + TAR_BLOCK
+            end = start + int(plain[1], 8)
+            found.pop(name, None)  # the last one counts, at its own place
+            found[name] = start, end
+            at = end + -end % TAR_BLOCK
+        return [(name, raw[start:end] if keep else None) for name, (start, end) in found.items()]
+    except (TypeError, ValueError, zlib.error):
+        return None
+
+
 def _archive_members(content: bytes, keep: bool) -> Iterator[tuple[str, bytes | None]]:
     """Regular files of a tar.gz by name without a leading './', with their bytes if they are
     to be kept; of equal names the last one, as unpacking would leave it.
 
-    The archive is read as a stream, one member at a time. A first pass over the headers
-    finds whatever is wrong with it before anything is given out.
+    Most archives are small and plain and read in one piece. Any other is read as a stream, one
+    member at a time. A first pass over the headers finds whatever is wrong with it before
+    anything is given out.
     """
+    plain = _plain_members(content, keep)
+    if plain is not None:
+        yield from plain
+        return
     last: dict[str, int] = {}
     with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
         for n, m in enumerate(tar):
@@ -133,14 +175,26 @@ def _archive_members(content: bytes, keep: bool) -> Iterator[tuple[str, bytes |
                 yield name, tar.extractfile(m).read() if keep else None
 
 
+def _member_rows(
+    keys: list[pa.Array], rows: list[tuple[int, str | None, bytes | None, str | None]], schema: pa.Schema
+) -> pa.RecordBatch:
+    """Members as (place of their bundle, name, bytes, error), beside the columns of their bundles."""
+    places, *columns = zip(*rows)
+    own = [k.take(pa.array(places, pa.int32())) for k in keys]
+    found = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(keys) :])]
+    return pa.RecordBatch.from_arrays([*own, *found], schema=schema)
+
+
 def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
-    size = 0
     for batch in batches:
-        for row in batch.to_pylist():
-            content = row.pop("content")
+        *keys, contents = batch.columns
+        keys = [k.cast(f.type) for k, f in zip(keys, schema)]
+        kinds = batch.column("file_type").to_pylist()
+        rows: list[tuple[int, str | None, bytes | None, str | None]] = []
+        size = 0
+        for place, (kind, content) in enumerate(zip(kinds, contents)):
             # Sample images are listed, not stored.
-            members = _archive_members(content, keep=row["file_type"] == "stats")
+            members = _archive_members(content.as_py(), keep=kind == "stats")
             while True:
                 try:
                     member, payload = next(members)
@@ -148,15 +202,15 @@ def _unpack(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
                     break
                 except Exception as broken:  # whatever is wrong with a bundle harms only itself
                     reason = f"{type(broken).__name__}: {broken}"
-                    rows.append({**row, "error": reason.encode(errors="replace").decode()})
+                    rows.append((place, None, None, reason.encode(errors="replace").decode()))
                     break
-                rows.append({**row, "member": member, "payload": payload})
+                rows.append((place, member, payload, None))
                 size += len(payload or b"")
                 if size > CHUNK_BYTES or len(rows) >= CHUNK_ROWS:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield _member_rows(keys, rows, schema)
                     rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        if rows:
+            yield _member_rows(keys, rows, schema)
 
 
 def expand_bundles(bundles: DataFrame) -> DataFrame:

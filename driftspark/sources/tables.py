@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import sys
 import tarfile
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -203,16 +205,28 @@ def sample_documents(flat: DataFrame) -> DataFrame:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each sensor snapshot's sketches as the tar.gz bundle it would upload."""
+
+    @lru_cache(maxsize=10_000)
+    def header(name: str, size: int) -> bytes:
+        info = tarfile.TarInfo(name)
+        info.size = size
+        return info.tobuf()
+
+    def archive(members: list[tuple[str, bytes]]) -> bytes:
+        parts = []
+        for name, content in members:
+            parts += [header(name, len(content)), content, bytes(-len(content) % tarfile.BLOCKSIZE)]
+        parts.append(bytes(2 * tarfile.BLOCKSIZE))
+        parts.append(bytes(-sum(map(len, parts)) % tarfile.RECORDSIZE))
+        zipped = zlib.compressobj(1, zlib.DEFLATED, 16 + zlib.MAX_WBITS)
+        return zipped.compress(b"".join(parts)) + zipped.flush()
+
     for batch in batches:
-        contents = []
-        for members in batch.column("members").to_pylist():
-            buffer = io.BytesIO()
-            with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
-                for m in members:
-                    info = tarfile.TarInfo(f"customstats/{m['metric']}_{m['submetric']}.bin")
-                    info.size = len(m["sketch"])
-                    tar.addfile(info, io.BytesIO(m["sketch"]))
-            contents.append(buffer.getvalue())
+        members = batch.column("members")
+        each = members.flatten()
+        named = zip(*(each.field(n).to_pylist() for n in ("metric", "submetric", "sketch")))
+        files = ((f"customstats/{metric}_{sub}.bin", sketch) for metric, sub, sketch in named)
+        contents = [archive(list(islice(files, n))) for n in members.value_lengths().to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:4], pa.array(contents, pa.binary())],
             ["sensor_id", "timestamp", "file_type", "path", "content"],
@@ -227,7 +241,8 @@ def packed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
         observations(spark, sf_dir, spread_out=True), [*keys, "metric", "submetric"]
     )
     # Packing costs far more than its few bytes suggest, so partitions are not coalesced.
-    spread = sketches.repartition(spark.sparkContext.defaultParallelism, *keys)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = sketches.repartition(max(least, spark.sparkContext.defaultParallelism), *keys)
     bundles = spread.groupBy(*keys).agg(
         F.collect_list(F.struct("metric", "submetric", "sketch")).alias("members")
     )
