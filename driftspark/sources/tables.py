@@ -18,6 +18,8 @@ from driftspark.operators.histograms import build_sketches
 
 PROJECT = "demo"
 REFERENCE_UNTIL = "1998-01-01"
+# Tasks that the rows of one baseline snapshot are dealt to.
+DEALT = 32
 MEASURES = ("quantity", "extendedprice", "discount", "tax")
 FAMILY = {"view": "imgstats", "click": "modelstats", "purchase": "samples", "signup": "customstats"}
 
@@ -75,7 +77,12 @@ def observations(spark: SparkSession, sf_dir: str, spread_out: bool = False) ->
     ``spread_out`` suits work that costs much more per row than the scan, as building
     sketches does.
     """
-    return shipments(spark, sf_dir, spread_out).unpivot(
+    return measured(shipments(spark, sf_dir, spread_out))
+
+
+def measured(shipped: DataFrame) -> DataFrame:
+    """One row per measure of each shipment."""
+    return shipped.unpivot(
         ["project_id", "sensor_id", "submetric", "ts", "timestamp", "is_reference"],
         list(MEASURES),
         "metric",
@@ -218,7 +225,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts += [header(name, len(content)), content, bytes(-len(content) % tarfile.BLOCKSIZE)]
         parts.append(bytes(2 * tarfile.BLOCKSIZE))
         parts.append(bytes(-sum(map(len, parts)) % tarfile.RECORDSIZE))
-        zipped = zlib.compressobj(1, zlib.DEFLATED, 16 + zlib.MAX_WBITS)
+        # Little memory, as setting it up takes longer than a short archive does.
+        zipped = zlib.compressobj(1, zlib.DEFLATED, 16 + zlib.MAX_WBITS, 5)
         return zipped.compress(b"".join(parts)) + zipped.flush()
 
     for batch in batches:
@@ -237,12 +245,14 @@ def packed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem sketches per supplier and month, packed as uploads. A bundle holds one
     sketch per measure and return flag, however many rows went into it."""
     keys = ["sensor_id", "timestamp"]
-    sketches = build_sketches(
-        observations(spark, sf_dir, spread_out=True), [*keys, "metric", "submetric"]
-    )
+    # A snapshot's rows meet before they are sketched, so that few sketches are merged; those of
+    # the baseline, which has a large share of all, are dealt by their time as well.
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = F.when(F.col("is_reference"), F.pmod(F.xxhash64("ts", *MEASURES), F.lit(DEALT)))
+    met = shipments(spark, sf_dir).repartition(least, *keys, dealt)
+    sketches = build_sketches(measured(met), [*keys, "metric", "submetric"])
     # Packing costs far more than its few bytes suggest, so partitions are not coalesced.
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = sketches.repartition(max(least, spark.sparkContext.defaultParallelism), *keys)
+    spread = sketches.repartition(least, *keys)
     bundles = spread.groupBy(*keys).agg(
         F.collect_list(F.struct("metric", "submetric", "sketch")).alias("members")
     )
