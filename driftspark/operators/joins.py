@@ -10,6 +10,17 @@ from driftspark.session import cut
 # the memory of one executor.
 BROADCAST_ROWS = 100_000
 FANOUT = 32
+# Words of 64 bits that ``maybe_in`` broadcasts at most: 16 bits a key up to a million keys.
+SIEVE_WORDS = 1 << 18
+
+
+def sent_or_spread(small: DataFrame, rows: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small``, marked to be broadcast or shuffled in a join by its counted ``rows``.
+
+    Unmarked, Spark goes by the compressed length of the files that ``small`` comes from, which
+    says little of the rows, and nothing of those made from them: it would broadcast millions.
+    """
+    return F.broadcast(small) if rows <= broadcast_rows else small.hint("merge")
 
 
 def sized_join(
@@ -29,11 +40,28 @@ def sized_join(
     that both sides are shuffled, each key spread over ``fanout`` salts; the salt is the
     scan partition, so equal rows spread too.
     """
-    if (small.count() if rows is None else rows) <= broadcast_rows:
-        return big.join(F.broadcast(small), keys, how)
+    rows = small.count() if rows is None else rows
+    if rows <= broadcast_rows:
+        return big.join(sent_or_spread(small, rows, broadcast_rows), keys, how)
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(fanout)))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(sent_or_spread(copies, rows, broadcast_rows), [*keys, "_salt"], how).drop("_salt")
+
+
+def maybe_in(big: DataFrame, small: DataFrame, keys: list[str], rows: int, words: int = SIEVE_WORDS) -> DataFrame:
+    """Rows of ``big`` whose key may be one of the ``rows`` in ``small``: all that are, and some
+    others, so that a join afterwards shuffles few rows that it drops.
+
+    Keys are hashed to the bits of at most ``words`` words, which are broadcast: about one other
+    row in 16 stays while there are 16 bits a key, more beyond. ``keys`` have the same types on both sides.
+    """
+    words = max(1, min(words, rows // 4))
+    hashed = F.xxhash64(*keys)
+    place = {"_word": F.pmod(hashed, F.lit(words)), "_bit": F.shiftrightunsigned(hashed, 58).cast("int")}
+    bits = small.select(*(c.alias(n) for n, c in place.items())).groupBy("_word")
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = big.withColumns(place).join(F.broadcast(bits), "_word")
+    return marked.filter("(_bits & shiftleft(1L, _bit)) <> 0").drop("_word", "_bit", "_bits")
 
 
 def missing_from(

@@ -5,12 +5,12 @@ from __future__ import annotations
 import time
 from typing import NamedTuple
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.functions.names import REFERENCE
 from driftspark.operators import selection
-from driftspark.operators.joins import sized_join
+from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sized_join
 from driftspark.plans import cycle as cy
 from driftspark.session import cut
 from driftspark.sources.store import NEWS, DriftStore
@@ -78,6 +78,19 @@ def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
     return reached
 
 
+def of_chosen(sketches: DataFrame, chosen: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The sketches of the chosen snapshots, which are read from a written table.
+
+    A store holds many snapshots for each chosen one, so with too many of these to broadcast the
+    sketches of most others are left out before any is shuffled. No snapshot has more sketches
+    than one bundle holds, so none is spread.
+    """
+    rows = chosen.count()
+    if rows > broadcast_rows:
+        sketches = maybe_in(sketches, chosen, PAYLOAD_KEYS, rows)
+    return sized_join(sketches, chosen, PAYLOAD_KEYS, broadcast_rows=broadcast_rows, fanout=1, rows=rows)
+
+
 def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
     """Aggregate what arrived since the last cycle; False when nothing did.
 
@@ -98,7 +111,7 @@ def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
     sketches = members.filter(F.col("kind") == "sketch").select(
         *PAYLOAD_KEYS, "metric", "submetric", F.col("payload").alias("sketch")
     )
-    both = cut(cy.from_sketches(sized_join(sketches, chosen, PAYLOAD_KEYS)))
+    both = cut(cy.from_sketches(of_chosen(sketches, chosen)))
     store.write(cy.reference_results(both, store.project, now, cycle), "reference_overall", cycle)
     store.write(cy.cycle_results(both, store.project, now, cycle), "overall", cycle)
     # The header comes last: it makes the cycle visible to readers and to the next cycle.
