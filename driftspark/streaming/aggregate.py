@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.functions.names import REFERENCE
 from driftspark.operators import selection
-from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sized_join
+from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sent_or_spread, sized_join
 from driftspark.plans import cycle as cy
 from driftspark.session import cut
 from driftspark.sources.store import NEWS, DriftStore
@@ -60,7 +60,7 @@ def choose(store: DriftStore, cycle: int, before: Progress) -> int | None:
     past = before.since, cycle - 1
     finished = store.read_between("cycles", *past).select("cycle").distinct()
     used = store.read_between("consumed", *past).join(finished, "cycle", "left_semi")
-    store.write(selection.unconsumed(done, used), "consumed", cycle)
+    store.write(selection.unconsumed(done, sent_or_spread(used, used.count())), "consumed", cycle)
     waiting = store.read_part("consumed", cycle)
     reached = waiting.agg(F.max("batch_id").alias("b")).first()["b"]
     if reached is None:

@@ -5,8 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from driftspark.operators.joins import maybe_in, sized_join
-from driftspark.streaming.aggregate import PAYLOAD_KEYS, of_chosen
+from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sized_join
+from driftspark.sources.store import DriftStore
+from driftspark.streaming.aggregate import PAYLOAD_KEYS, of_chosen, run_cycle
+
+# More than a cycle broadcasts.
+SENSORS = BROADCAST_ROWS + 100
 
 
 def joins(df):
@@ -53,3 +57,43 @@ def test_both_ways_find_the_sketches_of_the_chosen(spark, tmp_path):
     found = sorted(sent.collect())
     assert found == sorted(spread.collect()) and found == sorted(sketches.join(chosen, PAYLOAD_KEYS).collect())
     assert found and "SortMergeJoin" in joins(spread) and joins(sent) == ["BroadcastHashJoin"]
+
+
+@pytest.fixture
+def short_broadcasts(spark):
+    """No broadcast of more than 8 MB, for which a plain table of ``SENSORS`` snapshots is too long."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def arrive(store, batch, timestamp, sketches):
+    store.write(
+        sketches.selectExpr(
+            "sensor_id", f"'{timestamp}' timestamp", "'stats' file_type", "concat('/', sensor_id) path", "'customstats' metrictype",
+            "'m' metric", "'a' submetric", "sketch payload", "string(null) error", "'sketch' kind",
+        ),
+        "members",
+        batch,
+    )
+    store.write(store.read_part("members", batch).select("sensor_id", "timestamp", "path"), "snapshots", batch, status="completed")
+
+
+def test_cycles_of_many_sensors_send_no_long_table(spark, tmp_path, short_broadcasts):
+    store = DriftStore(spark, str(tmp_path / "store"), "demo")
+    values = spark.range(0, SENSORS, 1, 8).selectExpr("if(id = 0, 'reference', concat('s', id)) sensor_id", "float(id) v")
+    sketches = values.groupBy("sensor_id").agg(F.kll_sketch_agg_float("v").alias("sketch")).localCheckpoint()
+    arrive(store, 0, "2001-02", sketches)
+    assert run_cycle(store, 0, now=1)
+    # Older snapshots of all sensors but the baseline, after the first cycle used up the newer ones.
+    arrive(store, 1, "2001-01", sketches.filter("sensor_id <> 'reference'"))
+    assert run_cycle(store, 1, now=2)
+    chosen = store.read("selected").groupBy("cycle", "timestamp", "is_reference").count()
+    assert sorted(map(tuple, chosen.collect())) == [
+        (0, "2001-02", False, SENSORS - 1),
+        (0, "2001-02", True, 1),
+        (1, "2001-01", False, SENSORS - 1),
+        (1, "2001-02", True, 1),
+    ]
+    ends = store.read("overall").selectExpr("cycle", "x[0]", "element_at(x, -1)", "distances is not null")
+    assert sorted(map(tuple, ends.collect())) == [(c, 1.0, float(SENSORS - 1), True) for c in (0, 1)]
