@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftspark.functions.names import REFERENCE
-from driftspark.operators import selection
+from driftspark.operators import histograms, selection
 from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sent_or_spread, sized_join
 from driftspark.plans import cycle as cy
 from driftspark.session import cut
@@ -111,7 +111,11 @@ def run_cycle(store: DriftStore, cycle: int, now: int | None = None) -> bool:
     sketches = members.filter(F.col("kind") == "sketch").select(
         *PAYLOAD_KEYS, "metric", "submetric", F.col("payload").alias("sketch")
     )
-    both = cut(cy.from_sketches(of_chosen(sketches, chosen)))
+    # The many probes of a histogram are written out wherever Spark describes a plan, which it does
+    # anew after every stage: merged first, they stand in a plan of one stage, of many tasks.
+    merged = histograms.merge_sketches(of_chosen(sketches, chosen), cy.SIDE_KEYS)
+    tasks = store.spark.sparkContext.defaultParallelism
+    both = cut(histograms.sketch_histograms(cut(merged.repartition(tasks, *cy.SIDE_KEYS)), cy.SIDE_KEYS))
     store.write(cy.reference_results(both, store.project, now, cycle), "reference_overall", cycle)
     store.write(cy.cycle_results(both, store.project, now, cycle), "overall", cycle)
     # The header comes last: it makes the cycle visible to readers and to the next cycle.

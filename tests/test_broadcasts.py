@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftspark.operators.joins import BROADCAST_ROWS, maybe_in, sized_join
 from driftspark.sources.store import DriftStore
+from driftspark.streaming import aggregate
 from driftspark.streaming.aggregate import PAYLOAD_KEYS, of_chosen, run_cycle
 
 # More than a cycle broadcasts.
@@ -61,8 +62,8 @@ def test_both_ways_find_the_sketches_of_the_chosen(spark, tmp_path):
 
 @pytest.fixture
 def short_broadcasts(spark):
-    """No broadcast of more than 8 MB, for which a plain table of ``SENSORS`` snapshots is too long."""
-    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    """No broadcast of more than 12 MB, for which a plain table of ``SENSORS`` snapshots is too long."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "12m")
     yield
     spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
@@ -97,3 +98,23 @@ def test_cycles_of_many_sensors_send_no_long_table(spark, tmp_path, short_broadc
     ]
     ends = store.read("overall").selectExpr("cycle", "x[0]", "element_at(x, -1)", "distances is not null")
     assert sorted(map(tuple, ends.collect())) == [(c, 1.0, float(SENSORS - 1), True) for c in (0, 1)]
+    baseline = store.metric_stats("demo", "m", "a", reference=True)
+    assert [tuple(r) for r in baseline.selectExpr("x[0]", "x[1]", "element_at(x, -1)").collect()] == [(0.0, 0.01, 0.0)]
+
+
+def test_plans_of_many_stages_are_short(spark, tmp_path, monkeypatch):
+    """Spark keeps the text of a plan and writes it anew after each stage."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = aggregate.cut
+    monkeypatch.setattr(aggregate, "cut", noted)
+    store = DriftStore(spark, str(tmp_path / "store"), "demo")
+    values = spark.range(30).selectExpr("if(id % 3 = 0, 'reference', concat('s', id % 3)) sensor_id", "float(id) v")
+    arrive(store, 0, "2001-02", values.groupBy("sensor_id").agg(F.kll_sketch_agg_float("v").alias("sketch")))
+    assert run_cycle(store, 0, now=1)
+    assert plans and not [len(p) for p in plans if "Exchange" in p and len(p) > 100_000]
+    assert store.read("overall").selectExpr("x[0]", "element_at(x, -1)").collect() == [(1.0, 29.0)]
