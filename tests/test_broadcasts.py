@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,12 +62,14 @@ def test_both_ways_find_the_sketches_of_the_chosen(spark, tmp_path):
     assert found and "SortMergeJoin" in joins(spread) and joins(sent) == ["BroadcastHashJoin"]
 
 
-@pytest.fixture
+@contextmanager
 def short_broadcasts(spark):
     """No broadcast of more than 12 MB, for which a plain table of ``SENSORS`` snapshots is too long."""
     spark.conf.set("spark.sql.maxBroadcastTableSize", "12m")
-    yield
-    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    try:
+        yield
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
 def arrive(store, batch, timestamp, sketches):
@@ -80,15 +84,17 @@ def arrive(store, batch, timestamp, sketches):
     store.write(store.read_part("members", batch).select("sensor_id", "timestamp", "path"), "snapshots", batch, status="completed")
 
 
-def test_cycles_of_many_sensors_send_no_long_table(spark, tmp_path, short_broadcasts):
+def test_cycles_of_many_sensors_send_no_long_table(spark, tmp_path):
     store = DriftStore(spark, str(tmp_path / "store"), "demo")
     values = spark.range(0, SENSORS, 1, 8).selectExpr("if(id = 0, 'reference', concat('s', id)) sensor_id", "float(id) v")
     sketches = values.groupBy("sensor_id").agg(F.kll_sketch_agg_float("v").alias("sketch")).localCheckpoint()
     arrive(store, 0, "2001-02", sketches)
-    assert run_cycle(store, 0, now=1)
+    with short_broadcasts(spark):
+        assert run_cycle(store, 0, now=1)
     # Older snapshots of all sensors but the baseline, after the first cycle used up the newer ones.
     arrive(store, 1, "2001-01", sketches.filter("sensor_id <> 'reference'"))
-    assert run_cycle(store, 1, now=2)
+    with short_broadcasts(spark):
+        assert run_cycle(store, 1, now=2)
     chosen = store.read("selected").groupBy("cycle", "timestamp", "is_reference").count()
     assert sorted(map(tuple, chosen.collect())) == [
         (0, "2001-02", False, SENSORS - 1),
